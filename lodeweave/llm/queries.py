@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import personal, secrets
 from .packing import best_fit_pack, token_pieces
 from .separators import separator_scan, token_blocks
 from .shared import shared_path, stored, table
+from .topk import exact_top_k, quantised
 from .training_order import read_shards, training_order
 
 
@@ -34,6 +36,23 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(read, "slot", "left").select("slot", "shard", "byte_offset", "doc_ids", "ids_crc32", (F.col("read_crc32") == F.col("ids_crc32")).alias("intact"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantised(spark.read.parquet(table(sf_dir, "embeddings")).select("vec_id", "embedding"))
+    return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is the owner, its source and language together the repository."""
+    docs = spark.read.parquet(table(sf_dir, "documents")).withColumn("repo", F.concat_ws("/", "source", "lang"))
+    spans, _ = secrets.secret_scan(docs, "repo", "source")
+    return spans.withColumn("spans", secrets.spans_text("spans", secrets.KINDS))
+
+
+def op9_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.personal_data(spark.read.parquet(table(sf_dir, "documents")))
+    return found.withColumn("spans", secrets.spans_text("spans", personal.KINDS))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(token_pieces(spark.read.parquet(table(sf_dir, "documents"))))
 
@@ -41,6 +60,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op3_training_order": op3_training_order,
+    "op7_exact_top_k": op7_exact_top_k,
+    "op8_secret_ownership": op8_secret_ownership,
+    "op9_anchor_expansion": op9_anchor_expansion,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+                   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+             r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}
