@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import personal, secrets
+from . import personal, secrets, toxicity
 from .packing import best_fit_pack, token_pieces
 from .separators import separator_scan, token_blocks
 from .shared import shared_path, stored, table
@@ -28,6 +28,17 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(names, ["file", "ordinal"]).select("doc_id", "n_tokens", "start", "file", "ordinal")
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Whether a row is kept from learning: crc32 of its doc_id as text leaves 1 when divided by 3."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(table(sf_dir, name)) for name in ("documents", "labels"))
+    model = toxicity.learn(docs, labels.where(~held_out()))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the documents' sequences as shards in training order and reads them back: slot, shard, byte_offset, doc_ids, ids_crc32, intact (the record read is the one that was cut)."""
     path = shared_path(spark, "shards")
@@ -59,6 +70,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
+    "op2_toxicity": op2_toxicity,
     "op3_training_order": op3_training_order,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_secret_ownership": op8_secret_ownership,

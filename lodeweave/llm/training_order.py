@@ -18,6 +18,8 @@ KEY = 0x5EED
 #: Sequences in a shard: 16 MB files of 4097-byte records.
 SHARD = 4096
 ROUNDS = 6
+#: Parts whose first numbers (16 bytes each) are broadcast; more are joined by a shuffle.
+MOST_PARTS = 1 << 20
 
 _SEQUENCES = "part long, place long, doc_ids array<long>, tokens binary"
 _MASK = (1 << 64) - 1
@@ -96,25 +98,42 @@ def assign_slots(sequences: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     """
     counts = sequences.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    parts, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).head()
 
     @F.pandas_udf("long")
     def slot(index):
         return index.__class__(feistel_slots(index.to_numpy(), total, key))
 
-    numbered = sequences.join(counts.select("part", "first"), "part")
+    firsts = counts.select("part", "first")
+    numbered = sequences.join(F.broadcast(firsts) if parts <= MOST_PARTS else firsts, "part")
     return numbered.withColumn("slot", slot(F.col("first") + F.col("place"))).drop("part", "place", "first"), total
 
 
+@F.pandas_udf("binary")
+def _squeezed(tokens):
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=3).compress
+    return tokens.map(compress)
+
+
+@F.pandas_udf("binary")
+def _whole(tokens):
+    import zstandard
+
+    decompress = zstandard.ZstdDecompressor().decompress
+    return tokens.map(decompress)
+
+
 def write_shards(sequences: DataFrame, total: int, path: str, shard: int = SHARD) -> None:
     """Writes ``sequences`` (slot, tokens of one length) as flat shard files: file k holds slots k*shard onwards, in order.
 
-    Slots are dense, so a slot's shard is known without sampling: each range of slots goes straight to its own partition.
-    Each record is the sequence's bytes and one line feed, so slot s stands at byte (s mod shard) * stride of its file.
+    Slots are dense, so a slot's shard is known without sampling: each range of slots goes straight to its own partition,
+    its tokens compressed on the way. Each record is the sequence's bytes and one line feed, so slot s stands at byte (s mod shard) * stride of its file.
     """
-    records = sequences.select((F.col("slot") / shard).cast("int").alias("shard"), "slot", F.col("tokens").cast("string").alias("value"))
+    records = sequences.select((F.col("slot") / shard).cast("int").alias("shard"), "slot", _squeezed("tokens").alias("tokens"))
     records = records.repartitionById(max(1, -(-total // shard)), F.col("shard")).sortWithinPartitions("slot")
-    records.select("value").write.option("lineSep", "\n").text(path)
+    records.select(_whole("tokens").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD, since: int = 0) -> DataFrame:
