@@ -109,20 +109,16 @@ def assign_slots(sequences: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     return numbered.withColumn("slot", slot(F.col("first") + F.col("place"))).drop("part", "place", "first"), total
 
 
-@F.pandas_udf("binary")
 def _squeezed(tokens):
     import zstandard
 
-    compress = zstandard.ZstdCompressor(level=3).compress
-    return tokens.map(compress)
+    return tokens.map(zstandard.ZstdCompressor(level=3).compress)
 
 
-@F.pandas_udf("binary")
 def _whole(tokens):
     import zstandard
 
-    decompress = zstandard.ZstdDecompressor().decompress
-    return tokens.map(decompress)
+    return tokens.map(zstandard.ZstdDecompressor().decompress)
 
 
 def write_shards(sequences: DataFrame, total: int, path: str, shard: int = SHARD) -> None:
@@ -131,9 +127,9 @@ def write_shards(sequences: DataFrame, total: int, path: str, shard: int = SHARD
     Slots are dense, so a slot's shard is known without sampling: each range of slots goes straight to its own partition,
     its tokens compressed on the way. Each record is the sequence's bytes and one line feed, so slot s stands at byte (s mod shard) * stride of its file.
     """
-    records = sequences.select((F.col("slot") / shard).cast("int").alias("shard"), "slot", _squeezed("tokens").alias("tokens"))
+    records = sequences.select((F.col("slot") / shard).cast("int").alias("shard"), "slot", F.pandas_udf(_squeezed, "binary")("tokens").alias("tokens"))
     records = records.repartitionById(max(1, -(-total // shard)), F.col("shard")).sortWithinPartitions("slot")
-    records.select(_whole("tokens").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    records.select(F.pandas_udf(_whole, "binary")("tokens").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD, since: int = 0) -> DataFrame:
