@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import personal, secrets, toxicity
+from .near_duplicates import near_duplicates
 from .packing import best_fit_pack, token_pieces
 from .separators import separator_scan, token_blocks
 from .shared import shared_path, stored, table
@@ -47,6 +48,11 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(read, "slot", "left").select("slot", "shard", "byte_offset", "doc_ids", "ids_crc32", (F.col("read_crc32") == F.col("ids_crc32")).alias("intact"))
 
 
+def op5_super_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(spark.read.parquet(table(sf_dir, "documents")), percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(spark.read.parquet(table(sf_dir, "embeddings")).select("vec_id", "embedding"))
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_toxicity": op2_toxicity,
     "op3_training_order": op3_training_order,
+    "op5_super_min_hash": op5_super_min_hash,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_secret_ownership": op8_secret_ownership,
     "op9_anchor_expansion": op9_anchor_expansion,
