@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import personal, secrets, toxicity
 from .near_duplicates import near_duplicates
 from .packing import best_fit_pack, token_pieces
+from .repeats import remove_repeats
 from .separators import separator_scan, token_blocks
 from .shared import shared_path, stored, table
 from .topk import exact_top_k, quantised
@@ -48,6 +49,11 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(read, "slot", "left").select("slot", "shard", "byte_offset", "doc_ids", "ids_crc32", (F.col("read_crc32") == F.col("ids_crc32")).alias("intact"))
 
 
+def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(spark.read.parquet(table(sf_dir, "documents")))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_super_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(table(sf_dir, "documents")), percent=85)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_toxicity": op2_toxicity,
     "op3_training_order": op3_training_order,
+    "op4_fm_index": op4_fm_index,
     "op5_super_min_hash": op5_super_min_hash,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_secret_ownership": op8_secret_ownership,
