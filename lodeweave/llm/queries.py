@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import personal, secrets, toxicity
+from .decontamination import contaminated
 from .near_duplicates import near_duplicates
 from .packing import best_fit_pack, token_pieces
 from .repeats import remove_repeats
@@ -59,6 +60,11 @@ def op5_super_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op6_cgk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, and where."""
+    return contaminated(spark.read.parquet(table(sf_dir, "documents")), spark.read.parquet(table(sf_dir, "benchmark")))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(spark.read.parquet(table(sf_dir, "embeddings")).select("vec_id", "embedding"))
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_training_order": op3_training_order,
     "op4_fm_index": op4_fm_index,
     "op5_super_min_hash": op5_super_min_hash,
+    "op6_cgk_lsh": op6_cgk_lsh,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_secret_ownership": op8_secret_ownership,
     "op9_anchor_expansion": op9_anchor_expansion,

@@ -158,7 +158,8 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, ordinar
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on): every window of the whole text counts. A null text counts as empty."""
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), which replace columns of those names: every window of the whole text counts. A null text counts as empty."""
+    docs = docs.drop("score", "predicted")
     names = docs.columns
     at = names.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -171,3 +172,16 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype("i4"))], [*names, "score", "predicted"])
 
     return docs.mapInArrow(run, schema)
+
+
+def keep_ordinary(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score stays below ``threshold``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.features()
+        for batch in batches:
+            found = np.array([of(t) for t in batch.column(at).to_pylist()], float).reshape(-1, 6)
+            yield batch.filter(pa.array(model.score(found) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
