@@ -191,7 +191,7 @@ def _blocks(benchmark: DataFrame, similarity: float, least_words: int) -> Iterat
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, recall: float = RECALL) -> DataFrame:
-    """doc_id, item_id, distance, low, high: every document (doc_id, text) that holds an item (item_id, text), with its nearest stretch (words [low, high)).
+    """doc_id, item_id, distance, low, high: every document (doc_id, text) that holds an item (item_id, text), with its nearest stretch (words [low, high)). A-Z count as a-z.
 
     The benchmark is taken in blocks of bounded size, each of which one pass over the documents looks for; documents are not shuffled, and each row is judged alone.
     Null texts and items of fewer than ``least_words`` words hold nothing and are not looked for. Repeated items are each reported.

@@ -127,10 +127,11 @@ def _search(window: int):
         window_at = inside <= (lengths[owner] - window)
         owner, inside = owner[window_at], inside[window_at]
         places = begin[owner] + inside
-        # windows in the order in which they start in the corpus
-        order = np.lexsort((starts[owner] + inside, docs[owner]))
+        # windows in the order in which they start in the corpus; those of a repeated row have one turn
+        doc, start = docs[owner], starts[owner] + inside
+        order = np.lexsort((start, doc))
         turn = np.full(len(symbols), len(order), np.int64)
-        turn[places[order]] = np.arange(len(order))
+        turn[places[order]] = np.cumsum(np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0)])[: len(order)])
         index = FMIndex(symbols, window)
         found, low, high = index.repeated(symbols, places, window)
         late = np.zeros(0, np.int64)

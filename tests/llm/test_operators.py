@@ -1,0 +1,452 @@
+"""The numbered operators against brute-force versions on small fixtures, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lodeweave.llm import decontamination, fm_index, near_duplicates, packing, personal, queries, repeats, secrets, separators, tokens, topk, toxicity, training_order, words
+
+SF = "/root/testdata/sf0.001"
+VOCABULARY = ["the", "red", "fox", "ran", "über", "a", "The", "no.", "x1", "42", "día", "ñ"]
+
+
+def make_texts(seed: int, n: int = 40) -> list[str | None]:
+    """Random texts that share passages, with copies, near copies, repeats within a text, a long one, empty ones and a null."""
+    rng = random.Random(seed)
+    some = lambda k: [rng.choice(VOCABULARY) + str(rng.randrange(30)) for _ in range(k)]
+    passage, out = some(45), []
+    for _ in range(n):
+        text = some(rng.randint(0, 80))
+        if rng.random() < 0.4:
+            a = rng.randrange(20)
+            text[rng.randint(0, len(text)) :] = passage[a : a + rng.randint(5, 45)] + some(rng.randint(0, 6))
+        if out and rng.random() < 0.25:
+            text = (rng.choice([t for t in out if t]) or "z").split()
+            if rng.random() < 0.7 and text:
+                text[rng.randrange(len(text))] = "edited"
+        out.append(rng.choice([" ", "\n", "\t ", "\x0b"]).join(text))
+    return [*out, "", " \n", None, "one", "a b c d", "rep " * 60, "p q r " * 30, " ".join(some(6000)), passage and " ".join(passage)]
+
+
+def frame(spark, texts, extra=True):
+    """A documents table with columns whose names the operators use themselves."""
+    rows = [(i * 3 + 1, t, i, "s", 1.0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part long, words string, score double")
+    return df.repartition(3) if extra else df
+
+
+def split(text):
+    return [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+
+
+# words
+
+
+def test_word_hashes():
+    texts = make_texts(1) + ["é b c d", "\x1ca\x1d b"]
+    for array in (pa.array(texts), pa.array(texts).slice(3, 20), pa.array(texts, pa.large_string())):
+        for lower in (False, True):
+            hashes, at = words.word_hashes(array, lower)
+            expected = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) if lower else w for w in split(t)] for t in array.to_pylist()]
+            assert np.diff(at).tolist() == [len(w) for w in expected]
+            seen = {}
+            for w, h in zip((w for e in expected for w in e), hashes.tolist(), strict=True):
+                assert seen.setdefault(w, h) == h
+            assert len(set(seen.values())) == len(seen)
+
+
+def test_tokens_are_the_librarys():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    encode = tokens.Encoder(memo=50).encode
+    texts = [t for t in make_texts(2) if t is not None] + ["a  b   \n\n c", "it's we'll 'S ''d", "x\x1cy", "中文 テスト ½ ²", "<|endoftext|> a", "   z", "_a_ 9_9", "\t\t", "naïve Ünï ª º µ"]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    with duckdb.connect() as con:
+        for (t,) in con.execute(f"SELECT text FROM '{SF}/documents.parquet'").fetchall():
+            assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+# 1
+
+
+def plain_scan(ids, separator):
+    out, start = [], 0
+    for i, x in enumerate(ids):
+        if x == separator:
+            out.append((start, i - start, True))
+            start = i + 1
+    return out + [(start, len(ids) - start, False)] * (start < len(ids))
+
+
+def test_separator_scan(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    files = {0: rng.integers(0, 4, 57), 1: np.array([3, 3]), 2: np.array([1, 2]), 3: rng.integers(0, 30, 400), 4: np.array([], int), 5: np.array([0, 3])}
+    for span in (2, 4096):
+        rows = [(f, b, ids[b * 8 : b * 8 + 8].astype("<u2").tobytes(), "x") for f, ids in files.items() for b in range(-(-len(ids) // 8))]
+        blocks = spark.createDataFrame(rows, "file long, block long, tokens binary, start string").repartition(3)
+        found = {}
+        for r in separators.separator_scan(blocks, 3, 2, span).orderBy("file", "ordinal").collect():
+            found.setdefault(r["file"], []).append((r["start"], r["n_tokens"], r["complete"]))
+        assert found == {f: e for f, ids in files.items() if (e := plain_scan(ids.tolist(), 3))}
+    assert separators.separator_scan(blocks.limit(0), 3).count() == 0
+    files[3].astype("<u2").tofile(tmp_path / "t.bin")
+    got = separators.separator_scan(separators.read_token_files(spark, str(tmp_path), 16), 3).orderBy("ordinal").collect()
+    assert [(r["start"], r["n_tokens"], r["complete"]) for r in got] == plain_scan(files[3].tolist(), 3)
+
+
+def test_op1(spark):
+    encode = tokens.Encoder().encode
+    with duckdb.connect() as con:
+        expected = {d: len(encode(t)) // 4 for d, t in con.execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()}
+    assert {r["doc_id"]: r["n_tokens"] for r in queries.op1_separator_scan(spark, SF).collect()} == expected
+    texts = make_texts(4, 10)
+    blocks = separators.token_blocks(frame(spark, texts), block=32)
+    counts = [r["n_tokens"] for r in separators.separator_scan(blocks).collect()]
+    assert Counter(counts) == Counter(len(encode(t)) // 4 for t in texts)
+
+
+# 2
+
+
+def test_toxicity_held_out(spark):
+    """Accuracy on the rows that the model hasn't seen, over the labels' noise."""
+    folder = "/root/testdata/sf0.1"
+    scored = queries.op2_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").collect()
+    caught = sum(r["predicted"] for r in scored if r["toxic"] == 1)
+    wrong = sum(r["predicted"] for r in scored if r["toxic"] == 0)
+    toxic = sum(r["toxic"] for r in scored)
+    assert caught >= 0.3 * toxic and wrong <= 0.01 * len(scored)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in scored)
+
+
+def test_toxicity_edges(spark):
+    rng = random.Random(0)
+    plain = [" ".join(rng.choice(VOCABULARY) for _ in range(60)) for _ in range(120)]
+    rude = [t[:100] + " vilewretch " + t[100:] for t in plain[::3]]
+    rows = [(i, t, 0) for i, t in enumerate(plain)] + [(1000 + i, t, 1) for i, t in enumerate(rude)]
+    model = toxicity.fit(rows)
+    df = spark.createDataFrame([(1, None, 5.0), (2, "", 5.0), (3, rude[0], 5.0), (4, plain[0], 5.0), (4, plain[0], 5.0)], "doc_id long, text string, score double")
+    got = [(r["doc_id"], r["predicted"]) for r in toxicity.score(df, model).orderBy("doc_id").collect()]
+    assert got == [(1, 0), (2, 0), (3, 1), (4, 0), (4, 0)]
+    assert [r["doc_id"] for r in toxicity.keep_ordinary(df, model).orderBy("doc_id").collect()] == [1, 2, 4, 4]
+    nothing = toxicity.fit([])
+    assert {r["predicted"] for r in toxicity.score(df, nothing).collect()} == {0}
+    assert toxicity.score(df.limit(0), model).count() == 0
+    empty = toxicity.learn(df.drop("score"), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert {r["predicted"] for r in toxicity.score(df, empty).collect()} == {0}
+
+
+# 3
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 3000), st.integers(0, 2**63))
+def test_feistel_is_a_permutation(n, key):
+    assert sorted(training_order.feistel_slots(np.arange(n), n, key).tolist()) == list(range(n))
+
+
+def test_training_order(spark, tmp_path):
+    texts = make_texts(6)
+    docs, path, encode = frame(spark, texts), str(tmp_path / "shards"), tokens.Encoder().encode
+    order = training_order.training_order(docs, path, length=32, shard=16)
+    rows, n = {r["slot"]: r for r in order.collect()}, order.count()
+    read = training_order.read_shards(spark, path, 32, 16).orderBy("slot").collect()
+    assert [r["slot"] for r in read] == list(range(n)) == sorted(rows)
+    assert all(r["shard"] == r["slot"] // 16 and r["byte_offset"] == r["slot"] % 16 * 65 and zlib.crc32(bytes(r["tokens"])) == rows[r["slot"]]["ids_crc32"] for r in read)
+    stream = np.concatenate([np.frombuffer(bytes(r["tokens"]), "<u2") for r in read])
+    plain = Counter(x for t in texts for x in np.frombuffer(encode(t), "<u4").tolist())
+    held = Counter(stream.tolist())
+    assert held.pop(training_order.END_OF_DOCUMENT) >= len(texts) and held == plain
+    assert {d for r in rows.values() for d in r["doc_ids"]} == {i * 3 + 1 for i in range(len(texts))}
+    later = training_order.read_shards(spark, path, 32, 16, since=21).orderBy("slot").collect()
+    assert [(r["slot"], r["tokens"]) for r in later] == [(r["slot"], r["tokens"]) for r in read[21:]]
+    assert training_order.training_order(docs.limit(0), str(tmp_path / "none"), 32).count() == 0
+
+
+# 4
+
+
+def plain_repeats(rows, window):
+    seen, out = {}, {}
+    for doc, text in sorted(rows):
+        own = split(text)
+        gone = [False] * len(own)
+        for k in range(len(own) - window + 1):
+            key = tuple(own[k : k + window])
+            if seen.setdefault(key, (doc, k)) != (doc, k):
+                gone[k : k + window] = [True] * window
+        out[doc] = (len(own), sum(gone), " ".join(w for w, g in zip(own, gone, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize(("window", "hot"), [(20, 3000), (8, 3000), (20, 1)])
+def test_repeats(spark, monkeypatch, window, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    docs = frame(spark, make_texts(7, 60))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in repeats.remove_repeats(docs, window).collect()}
+    assert got == plain_repeats([(r["doc_id"], r["text"] or "") for r in docs.collect()], window)
+
+
+def test_repeats_edges(spark):
+    docs = frame(spark, make_texts(8, 5))
+    assert repeats.remove_repeats(docs.limit(0)).count() == 0
+    twice = docs.unionByName(docs)
+    one, two = (sorted((r["doc_id"], r["n_removed"]) for r in repeats.remove_repeats(d).collect()) for d in (docs, twice))
+    assert two == sorted(one + one)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=12, max_size=120), st.integers(2, 9))
+def test_fm_index(symbols, length):
+    symbols = np.array([*symbols, 0])
+    index = fm_index.FMIndex(symbols, length)
+    starts = np.array([i for i in range(len(symbols) - length + 1) if (symbols[i : i + length] > 0).all()], int)
+    found, low, high = index.repeated(symbols, starts, length)
+    texts = [tuple(symbols[s : s + length]) for s in starts]
+    assert [texts[i] for i in found] == [t for t in texts if texts.count(t) > 1]
+    for i, a, b in zip(found, low, high, strict=True):
+        assert {int(s) for s in index.suffixes[a:b]} == {int(s) for s, t in zip(starts, texts, strict=True) if t == texts[i]}
+
+
+# 5
+
+
+def plain_components(rows, percent):
+    sets = {}
+    for doc, text in rows:
+        own = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in split(text)]
+        sets[doc] = {tuple(own[k : k + 5]) for k in range(len(own) - 4)} if len(own) >= 5 else {tuple(own)} if own else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b])
+            if a < b and common and 100 * common >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize(("percent", "pivots"), [(85, 3), (80, 1)])
+def test_near_duplicates(spark, percent, pivots):
+    rng = random.Random(9)
+    texts = make_texts(9, 50)
+    chain = [rng.choice(VOCABULARY) + str(rng.randrange(99)) for _ in range(120)]
+    for _ in range(12):  # a chain whose ends are no longer alike
+        at = rng.randrange(len(chain))
+        chain = [*chain[:at], "new" + str(rng.randrange(999)), *chain[at + 1 :]]
+        texts.append(" ".join(chain))
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.near_duplicates(docs, percent, pivots=pivots).collect()}
+    assert got == plain_components([(r["doc_id"], r["text"]) for r in docs.collect()], percent)
+
+
+def test_near_duplicates_edges(spark):
+    docs = frame(spark, ["same text of five words", "same text of five words", None, ""])
+    twice = near_duplicates.near_duplicates(docs.unionByName(docs)).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in twice) == Counter({(1, 1): 2, (4, 1): 2, (7, 7): 2, (10, 10): 2})
+    assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
+    assert near_duplicates.near_duplicates(docs.where("text IS NULL")).count() == 1
+
+
+def test_super_min_hash_variance():
+    rng = np.random.default_rng(2)
+    errors = []
+    for _ in range(80):
+        a = rng.integers(0, 2**63, 60, np.uint64)
+        b = np.concatenate([a[10:], rng.integers(0, 2**63, 10, np.uint64)])
+        x, y = near_duplicates.super_min_hash([np.unique(a), np.unique(b)])
+        errors.append((x == y).mean() - 50 / 70)
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < (50 / 70 * 20 / 70 / 128) ** 0.5
+
+
+# 6
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_best_stretch():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        a, b = rng.integers(0, 4, 6), rng.integers(0, 4, 14)
+        d, low, high = decontamination.best_stretch(a, b)
+        assert d == min(edit(a, b[i:j]) for i in range(15) for j in range(i, 15)) == edit(a, b[low:high])
+
+
+def test_decontamination_recall(spark):
+    rng = random.Random(11)
+    some = lambda k: [rng.choice(VOCABULARY) + str(rng.randrange(60)) for _ in range(k)]
+    items, rows, expected = [some(rng.randint(8, 50)) for _ in range(12)], [], set()
+    for doc in range(150):
+        text = some(rng.randint(0, 60))
+        if doc % 2:
+            k = rng.randrange(12)
+            leak = list(items[k])
+            for _ in range(rng.randint(0, int(0.2 * len(leak)))):
+                at, how = rng.randrange(len(leak)), rng.randrange(3)
+                leak[at : at + (how != 0)] = [] if how == 1 else ["edit"]
+            at = rng.randint(0, len(text))
+            text[at:at] = leak
+            expected.add((doc, k))
+        rows.append((doc, re.sub("[a-z]", lambda m: m[0].upper(), " ".join(text)) if doc % 3 else " ".join(text), "x"))
+    rows += [(900, None, "x"), (901, "", "x"), (902, "a b", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, distance string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w), "y") for i, w in enumerate(items)] + [(50, None, "y"), (51, "", "y"), (52, "too short", "y")], "item_id long, text string, low string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got <= expected | got and len(got & expected) >= 0.99 * len(expected) and len(got - expected) <= 2
+    clean = {r["doc_id"] for r in decontamination.without_items(docs, bench).collect()}
+    assert clean == {r[0] for r in rows} - {d for d, _ in got}
+    assert decontamination.contaminated(docs, bench.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), bench).count() == 0
+
+
+# 7
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(4)
+    vectors = {i: rng.integers(-3, 4, 9).tolist() for i in range(230)}
+    vectors[0] = vectors[50] = vectors[3]  # ties
+    rows = [(i, v) for i, v in vectors.items()] + [(300, [10**9] * 9), (400, [1, 2])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = {}
+    for r in topk.exact_top_k(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    table = dict(rows)
+    for q in [i for i in table if i % 50 == 0]:
+        all_ = sorted(((i, sum(a * b for a, b in zip(v, table[q], strict=True))) for i, v in table.items() if i != q and len(v) == len(table[q])), key=lambda x: (-x[1], x[0]))
+        assert got.get(q, []) == all_[:5]
+    assert topk.exact_top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_top_k_quantised(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, [0.5, -0.001], 7), (2, None, 7), (3, [nan, 1.0], 7), (4, [inf, 1.0], 7), (5, [None, 1.0], 7), (6, [], 7), (None, [1.0, 1.0], 7)], "vec_id long, embedding array<float>, label int")
+    assert [tuple(r) for r in topk.quantised(df).collect()] == [(1, [128, -1])]
+
+
+# 8 and 9
+
+
+def plain_secrets(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32])
+
+
+def plain_personal(t):
+    def luhn(digits):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+    return sorted(out + [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15])
+
+
+PIECES = ["a", "@", "b.c", ".", "-", "+", "1", "22", "255", "4111 1111 1111 1111", "4111111111111111", " ", "(", "00", "é", "token=", "secret", "AKIA", "ABCD1234EFGH", "0af3", "deadbeef" * 4, "API_KEY: '", "password", "x@y.z", "1.2.3.4", "Account number: ", "IBAN ", "%", "\n", "_", "ſecret: ", "Bearer abcdefghij1234567890", "://u:p@h"]
+ANCHORS = personal.automaton()
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_base_spans(text):
+    assert [x for x in personal.find(text, ANCHORS) if x[1] < 4] == plain_personal(text)
+    assert [x[:3] for x in secrets.candidates(text) if x[1] < 3] == plain_secrets(text)
+
+
+def test_secret_ownership(spark):
+    live, copied, weak = "q9XzR7LkP2vW8sTy", "m4NbV6cXz1LpKq0w", "password1234"
+    rows = [(i, f"é token={copied} x", f"o{i}", "r") for i in range(4)] + [(10, f"a secret: '{live}' b secret: '{live}'", "o1", "r"), (11, f"password={weak}", "o2", "r"), (12, None, "o2", "r"), (13, "", None, None), (10, f"a secret: '{live}'", "o1", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string").repartition(3)
+    spans, judged = secrets.secret_scan(docs, "repo", "owner")
+    got = spans.withColumn("spans", secrets.spans_text("spans", secrets.KINDS)).collect()
+    base = {(r["doc_id"], r["base_sha256"]) for r in got}
+    assert base == {(d, hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in plain_secrets(t or "")).encode()).hexdigest()) for d, t, *_ in rows}
+    by = {(r["doc_id"], r["n_assign"]): r for r in got}
+    assert by[10, 2]["n_live"] == 2 and by[10, 1]["n_live"] == 1 and by[0, 1]["n_live"] == 0 and by[0, 1]["n_copied"] == 1 and by[11, 1]["n_live"] == 0
+    assert by[10, 1]["spans"] == f"assign:2:{11 + len(live)},live:11:{11 + len(live)}"
+    masked = sorted((r["doc_id"], r["text"] or "") for r in secrets.redact(docs, judged).collect())
+    assert masked == sorted((d, (t or "").replace(live, "[SECRET]")) for d, t, *_ in rows)
+    assert secrets.secret_scan(docs.limit(0), "repo", "owner")[0].count() == 0
+
+
+def test_personal_data(spark):
+    texts = [None, "", "see 12 Long Hill Road, or Account number: 1234 5678 90", "IBAN GB82 WEST 1234 5698 7654 32", "https://me:pw@host/x", "x" * 200_000 + " a@b.co"]
+    got = personal.personal_data(frame(spark, texts)).orderBy("doc_id").collect()
+    kinds = [[(personal.KINDS[s["rank"]], (texts[i] or "")[s["start"] : s["stop"]]) for s in r["spans"]] for i, r in enumerate(got)]
+    assert kinds[0] == kinds[1] == [] and kinds[2] == [("address", "12 Long Hill Road"), ("account", "1234 5678 90")]
+    assert kinds[3] == [("account", "GB82 WEST 1234 5698 7654 32")] and kinds[4] == [("login", "me:pw@host")] and kinds[5] == [("email", "a@b.co")]
+    assert personal.personal_data(frame(spark, texts).limit(0)).count() == 0
+
+
+# 10
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=80))
+def test_best_fit(lengths):
+    bins, offsets, filled = packing.best_fit(lengths, 40)
+    places = sorted((b, o, n) for b, o, n in zip(bins, offsets, lengths, strict=True))
+    for b, total in enumerate(filled):
+        at = 0
+        for _, o, n in (p for p in places if p[0] == b):
+            assert o == at
+            at += n
+        assert at == total <= 40
+    assert sum(f <= 20 for f in filled) <= 1
+
+
+def test_packing(spark):
+    texts = make_texts(12, 150)
+    docs, encode = frame(spark, texts).repartition(11), tokens.Encoder().encode
+    rows = packing.best_fit_pack(packing.token_pieces(docs, 128), 128, 2, fan_in=3).collect()
+    ids = {i * 3 + 1: np.frombuffer(encode(t) + b"\0" * 4, "<u4") for i, t in enumerate(texts)}
+    pieces = {}
+    for r in rows:
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(own.tobytes()) == r["ids_crc32"] and len(own) == r["length"] <= 128
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+    for doc, own in pieces.items():
+        own.sort()
+        assert [p for p, *_ in own] == list(range(len(own))) and all(n == 128 for _, _, n in own[1:])
+        assert [s for _, s, _ in own] == np.cumsum([0, *(n for *_, n in own)])[:-1].tolist() and sum(n for *_, n in own) == len(ids[doc])
+    assert pieces.keys() == ids.keys()
+    for sequence in {r["sequence_id"] for r in rows}:
+        at = 0
+        for o, n in sorted((r["offset"], r["length"]) for r in rows if r["sequence_id"] == sequence):
+            assert o == at
+            at += n
+        assert at <= 128
+    total = sum(len(x) for x in ids.values())
+    assert len({r["sequence_id"] for r in rows}) <= 1.08 * total / 128 + 1
+    assert packing.best_fit_pack(packing.token_pieces(docs.limit(0))).count() == 0
+    twice = packing.best_fit_pack(packing.token_pieces(docs.unionByName(docs), 128), 128)
+    assert twice.count() == 2 * len(rows) and twice.select("sequence_id", "offset").distinct().count() == 2 * len(rows)
+
+
+def test_queries_are_named():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert F is not None
