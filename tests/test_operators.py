@@ -137,3 +137,11 @@ def test_scan_files(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x = 1\n")
     assert sorted(r["path"] for r in text_source.scan_files(spark, str(tmp_path)).collect()) == ["a.py", "pkg/b.py"]
+
+
+def test_capped(spark):
+    from lodeweave.operators import evidence
+
+    rows = [("a", 1, 5), ("a", 2, 7), ("a", 3, 4), ("a", 4, 1), ("b", 1, 20), ("b", 2, 3)]
+    got = evidence.capped(spark.createDataFrame(rows, "key string, turn int, size int"), "key", ["turn"], "size", 10).collect()
+    assert sorted((r["key"], r["turn"]) for r in got) == [("a", 1), ("a", 3), ("a", 4), ("b", 2)]
