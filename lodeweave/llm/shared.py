@@ -15,20 +15,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which every executor sees; only where that is unset (local tests), a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lodeweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again.
+def stored(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """``df`` written once as Parquet, compressed at a Zstandard level, in the shared folder and read again.
 
     This cuts lineage: what follows reads files that outlive any executor, and a task that runs again reads the same rows.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -152,6 +152,6 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard: int
 
 def training_order(docs: DataFrame, path: str, length: int = LENGTH, key: int = KEY, shard: int = SHARD) -> DataFrame:
     """Cuts ``docs`` (doc_id, text) into sequences, writes them in training order under ``path`` and returns what each slot holds: slot, doc_ids, ids_crc32 (as cut, before any shuffle)."""
-    slotted, total = assign_slots(stored(token_sequences(docs, length), "sequences"), key)
+    slotted, total = assign_slots(stored(token_sequences(docs, length), "sequences", level=6), key)
     write_shards(slotted.select("slot", "tokens"), total, path, shard)
     return slotted.select("slot", "doc_ids", F.crc32("tokens").alias("ids_crc32"))
