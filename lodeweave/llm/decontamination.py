@@ -124,7 +124,7 @@ def _collisions(words: np.ndarray, at: np.ndarray, hits: np.ndarray, items: Item
     keep, k = np.zeros(len(hits), bool), 0
     while k < len(hits):
         n = int(sizes[hits[min(k + 2047, len(hits) - 1), 1]])
-        part = slice(k, min(k + max(1, min(2048, (1 << 22) // (n * SHIFTS))), len(hits)))
+        part = slice(k, min(k + max(1, min(2048, (1 << 20) // (n * SHIFTS))), len(hits)))
         k = part.stop
         own, which = np.unique(hits[part, 1], return_inverse=True)
         width = int(sizes[own].max())
@@ -202,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     def pass_for(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prepared = items.prepared()
-            for batch in text_slices(batches, most=1 << 22):
+            for batch in text_slices(batches):
                 found = find_items(batch.column(1), items, prepared, count)
                 t, i, d, a, b = list(zip(*found, strict=True)) or [[]] * 5
                 ids = batch.column(0).take(pa.array(t, pa.int64()))
@@ -224,7 +224,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     def pass_for(docs: DataFrame, items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prepared = items.prepared()
-            for batch in text_slices(batches, at, 1 << 22):
+            for batch in text_slices(batches, at):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[x[0] for x in find_items(batch.column(at), items, prepared, count)]] = False
                 yield batch.filter(pa.array(clean))

@@ -39,7 +39,7 @@ class Encoder:
     vocabulary's ranks with a memo of pre-tokens.
     """
 
-    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, memo: int = 400_000):
+    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, memo: int = 1 << 16):
         import public_tokenizers
         import tiktoken
 
