@@ -131,5 +131,6 @@ def redact(docs: DataFrame, judged: DataFrame, mask: str = "[SECRET]") -> DataFr
         return texts.__class__([one(t, h) for t, h in zip(texts, hashes, strict=True)])
 
     joined = docs.join(live.withColumnRenamed("doc_id", "live_doc"), F.col("live_doc") == docs["doc_id"], "left")
-    hit = joined.withColumn("text", F.when(F.col("live_hashes").isNotNull(), masked("text", "live_hashes")).otherwise(F.col("text")))
+    held = F.col("live_hashes").isNotNull()  # other texts stay out of Python
+    hit = joined.withColumn("text", F.when(held, masked(F.when(held, F.col("text")), "live_hashes")).otherwise(F.col("text")))
     return hit.select(*docs.columns)
