@@ -1,4 +1,4 @@
-"""Toxicity by compression distance between two zstandard dictionaries (operator 2)."""
+"""Toxicity by compression distance between zstandard dictionaries (operator 2)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,12 @@ WINDOW, STEP = 64, 48
 ORDINARY_BYTES, TOXIC_BYTES = 110_000, 3000
 #: An excerpt's grams: bytes, part of the toxic texts that hold one, and how many times as often as ordinary texts.
 GRAM, LEAST_PART, LEAST_RATIO = 5, 0.012, 40
+#: Whole words of weaker evidence, in dictionaries of their own: (least, largest) log of how many times as often toxic texts hold one; toxic texts that must hold it, and bytes of each dictionary.
+WORD_TIERS, LEAST_TEXTS, WORD_BYTES = ((4.0, float("inf")), (2.5, 4.0)), 3, 20_000
+#: Parts of the labelled rows; each is calibrated with dictionaries of the others.
+FOLDS = 2
+#: Features of a text: five for each toxic dictionary, and one of its length.
+FEATURES = 5 * (1 + len(WORD_TIERS)) + 1
 #: Matches shorter than this tell nothing: chance finds them in either dictionary.
 LEVEL, LEAST_MATCH = 3, 6
 THRESHOLD = 0.7
@@ -54,16 +61,16 @@ def _excerpts(data: bytes, grams: set[bytes]) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs: both dictionaries (116 KB at most), the calibration's weights and each feature's centre and scale."""
+    """What scoring needs: the ordinary dictionary and what each toxic one adds to it (153 KB at most), the calibration's weights and each feature's centre and scale."""
 
     ordinary: bytes
-    toxic: bytes
+    toxic: tuple[bytes, ...]
     weights: tuple[float, ...]
     centre: tuple[float, ...]
     scale: tuple[float, ...]
 
     def features(self):
-        """A function from a text to its features: how many bytes the toxic dictionary saves over the ordinary one, by window."""
+        """A function from a text to its features: how many bytes each toxic dictionary saves over the ordinary one, by window."""
         import zstandard as zs
 
         def compressor(content: bytes):
@@ -72,15 +79,17 @@ class Model:
             table.precompute_compress(compression_params=how)
             return zs.ZstdCompressor(compression_params=how, dict_data=table).compress
 
-        ordinary, toxic = compressor(self.ordinary), compressor(self.ordinary + self.toxic)
+        ordinary, toxic = compressor(self.ordinary), [compressor(self.ordinary + t) for t in self.toxic]
 
         def of(text: str | None) -> tuple[float, ...]:
             data = _bytes(text)
-            starts = range(0, max(1, len(data) - (WINDOW - STEP)), STEP)
-            saved = sorted(len(ordinary(w)) - len(toxic(w)) for w in (data[i : i + WINDOW] for i in starts))
-            n, top = len(saved), saved[-4:]
-            much = sum(x >= 3 for x in saved[-(n // 2 + 1) :])
-            return saved[-1], sum(top) / len(top), sum(saved) / n, much / n, min(much, 5), n**-0.5
+            windows = [data[i : i + WINDOW] for i in range(0, max(1, len(data) - (WINDOW - STEP)), STEP)]
+            plain, n, out = [len(ordinary(w)) for w in windows], len(windows), []
+            for compress in toxic:
+                saved = sorted(p - len(compress(w)) for p, w in zip(plain, windows, strict=True))
+                top, much = saved[-4:], sum(x >= 3 for x in saved)
+                out += [saved[-1], sum(top) / len(top), sum(saved) / n, much / n, min(much, 5)]
+            return (*out, n**-0.5)
 
         return of
 
@@ -103,48 +112,74 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[int, str | None, int]], toxic_share: float | None = None) -> Model:
-    """A model from (doc_id, text, toxic) rows: six tenths of them train the dictionaries, the others calibrate the score.
-    ``toxic_share``: the share of all labelled rows that are toxic, if the sample has another.
-
-    The ordinary dictionary is trained on windows of ordinary texts. The toxic one goes on from the same content, so that only what toxic texts
-    have beyond it tells: excerpts made of grams that toxic texts hold many times as often, the commonest nearest the end.
-    Without rows of both classes every score is 0.
-    """
-    import zstandard as zs
-
-    rows = sorted({(d, t or "", y) for d, t, y in rows}, key=lambda r: (zlib.crc32(f"fit{r[0]}".encode()), r))
-    own = [[_bytes(t) for i, (_, t, y) in enumerate(rows) if y == k and i % 5 < 3] for k in (0, 1)]
-    rest = [(t, y) for i, (_, t, y) in enumerate(rows) if i % 5 >= 3]
-    if not own[0] or not own[1] or len({y for _, y in rest}) < 2:
-        return Model(b"", b"", (-30.0, *[0.0] * 6), (0.0,) * 6, (1.0,) * 6)
+def _toxic_grams(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    """Excerpts made of grams that toxic texts hold many times as often, the commonest nearest the end."""
     held = [Counter(), Counter()]
-    for k in (0, 1):
-        for data in own[k]:
+    for k, texts in enumerate((ordinary, toxic)):
+        for data in texts:
             held[k].update(_grams(data))
-    n0, n1 = len(own[0]), len(own[1])
+    n0, n1 = len(ordinary), len(toxic)
     least = max(3, LEAST_PART * n1)
     grams = {g for g, c in held[1].items() if c >= least and c / n1 >= LEAST_RATIO * (held[0][g] + 0.5) / n0}
-    found = Counter(x for data in own[1] for x in _excerpts(data, grams))
-    toxic = b""
-    for x, _ in found.most_common(5000):
-        if x not in toxic:
-            toxic = x + toxic
-        if len(toxic) >= TOXIC_BYTES:
+    out = b""
+    for x, _ in Counter(x for data in toxic for x in _excerpts(data, grams)).most_common(5000):
+        if x not in out:
+            out = x + out
+        if len(out) >= TOXIC_BYTES:
             break
+    return out
+
+
+def _toxic_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Each tier's words between spaces, those that tell most, by log-ratio and count, nearest the end."""
+    held = [Counter(w for data in texts for w in set(data.split())) for texts in (ordinary, toxic)]
+    n0, n1 = len(ordinary), len(toxic)
+    ratio = {w: log((c + 0.1) / (n1 + 0.2) * (n0 + 0.2) / (held[0][w] + 0.1)) for w, c in held[1].items() if c >= LEAST_TEXTS and 3 <= len(w) <= STEP - 8}
+    out = []
+    for low, high in WORD_TIERS:
+        content = b""
+        for w in sorted((w for w, r in ratio.items() if low <= r < high), key=lambda w: (-ratio[w] * held[1][w], w)):
+            if len(content) + len(w) + 2 > WORD_BYTES:
+                break
+            content = b" " + w + b" " + content
+        out.append(content)
+    return out
+
+
+def _dictionaries(rows: list[tuple[bytes, int]]) -> tuple[bytes, tuple[bytes, ...]]:
+    import zstandard as zs
+
+    own = [[data for data, y in rows if y == k] for k in (0, 1)]
     windows = [data[i : i + 256] for data in own[0] for i in range(0, len(data), 256)]
     random.Random(0).shuffle(windows)
     try:
         ordinary = zs.train_dictionary(ORDINARY_BYTES, windows[:30_000]).as_bytes()
     except zs.ZstdError:  # too little text to train on
         ordinary = b"".join(windows)[:ORDINARY_BYTES]
-    of = Model(ordinary, toxic, (), (), ()).features()
-    x, y = np.array([of(t) for t, _ in rest], float), np.array([y for _, y in rest], float)
+    return ordinary, (_toxic_grams(own[1], own[0]), *_toxic_words(own[1], own[0]))
+
+
+def fit(rows: list[tuple[int, str | None, int]], toxic_share: float | None = None) -> Model:
+    """A model from (doc_id, text, toxic) rows: all of them train the dictionaries, and each calibrates the score with dictionaries of the other ``FOLDS``.
+    ``toxic_share``: the share of all labelled rows that are toxic, if the sample has another.
+
+    The ordinary dictionary is trained on windows of ordinary texts. The toxic ones go on from the same content, so that only what toxic texts
+    have beyond it tells: one of excerpts of the plainest grams, and one of whole words for each tier of log-ratio, which the calibration weighs.
+    Without rows of both classes every score is 0.
+    """
+    rows = sorted({(d, t or "", y) for d, t, y in rows}, key=lambda r: (zlib.crc32(f"fit{r[0]}".encode()), r))
+    data, y = [(_bytes(t), y) for _, t, y in rows], np.array([y for *_, y in rows], float)
+    if any(len({y for _, y in data[k::FOLDS]}) < 2 for k in range(FOLDS)):
+        return Model(b"", (b"",) * (1 + len(WORD_TIERS)), (-30.0, *[0.0] * FEATURES), (0.0,) * FEATURES, (1.0,) * FEATURES)
+    x = np.zeros((len(rows), FEATURES))
+    for k in range(FOLDS):
+        of = Model(*_dictionaries([r for i, r in enumerate(data) if i % FOLDS != k]), (), (), ()).features()
+        x[k::FOLDS] = [of(t) for _, t, _ in rows[k::FOLDS]]
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     weights = _logistic((x - centre) / scale, y)
     if toxic_share is not None and 0 < toxic_share < 1:
         weights[0] += np.log(toxic_share / (1 - toxic_share)) - np.log(y.mean() / (1 - y.mean()))
-    return Model(ordinary, toxic, tuple(weights), tuple(centre), tuple(scale))
+    return Model(*_dictionaries(data), tuple(weights), tuple(centre), tuple(scale))
 
 
 def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, ordinary: int = SAMPLE_ORDINARY) -> Model:
@@ -167,7 +202,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.features()
         for batch in batches:
-            found = np.array([of(t) for t in batch.column(at).to_pylist()], float).reshape(-1, 6)
+            found = np.array([of(t) for t in batch.column(at).to_pylist()], float).reshape(-1, FEATURES)
             scores = model.score(found)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype("i4"))], [*names, "score", "predicted"])
 
@@ -181,7 +216,7 @@ def keep_ordinary(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.features()
         for batch in batches:
-            found = np.array([of(t) for t in batch.column(at).to_pylist()], float).reshape(-1, 6)
+            found = np.array([of(t) for t in batch.column(at).to_pylist()], float).reshape(-1, FEATURES)
             yield batch.filter(pa.array(model.score(found) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

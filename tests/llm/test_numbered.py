@@ -132,6 +132,16 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in scored)
 
 
+def test_toxicity_by_language(spark):
+    """Languages that mark toxicity by weaker words are caught, too: held-out recall and false positives of each on sf0.1."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    scored = queries.op2_toxicity(spark, folder).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang, least in {"en": 0.8, "fr": 0.5, "de": 0.5, "es": 0.4}.items():
+        toxic, clean = ([r["predicted"] for r in scored if r["lang"] == lang and r["toxic"] == y] for y in (1, 0))
+        assert sum(toxic) >= least * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
 def test_toxicity_edges(spark):
     rng = random.Random(0)
     plain = [" ".join(rng.choice(VOCABULARY) for _ in range(60)) for _ in range(120)]
