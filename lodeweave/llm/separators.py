@@ -25,10 +25,11 @@ def token_blocks(docs: DataFrame, block: int = BLOCK, separator: int = END_OF_DO
     """The flat token stream of each partition of ``docs`` (doc_id, text): unsigned 16-bit ids, a separator after every document, cut into blocks of equal size.
 
     ``doc_ids`` names the documents whose separators a block holds; the scan doesn't read it. A null text gives its separator alone.
+    A text that spells out the separator is encoded as ordinary text, so every separator ends a document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file, at = Encoder().encode, partition_id(), 0
+        encode, file, at = Encoder().encode_ordinary, partition_id(), 0
         end, held = np.array([separator], "<u2").tobytes(), bytearray()
         ends: list[tuple[int, int]] = []
         size = 2 * block

@@ -62,3 +62,9 @@ class Encoder:
         if _OTHER.search(text):
             return array("I", self.bpe.encode_ordinary(text)).tobytes()
         return b"".join(map(self.get, _PIECE.findall(text)))
+
+    def encode_ordinary(self, text: str | None) -> bytes:
+        """As ``encode``, but a special token that a text spells out is ordinary text, so that its id never occurs."""
+        if text and SPECIAL in text:
+            return array("I", self.bpe.encode_ordinary(text)).tobytes()
+        return self.encode(text)

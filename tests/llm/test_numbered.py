@@ -118,6 +118,18 @@ def test_op1(spark):
     assert Counter(counts) == Counter(len(encode(t)) // 4 for t in texts)
 
 
+def test_op1_spelled_out_separator(spark, tmp_path):
+    """A text that spells out the special token keeps its own count and the later documents of its partition theirs."""
+    texts = ["a b", "x <|endoftext|> y", "<|endoftext|>", None, "last one here"]
+    frame(spark, texts, extra=False).select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = tokens.Encoder().bpe.encode_ordinary
+    expected, start = {}, 0
+    for i, t in enumerate(texts):
+        expected[i * 3 + 1] = (start, len(plain(t or "")))
+        start += len(plain(t or "")) + 1
+    assert {r["doc_id"]: (r["start"], r["n_tokens"]) for r in queries.op1_separator_scan(spark, str(tmp_path)).collect()} == expected
+
+
 # 2
 
 
