@@ -101,6 +101,34 @@ def test_near_pairs(spark):
     assert got == {(a, b) for a in sets for b in sets if a < b and round(len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}), 6) >= 0.7}
 
 
+def plain_on_cycles(pairs):
+    left = set(pairs)
+    while (kept := {(a, b) for a, b in left if b in {x for x, _ in left}}) != left:
+        left = kept
+    return {a for a, _ in left}
+
+
+def test_on_cycles(spark):
+    """Chains of more than six edges peel off whole; what is left is on a cycle, or needs a task that is."""
+    chain = [(i, i + 1) for i in range(1, 12)]
+    ring = [(100, 101), (101, 102), (102, 100), (103, 100), *((i, i + 1) for i in range(90, 100)), (102, 5), (7, 7_000), (200, 200)]
+    for pairs in (chain, [*chain, *ring], [(1, 1)], []):
+        got = [r["id"] for r in memory.on_cycles(spark.createDataFrame(pairs, "id long, needs long")).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_on_cycles(pairs)
+    assert memory.on_cycles(spark.createDataFrame(chain, "id long, needs long")).count() == 0
+
+
+def test_cycles_of_orders(spark):
+    from lodeweave.plans import memory as plans
+    from lodeweave.plans.registry import Tables
+
+    folder = "/root/testdata/sf0.001"
+    pairs = {(r["id"], r["needs"]) for r in plans.tasks(Tables(spark, folder))[1].collect()}
+    found = plain_on_cycles(pairs)
+    assert 0 < len(found) < len({a for a, _ in pairs})
+    assert {r["id"] for r in plans.dag_cycle_tasks(Tables(spark, folder)).collect()} == found
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("a\nb\n", "./src\\x.py see src/x.py."), ("", ""), ("x", None)], "t string, m string")
     assert [r[0] for r in df.select(lines("t")).collect()] == [["a", "b"], [], ["x"]]
