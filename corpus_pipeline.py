@@ -23,7 +23,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group that links of similarity 0.8 join; of rows that repeat a document, one."""
+    """Keeps the document of smallest doc_id of each group that links of similarity 0.8 join; of rows that repeat a document, one.
+
+    Rows without a doc_id are documents of their own and come last; of texts that share a doc_id, the one of smallest SHA-256 comes first.
+    Where either occurs, rows are numbered in that order in a stored table, and the numbers decide.
+    """
+    texts = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    if texts.where("doc_id IS NULL OR low <> high").limit(1).count():
+        names, key = docs.columns, "near_duplicates_row"
+        order = [F.col("doc_id").asc_nulls_last(), F.sha2("text", 256).asc_nulls_first()]
+        rows = stored(docs.orderBy(*order).withColumn(key, F.monotonically_increasing_id()), "numbered")
+        found = stored(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), percent=80), "groups")
+        kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key))
+        rows = rows.join(kept, key, "left_semi").select(*names)
+        return rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(rows.where("doc_id IS NULL"))
     found = stored(near_duplicates(docs, percent=80), "groups")
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
     repeated = kept.groupBy("kept_id").count().where("count > 1").limit(1).count()

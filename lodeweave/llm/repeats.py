@@ -175,8 +175,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are ``[^\\x20\\x09-\\x0D]+``; a null text has none, and a text of fewer words than a window keeps them all. Rows that repeat a doc_id
     with the same text get the same result and do not count as repeats of each other; those with other texts each lose what any of them repeats.
+    Rows without a doc_id are documents of their own and come last, by the SHA-256 of their texts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if docs.where("doc_id IS NULL").limit(1).count():
+        order = [F.col("doc_id").asc_nulls_last(), F.sha2("text", 256).asc_nulls_first()]
+        rows = stored(docs.orderBy(*order).withColumn("row", F.monotonically_increasing_id()), "numbered")
+        named = rows.where("doc_id IS NOT NULL")
+        named = named.join(named.groupBy("doc_id").agg(F.min("row").alias("first")), "doc_id").select("doc_id", "text", F.col("first").alias("row"))
+        rows = named.unionByName(rows.where("doc_id IS NULL"))
+        found = remove_repeats(rows.select(F.col("row").alias("doc_id"), "text"), window).withColumnRenamed("doc_id", "row")
+        return found.join(rows.select("row", "doc_id").distinct(), "row").select("doc_id", "n_words", "n_removed", "kept")
     spans, docs = repeated_spans(docs, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

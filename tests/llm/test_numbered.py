@@ -230,6 +230,18 @@ def test_repeats_edges(spark):
     assert two == sorted(one + one)
 
 
+def test_repeats_without_ids(spark):
+    """Rows without a doc_id come last, each a document of its own: what they copy is removed, from any start and also from each other."""
+    run, other = ([f"{x}{i}" for i in range(25)] for x in "ab")
+    texts = {5: " ".join(run), 9: " ".join(["z", *run])}
+    loose = [" ".join(run), " ".join(other), " ".join(other), None]
+    docs = spark.createDataFrame([*texts.items(), (9, texts[9]), *((None, t) for t in loose)], "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in repeats.remove_repeats(docs).collect()), key=repr)
+    nine = (9, 26, 25, "z")
+    expected = [(5, 25, 0, texts[5]), nine, nine, (None, 25, 25, ""), (None, 25, 0, loose[1]), (None, 25, 25, ""), (None, 0, 0, "")]
+    assert got == sorted(expected, key=repr)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=12, max_size=120), st.integers(2, 9))
 def test_fm_index(symbols, length):

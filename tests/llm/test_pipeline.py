@@ -79,6 +79,17 @@ def test_pipeline(spark, tmp_path):
     assert lengths == {d: len(encode(t)) // 4 + 1 for d, t in masked.items()}
 
 
+def test_near_duplicates_of_odd_ids(spark):
+    """Rows without a doc_id stay unless they copy another; one doc_id with two texts keeps only what no other row holds."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a, "k"), (2, b, "k"), (2, a, "k"), (None, c, "k"), (None, c, "k"), (None, b, "k"), (None, d, "k"), (None, None, "k"), (3, "", "k"), (3, "", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    expected = [(1, a), (2, b), (None, c), (None, d), (None, None), (3, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_empty_tables(spark, tmp_path):
     folder = str(tmp_path)
     tables(spark, f"{folder}/full")
