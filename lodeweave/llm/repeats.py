@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .shared import stored
-from .words import _POWERS, gram_hashes, mix, text_slices, word_hashes
+from .words import gram_hashes, mix, text_slices, word_hashes
 
 WINDOW = 20
 #: Words in the grams whose least hash in a window names the window's shard.
 GRAM = 5
-#: Segments that a shard's index holds on average, and that one gram may bring to a shard before its windows are dealt out one by one.
+#: Segments that a shard's index holds on average, and that one gram may bring to a shard before its windows are aggregated one by one instead.
 SHARD, HOT = 6000, 3000
 
 _U = np.uint64
@@ -49,11 +49,11 @@ def _segments(texts: pa.Array, window: int, gram: int):
     runs = np.diff(np.append(begin, len(owner)))
     start = at[owner[begin]] + place[begin]
     length = runs + window - 1
-    up, down = _POWERS.get(len(words) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(words) + 1, _U)
-        np.cumsum(mix(words + _U(0x5851F42D4C957F2D)) * up[:-1], out=total[1:])
-        content = mix((total[start + length] - total[start]) * down[start] + length.astype(_U))
+    begun = np.cumsum(length) - length
+    inside = np.arange(int(length.sum())) - np.repeat(begun, length)
+    with np.errstate(over="ignore"):  # each word counts at its place, so no arrangement of words makes runs alike but by chance
+        each = mix(words[np.repeat(start, length) + inside] + (inside + 1).astype(_U) * _U(0x5851F42D4C957F2D))
+        content = mix(np.add.reduceat(each, begun) + length.astype(_U))
     covered = runs + span - 1
     offset = np.cumsum(covered) - covered
     own = np.arange(int(covered.sum())) + np.repeat(start - offset, covered)
@@ -86,31 +86,51 @@ def _gram_counts(docs: DataFrame, window: int, gram: int = GRAM) -> DataFrame:
     return docs.mapInArrow(run, "gram long, runs int")
 
 
-def _contents(wanted: DataFrame, docs: DataFrame, window: int, shards: int) -> DataFrame:
-    """The words of the wanted runs, each in its gram's shard; a hot gram's windows one by one, each in the shard that its own words name."""
+def _runs_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text and the wanted runs (start, windows, shard) of each document that has any."""
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "shard")).alias("runs")).withColumnRenamed("doc_id", "of")
+    return docs.join(per_doc, F.col("doc_id") == F.col("of")).select("doc_id", "text", "runs")
+
+
+def _contents(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """The words of the wanted runs, each in its gram's shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            words, at = word_hashes(part.column(1))
+            ids, out = part.column(0).to_pylist(), ([], [], [], [])
+            for doc, base, runs in zip(ids, at.tolist(), part.column(2).to_pylist(), strict=False):
+                for r in runs:
+                    s = base + r["start"]
+                    for column, x in zip(out, (r["shard"], doc, r["start"], words[s : s + r["windows"] + window - 1].tobytes()), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["shard", "doc_id", "start", "words"])
+
+    return _runs_of(wanted, docs).mapInArrow(run, "shard long, doc_id long, start int, words binary")
+
+
+def _hot_repeats(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """doc_id, low, high of the windows of hot grams' runs that start earlier too. Each distinct window, by a 128-bit key, is reduced to its earliest place before anything is joined, however often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            has = pa.array([x.is_valid for x in batch.column(2)], pa.bool_())
-            for part in text_slices([batch.filter(has)]):
-                words, at = word_hashes(part.column(1))
-                whole = gram_hashes(words, window, seed=11)
-                ids, out = part.column(0).to_pylist(), ([], [], [], [])
-                for doc, base, runs in zip(ids, at.tolist(), part.column(2).to_pylist(), strict=False):
-                    for r in runs:
-                        pieces = [(0, r["windows"], r["shard"])]
-                        if r["hot"]:
-                            own = whole[base + r["start"] : base + r["start"] + r["windows"]]
-                            pieces = [(i, 1, int(h % _U(shards))) for i, h in enumerate(own)]
-                        for i, n, shard in pieces:
-                            s = base + r["start"] + i
-                            for column, x in zip(out, (shard, doc, r["start"] + i, words[s : s + n + window - 1].tobytes()), strict=True):
-                                column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["shard", "doc_id", "start", "words"])
-
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "shard", "hot")).alias("runs")).withColumnRenamed("doc_id", "of")
-    joined = docs.join(per_doc, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(run, "shard long, doc_id long, start int, words binary")
+        for part in text_slices(batches):
+            words, at = word_hashes(part.column(1))
+            keys = [gram_hashes(words, window, seed=s).view(np.int64) for s in (11, 13)]
+            runs = part.column(2).to_pylist()
+            owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+            start = np.array([r["start"] for own in runs for r in own], np.int64)
+            many = np.array([r["windows"] for own in runs for r in own], np.int64)
+            begun = np.cumsum(many) - many
+            place = np.repeat(start, many) + np.arange(int(many.sum())) - np.repeat(begun, many)
+            owner = np.repeat(owner, many)
+            spot = at[owner] + place
+            ids = part.column(0).take(pa.array(owner, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0][spot]), pa.array(keys[1][spot]), ids, pa.array(place.astype("i4"))], ["key", "check", "doc_id", "start"])
+
+    hot = stored(_runs_of(wanted, docs).mapInArrow(run, "key long, check long, doc_id long, start int"), "hot-windows")
+    first = hot.groupBy("key", "check").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    late = hot.join(first, ["key", "check"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
+    return late.select("doc_id", F.col("start").alias("low"), (F.col("start") + window).alias("high"))
 
 
 def _search(window: int):
@@ -153,6 +173,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     Windows meet in shards named by their least gram. Grams that lead one run alone are done with at once. Runs that read alike are one entry, with the earliest place
     they have: every other place of theirs is a repeat. Entries whose gram leads another entry too, or that repeat within themselves, are indexed, and
     each of their windows is searched backward in its shard's FM-index: it is a repeat unless its own place is the earliest of all rows in its interval.
+    A gram that leads more than ``HOT`` entries would fill a shard: its windows are aggregated one by one, each to its earliest place.
     """
     counts = _gram_counts(docs, window).groupBy("gram").agg(F.sum("runs").alias("runs"))
     shared = stored(counts.where("runs > 1").select("gram"), "grams")
@@ -166,8 +187,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     wanted = entries.join(leads, "gram").select(F.col("first_doc").alias("doc_id"), F.col("first_start").alias("start"), "windows", F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard"), (F.col("entries") > HOT).alias("hot"))
     later = places.join(entries.drop("twice"), ["gram", "content"]).where((F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start")))
     later = later.select("doc_id", F.col("start").alias("low"), (F.col("start") + F.col("windows") + (window - 1)).alias("high"))
-    searched = _contents(wanted, docs, window, shards).groupBy("shard").applyInArrow(_search(window), "doc_id long, low int, high int")
-    return later.unionByName(searched), docs
+    wanted = stored(wanted, "wanted")
+    searched = _contents(wanted.where("NOT hot"), docs, window).groupBy("shard").applyInArrow(_search(window), "doc_id long, low int, high int")
+    return later.unionByName(searched).unionByName(_hot_repeats(wanted.where("hot"), docs, window)), docs
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -9,13 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_VALUE = np.random.default_rng(20).integers(1, 2**63, 256, np.uint64) * _U(2) + _U(1)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_STEP = _U(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,21 +23,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, as many as were asked for."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, _U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 20)
-            self.up = np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, _BASE)]))
-            self.down = np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, _INVERSE)]))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
+#: A value for each byte at each of 64 places of a word.
+_VALUES = mix(np.arange(1, 64 * 256 + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).reshape(64, 256)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -58,7 +43,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int =
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word ``[^\\x20\\x09-\\x0D]+`` of each text, and each text's first word's place (one more at the end). A null text has no words.
 
-    Words are hashed by differences of one running polynomial sum over the batch's bytes, with their length mixed in.
+    A word's hash is the mixed sum of a pseudo-random value for each byte at its place, and of its length: no arrangement of bytes makes words alike but by chance.
     """
     if texts.offset:
         texts = pa.concat_arrays([texts])
@@ -82,12 +67,22 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:n]
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _POWERS.get(n + 1)
+    own = raw[inside]
+    return _summed(_LOWER[own] if lower else own, stop - start), np.searchsorted(start, offsets)
+
+
+def _summed(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The hashes of words whose bytes stand one after the other in ``data``."""
+    if not len(lengths):
+        return np.zeros(0, _U)
+    begin = np.cumsum(lengths) - lengths
+    place = np.arange(len(data)) - np.repeat(begin, lengths)
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, _U)
-        np.cumsum((_VALUE[_LOWER] if lower else _VALUE)[raw] * up[:n], out=total[1:])
-        hashes = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(_U) * _U(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(start, offsets)
+        value = _VALUES[place & 63, data]
+        if int(lengths.max()) > 64:
+            far = np.flatnonzero(place > 63)
+            value[far] = mix(value[far] + (place[far] >> 6).astype(_U) * _STEP)
+        return mix(np.add.reduceat(value, begin) + lengths.astype(_U) * _STEP)
 
 
 def gram_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
