@@ -17,7 +17,7 @@ KINDS = (*BASE, "login", "account", "address")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9.]+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # The added kinds: credentials in a URL, an account number after its cue, a street address around its cue.
@@ -37,9 +37,23 @@ def _luhn(digits: str) -> bool:
 
 
 def _byte(part: str) -> bool:
+    part = part.lstrip("0")
     return len(part) < 4 and int(part or 0) <= 255
 
 
+def _dotted_quads(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Of a stretch of digits and dots, runs of digits by fours, each parted by one dot: leftmost, consumed whether or not their parts are bytes. Each run is read once."""
+    runs: list[tuple[int, int]] = []
+    for m in _DIGITS.finditer(text, low, high):
+        if runs and m.start() != runs[-1][1] + 1:
+            runs = []
+        runs.append(m.span())
+        if len(runs) == 4:
+            if all(_byte(text[a:b]) for a, b in runs):
+                yield runs[0][0], runs[3][1]
+            runs = []
+
+
 def _iban(value: str) -> bool:
     value = value.replace(" ", "")
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
@@ -70,7 +84,7 @@ def find(text: str, anchors) -> list[tuple[int, int, int]]:
             if at >= dotted:
                 dotted = _DOTTED.match(text, at).end()
                 if text.count(".", at, dotted) >= 3:
-                    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text, at, dotted) if all(_byte(p.lstrip("0")) for p in m[0].split("."))]
+                    found += [(a, 1, b) for a, b in _dotted_quads(text, at, dotted)]
             if at >= card:
                 m = _CARD.match(text, at)
                 card = m.end() if m else at + 1
