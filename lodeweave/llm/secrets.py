@@ -26,7 +26,8 @@ _MORE = {
     "pem": re.compile(r"-----BEGIN\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY-----[A-Za-z0-9+/=\s]+-----END\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY-----"),
 }
 KINDS = (*BASE, *_MORE, "live")
-_PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|change_me|your[_-]|password|passwd|test|foobar|xxxx|0000|1234|abcd", re.IGNORECASE)
+# Words that mark a placeholder; short ones only where they stand apart from letters and digits.
+_PLACEHOLDER = re.compile(r"example|sample|placeholder|change_?me|your[_-]|password|passwd|foobar|(?<![a-z0-9])(?:test|dummy)(?![a-z0-9])", re.IGNORECASE)
 
 #: A value held by so many owners or more is a widely copied example.
 COPIED_BY = 3
@@ -34,10 +35,21 @@ COPIED_BY = 3
 _FOUND = "row long, doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,rank:int,stop:int,value_start:int,value_stop:int,hash:string,plausible:boolean>>"
 
 
+def _in_a_row(value: str) -> int:
+    """The longest stretch of equal characters, or of characters that each follow the one before."""
+    longest, now, step = 1, 1, None
+    for a, b in zip(value, value[1:], strict=False):
+        d = ord(b) - ord(a)
+        now = now + 1 if d == step else 2 if d in (0, 1) else 1
+        step = d if d in (0, 1) else None
+        longest = max(longest, now)
+    return longest
+
+
 def looks_live(value: str) -> bool:
-    """Whether a value is mixed enough for a generated credential: 8 characters, no placeholder, more than 2.5 bits a character."""
+    """Whether a value is mixed enough for a generated credential: 8 characters, no placeholder's word, no half of it in a row (0000, 1234), more than 2.5 bits a character."""
     n = len(value)
-    if n < 8 or _PLACEHOLDER.search(value):
+    if n < 8 or _PLACEHOLDER.search(value) or 2 * _in_a_row(value) >= n:
         return False
     return -sum(c / n * log2(c / n) for c in Counter(value).values()) > 2.5
 
