@@ -13,15 +13,17 @@ from .shared import partition_id, stored
 from .tokens import Encoder
 
 CAPACITY = 2048
-#: Bins with at most this many free places count as nearly full and are emitted at once.
-SLACK = 8
-#: Groups that meet in one task of the next round.
+#: Bins with at most this many free places count as nearly full and are emitted at once: a thousandth of a bin at most is lost by it.
+SLACK = 2
+#: Groups that meet in one round.
 FAN_IN = 8
-#: The emptiest bins of a group that go to the next round; fuller ones are emitted as they are. Bounds a task's items, loses none.
-CARRY = 4096
+#: Bins of a group that are ranked together; what a task sorts at once.
+BLOCK = 1 << 16
+#: Bits of a bin's id: its place in its group and its group; the rest is the round.
+BIN_BITS, GROUP_BITS = 34, 24
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, filled long"
-_MOVES = "bin long, root long, shift long, filled long"
+_PLAN = "group long, open boolean, filled long, first long, last long, bin long, per long, offset long"
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -49,9 +51,43 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, filled
 
 
+def best_fit_counts(lengths: dict[int, int], capacity: int) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """``best_fit`` of so many items of each length, whose equals are not told apart: the work grows with the lengths there are, not with the items.
+
+    First: (length, first, last, bin, per, offset): of that length's items, numbered from 0, first to last (exclusive) go to bins from ``bin`` on, ``per`` items
+    to each, the first of them at ``offset``. Second: (bin, n, filled): n bins from ``bin`` on that have room left.
+    """
+    placed, stacks, free, opened = [], [[] for _ in range(capacity + 1)], 0, 0
+    for length, count in sorted(lengths.items(), reverse=True):
+        rank = 0
+        while rank < count:
+            if fits := free >> length:
+                room = length + (fits & -fits).bit_length() - 1
+                low, n = stacks[room].pop()
+                if not stacks[room]:
+                    free &= ~(1 << room)
+            else:
+                room, low, n = capacity, opened, -(-(count - rank) // (capacity // length))
+                opened += n
+            most = room // length
+            whole = min(n, (count - rank) // most)
+            rest = min(count - rank - whole * most, most) if whole < n else 0
+            for bins, per in ((whole, most), (int(rest > 0), rest), (n - whole - (rest > 0), 0)):
+                if not bins:
+                    continue
+                if per:
+                    placed.append((length, rank, rank + bins * per, low, per, capacity - room))
+                    rank += bins * per
+                if left := room - per * length:
+                    stacks[left].append((low, bins))
+                    free |= 1 << left
+                low += bins
+    return placed, [(low, n, capacity - room) for room, own in enumerate(stacks) for low, n in own]
+
+
 def _bin_id(level: int, group: int) -> int:
-    """Of a group's first bin: 5 bits of the round, 31 of the group, 27 of the bin."""
-    return (level << 58) | (group << 27)
+    """Of a group's first bin."""
+    return (level << (BIN_BITS + GROUP_BITS)) | (group << BIN_BITS)
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -87,41 +123,53 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def _merge(level: int, capacity: int):
     def run(key: tuple, items: pa.Table) -> pa.Table:
         group = key[0].as_py()
-        ids, lengths = items.column("bin").to_pylist(), items.column("filled").to_pylist()
-        order = sorted(range(len(ids)), key=ids.__getitem__)  # whatever order the shuffle brought
-        bins, offsets, filled = best_fit([lengths[i] for i in order], capacity)
+        placed, left = best_fit_counts(dict(zip(items.column("filled").to_pylist(), items.column("n").to_pylist(), strict=True)), capacity)
         base = _bin_id(level, group)
-        return pa.table({"bin": pa.array([ids[i] for i in order], pa.int64()), "root": pa.array([base + b for b in bins], pa.int64()), "shift": pa.array(offsets, pa.int64()), "filled": pa.array([filled[b] for b in bins], pa.int64())})
+        rows = [(group, False, length, first, last, base + low, per, offset) for length, first, last, low, per, offset in placed]
+        rows += [(group, True, filled, 0, n, base + low, 0, 0) for low, n, filled in left]
+        kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 6]
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 8, kinds, strict=True)], ["group", "open", "filled", "first", "last", "bin", "per", "offset"])
 
     return run
 
 
-def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN, carry: int = CARRY) -> DataFrame:
+def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN) -> DataFrame:
     """Packs what ``token_pieces`` gives into sequences of at most ``capacity`` tokens.
 
-    Every partition has packed its own pieces. Underfull bins then go, as items, to rounds in which ``fan_in`` groups
-    meet in one task, until one group is left. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-    Only lengths and bin ids move; no task ever holds more than ``fan_in * carry`` items.
+    Every partition has packed its own pieces. Bins that are not nearly full then go, as items, to rounds in which ``fan_in`` groups
+    meet, until one group is left. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    Items of one length are alike, so a round's task reads how many a group has of each length (``capacity`` rows at most) and
+    says which ranks go where; items are ranked in blocks of bounded size and look their place up. Only lengths and bin ids move; no item is left out.
     """
     pieces = stored(pieces, "pieces")
     parts = pieces.agg(F.coalesce(F.max("part"), F.lit(0)) + 1).head()[0]
     bins = pieces.where(F.col("offset") == 0).select("bin", "filled", F.col("part").alias("group"))
-    placed, level = None, 0
+    placed, level, unit = None, 0, ["child", "block", "filled"]
     while parts > 1:
         level, parts = level + 1, -(-parts // fan_in)
-        emptiest = F.row_number().over(Window.partitionBy("group").orderBy("filled", "bin"))
-        items = bins.where(F.col("filled") < capacity - slack).withColumn("rank", emptiest).where(F.col("rank") <= carry)
-        items = items.select("bin", "filled", F.floor(F.col("group") / fan_in).cast("long").alias("group"))
-        moves = stored(items.groupBy("group").applyInArrow(_merge(level, capacity), _MOVES), f"moves{level}")
+        block = F.floor(F.col("bin").bitwiseAND(F.lit((1 << BIN_BITS) - 1)) / BLOCK)
+        items = bins.where(F.col("filled") < capacity - slack)
+        items = items.select("bin", "filled", F.col("group").alias("child"), F.floor(F.col("group") / fan_in).cast("long").alias("group"), block.alias("block"))
+        counts = stored(items.groupBy("group", *unit).agg(F.count(F.lit(1)).alias("n")), f"counts{level}")
+        earlier = Window.partitionBy("group", "filled").orderBy("child", "block").rowsBetween(Window.unboundedPreceding, -1)
+        begins = counts.select(*unit, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        totals = counts.groupBy("group", "filled").agg(F.sum("n").alias("n"))
+        plan = stored(totals.groupBy("group").applyInArrow(_merge(level, capacity), _PLAN), f"plan{level}")
+        rank = F.col("before") + F.row_number().over(Window.partitionBy(*unit).orderBy("bin")) - 1
+        ranked = items.join(begins, unit).select("group", "filled", "bin", rank.alias("rank"))
+        spots = plan.where("NOT open").withColumnRenamed("bin", "low")
+        own = F.col("rank") - F.col("first")
+        moves = ranked.join(spots, ["group", "filled"]).where("rank >= first AND rank < last")
+        moves = stored(moves.select("bin", (F.col("low") + F.floor(own / F.col("per"))).alias("root"), (F.col("offset") + own % F.col("per") * F.col("filled")).alias("shift")), f"moves{level}")
         if placed is None:
-            placed = moves.select("bin", "root", "shift")
+            placed = moves
         else:
             onward = moves.select(F.col("bin").alias("root"), F.col("root").alias("next"), F.col("shift").alias("more"))
             placed = placed.join(onward, "root", "left").select("bin", F.coalesce("next", "root").alias("root"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
             placed = stored(placed, f"placed{level}")
-        bins = moves.where(F.col("shift") == 0).select(F.col("root").alias("bin"), "filled", F.shiftright("root", 27).bitwiseAND(F.lit((1 << 31) - 1)).alias("group"))
+        stretch = plan.where("open").select("group", "filled", "bin", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") - 1, F.lit(BLOCK).cast("long"))).alias("at"))
+        bins = stretch.select("group", "filled", "bin", F.explode(F.sequence("at", F.least(F.col("at") + BLOCK, "last") - 1)).alias("at")).select((F.col("bin") + F.col("at")).alias("bin"), "filled", "group")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     if placed is None:
         return pieces.select(*names, F.col("bin").alias("sequence_id"), "offset")
     return pieces.join(placed, "bin", "left").select(*names, F.coalesce("root", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
-
