@@ -1,10 +1,13 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance (operator 6)."""
+"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance (operator 6).
+
+Windows of the texts and all windows of the items are embedded by random walks; those that agree in every coordinate of one of many samples meet,
+and what then agrees in enough coordinates is compared by edit distance, which alone decides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -15,36 +18,37 @@ from .words import gram_hashes, mix, text_slices, word_hashes
 
 #: An item is in a text if some stretch of it differs in at most (1 - SIMILARITY) of the item's words, by edit distance.
 SIMILARITY = 0.8
-#: Shorter items say too little to be found; they take no part.
-LEAST_WORDS = 8
-#: Walks of the embedding, coordinates in a sample, the part of coordinates that such a stretch is taken to agree in at least, and the part of them to be found.
-WALKS, SAMPLE, AGREEING, RECALL = 4, 3, 0.5, 0.995
-#: Windows about the place where a seed puts an item, spread over as many words as it may be off.
-SHIFTS = 9
+#: Items of fewer words are looked for as they stand.
+SHORT = 8
+#: Least words of an item, words of its windows, words from one window of a text to the next, coordinates in a sample.
+SHAPES = ((8, 6, 1, 4), (14, 9, 1, 5), (20, 12, 2, 5))
+#: Walks of the embedding, samples of each, and the part of all coordinates that a window and an item's must agree in to be compared word by word.
+WALKS, SAMPLES, AGREEING = 2, 12, 0.4
 #: Items that one pass over the documents looks for; their words (8 bytes each) are what is broadcast.
-BLOCK, BLOCK_WORDS = 8192, 1 << 21
+BLOCK, BLOCK_WORDS = 8192, 1 << 18
 
 _U = np.uint64
 _FOUND = "doc_id long, item_id long, distance int, low int, high int"
 
 
-def tables(recall: float = RECALL, agreeing: float = AGREEING, sample: int = SAMPLE) -> int:
-    """Samples after which a pair that agrees in that part of its coordinates has collided with probability ``recall``."""
-    return ceil(log(1 - recall) / log(1 - agreeing**sample))
+def embedded(words: np.ndarray, starts: np.ndarray, size: int, walk: int) -> np.ndarray:
+    """CGK: from each start, 2 * size steps over the words; a step gives the word at the walk's place, and a random bit of step and word moves it on or not, so that it covers about ``size`` words. Walks over two texts fall into step again after an edit, so edit distance becomes Hamming distance. ``words`` goes on for 2 * size more places than any start."""
+    with np.errstate(over="ignore"):
+        coins = mix(words + _U((walk + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    at, out = starts.astype(np.int64), np.empty((2 * size, len(starts)), _U)
+    for step in range(2 * size):
+        np.take(words, at, out=out[step])
+        at += ((coins[at] >> _U(step)) & _U(1)).astype(np.int64)
+    return out
 
 
-def embedded(windows: np.ndarray, walk: int) -> np.ndarray:
-    """CGK: 3n output steps over each row of n symbols; each step gives the symbol at the walk's place, and a random bit of step and symbol moves it on or not. Walks of two rows fall into step again after an edit, so edit distance becomes Hamming distance. Past its end a row gives 0."""
-    rows, n = windows.shape
-    padded = np.concatenate([windows, np.zeros((rows, 1), _U)], axis=1)
-    at, every, out = np.zeros(rows, np.int64), np.arange(rows), np.empty((rows, 3 * n), _U)
-    for step in range(3 * n):
-        symbol = padded[every, at]
-        out[:, step] = symbol
-        with np.errstate(over="ignore"):
-            at += (mix(symbol + _U(((walk + 1) * 0x9E3779B97F4A7C15 + (step + 1) * 0xD6E8FEB86659FD93) % 2**64)) & _U(1)).astype(np.int64)
-        np.minimum(at, n, out=at)
-    return out
+def sampled(steps: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """One key for the drawn coordinates of each column."""
+    with np.errstate(over="ignore"):
+        key = steps[draw[0]]
+        for c in draw[1:]:
+            key = key * _U(0x9FB21C651E98DF25) + steps[c]
+        return mix(key)
 
 
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -66,96 +70,119 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass(frozen=True)
 class Items:
-    """A block of benchmark items as word hashes, with the seeds that find where their windows may lie.
-
-    A stretch within distance d of an item of L words keeps one of d+1 equal parts of it whole, so it holds a run of L // (d + 1)
-    of its words within d places of where it belongs: seeds lose nothing.
-    """
+    """A block of benchmark items as word hashes."""
 
     ids: list[int]
     words: list[np.ndarray]
     similarity: float
 
     def edits(self, i: int) -> int:
-        return int(len(self.words[i]) * (1 - self.similarity) + 1e-9)
-
-    def prepared(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By seed length: a bit table of the seeds' low bits, the seeds in order, and each seed's item and place in it."""
-        found: dict[int, tuple[list, list, list]] = {}
-        for i, words in enumerate(self.words):
-            q = min(4, max(1, len(words) // (self.edits(i) + 1)))
-            grams = gram_hashes(words, q, seed=3)
-            seeds, owners, places = found.setdefault(q, ([], [], []))
-            seeds.append(grams)
-            owners.append(np.full(len(grams), i))
-            places.append(np.arange(len(grams)))
-        out = {}
-        for q, parts in found.items():
-            seeds, owners, places = (np.concatenate(x) for x in parts)
-            order = np.argsort(seeds, kind="stable")
-            bits = np.zeros(1 << 22, bool)
-            bits[(seeds & _U((1 << 22) - 1)).astype(np.int64)] = True
-            out[q] = bits, seeds[order], owners[order], places[order]
-        return out
-
-
-def _hits(words: np.ndarray, at: np.ndarray, prepared: dict) -> np.ndarray:
-    """Distinct (text, item, where the item would begin) of all seeds in the texts."""
+        n = len(self.words[i])
+        return int(n * (1 - self.similarity) + 1e-9) if n >= SHORT else 0
+
+    def prepared(self) -> tuple[list[_Windows], dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """The windows of each shape that has items, and by length the short items' hashes, in order, with the items."""
+        shapes = [*SHAPES, (1 << 62, 0, 0, 0)]
+        lengths = np.array([len(w) for w in self.words])
+        windows = []
+        for (least, size, step, sample), (following, *_) in zip(shapes, shapes[1:], strict=False):
+            own = np.flatnonzero((lengths >= least) & (lengths < following))
+            if len(own):
+                windows.append(_Windows.of([self.words[i] for i in own], own, size, step, sample))
+        short = {}
+        for n in np.unique(lengths[lengths < SHORT]).tolist():
+            own = np.flatnonzero(lengths == n)
+            grams = np.concatenate([gram_hashes(self.words[i], n, seed=3) for i in own])
+            order = np.argsort(grams, kind="stable")
+            short[n] = grams[order], own[order]
+        return windows, short
+
+
+@dataclass(frozen=True)
+class _Windows:
+    """All windows of some items, embedded, with each sample's keys in order: what a text's windows are looked up in."""
+
+    size: int
+    step: int
+    items: np.ndarray
+    places: np.ndarray
+    steps: list[np.ndarray]
+    tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, words: list[np.ndarray], items: np.ndarray, size: int, step: int, sample: int) -> _Windows:
+        gap, draws = np.zeros(2 * size, _U), np.random.default_rng(6)
+        counts = np.array([len(w) - size + 1 for w in words])
+        begin = np.cumsum([0, *(len(w) + len(gap) for w in words)])[:-1]
+        places = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        flat = np.concatenate([x for w in words for x in (w, gap)])
+        steps = [embedded(flat, np.repeat(begin, counts) + places, size, walk) for walk in range(WALKS)]
+        tables = []
+        for walk in range(WALKS):
+            for _ in range(SAMPLES):
+                draw = np.sort(draws.choice(2 * size, sample, replace=False))
+                inside = np.flatnonzero((steps[walk][draw] != 0).all(axis=0))  # a walk past its item's end gives 0, which is no word
+                keys = sampled(steps[walk][:, inside], draw)
+                order = np.argsort(keys, kind="stable")
+                bits = np.zeros(1 << min(22, max(10, 4 + len(keys).bit_length())), bool)
+                bits[(keys & _U(len(bits) - 1)).astype(np.int64)] = True
+                tables.append((walk, draw, bits, keys[order], inside[order]))
+        return cls(size, step, np.repeat(items, counts), places, steps, tables)
+
+    def near(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, where it would begin in ``words``) of every window of the text that collides with an item's in a sample and agrees with it in enough coordinates."""
+        starts = np.arange(0, len(words), self.step)
+        padded = np.concatenate([words, np.zeros(2 * self.size, _U)])
+        steps = [embedded(padded, starts, self.size, walk) for walk in range(WALKS)]
+        pairs = [np.zeros(0, np.int64)]
+        for walk, draw, bits, keys, windows in self.tables:
+            key = sampled(steps[walk], draw)
+            where = np.flatnonzero(bits[(key & _U(len(bits) - 1)).astype(np.int64)])
+            low, high = np.searchsorted(keys, key[where], "left"), np.searchsorted(keys, key[where], "right")
+            many = high - low
+            each = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            pairs.append(np.repeat(where, many) * len(self.items) + windows[each])
+        text, own = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
+        keep = np.zeros(len(text), bool)
+        for k in range(0, len(text), 1 << 15):
+            part = slice(k, k + (1 << 15))
+            same = sum((mine[:, text[part]] == theirs[:, own[part]]).sum(axis=0) for mine, theirs in zip(steps, self.steps, strict=True))
+            keep[part] = same >= AGREEING * WALKS * 2 * self.size
+        return self.items[own[keep]], starts[text[keep]] - self.places[own[keep]]
+
+
+def _candidates(words: np.ndarray, at: np.ndarray, windows: list[_Windows]) -> np.ndarray:
+    """Distinct (text, item, where the item would begin), in order."""
     out = [np.zeros((0, 3), np.int64)]
-    for q, (bits, seeds, owners, places) in prepared.items():
-        grams = gram_hashes(words, q, seed=3)
-        where = np.flatnonzero(bits[(grams & _U((1 << 22) - 1)).astype(np.int64)])
-        low, high = np.searchsorted(seeds, grams[where], "left"), np.searchsorted(seeds, grams[where], "right")
-        some = high > low
-        where, low, many = where[some], low[some], (high - low)[some]
-        seed = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        where = np.repeat(where, many)
-        text = np.searchsorted(at, where, "right") - 1
-        inside = where + q <= at[text + 1]
-        out.append(np.stack([text, owners[seed], where - places[seed]], axis=1)[inside])
+    for shape in windows:
+        item, begin = shape.near(words)
+        text = np.searchsorted(at, np.maximum(begin, 0) + shape.size // 2, "right") - 1
+        out.append(np.stack([np.minimum(text, len(at) - 2), item, begin], axis=1))
     return np.unique(np.concatenate(out), axis=0)
 
 
-def _collisions(words: np.ndarray, at: np.ndarray, hits: np.ndarray, items: Items, count: int) -> np.ndarray:
-    """Of the hits, those near which an item-sized window collides with its item in one of ``count`` samples. Windows of items of about one length are embedded together."""
-    sizes = np.array([len(w) for w in items.words])
-    draws = np.random.default_rng(6).random((count, SAMPLE))
-    hits = hits[np.argsort(sizes[hits[:, 1]], kind="stable")]
-    keep, k = np.zeros(len(hits), bool), 0
-    while k < len(hits):
-        n = int(sizes[hits[min(k + 2047, len(hits) - 1), 1]])
-        part = slice(k, min(k + max(1, min(2048, (1 << 20) // (n * SHIFTS))), len(hits)))
-        k = part.stop
-        own, which = np.unique(hits[part, 1], return_inverse=True)
-        width = int(sizes[own].max())
-        texts, item_of, length = np.repeat(hits[part, 0], SHIFTS), np.repeat(which, SHIFTS), np.repeat(sizes[hits[part, 1]], SHIFTS)
-        edits = np.array([items.edits(i) for i in own])[which]
-        starts = (hits[part, 2][:, None] + np.rint(edits[:, None] * np.linspace(-1, 1, SHIFTS)).astype(np.int64)).reshape(-1)
-        stop = at[texts + 1]
-        starts = np.clip(starts, at[texts], np.maximum(at[texts], stop - 1))
-        place = starts[:, None] + np.arange(width)
-        inside = (place < stop[:, None]) & (np.arange(width) < length[:, None])
-        windows = np.where(inside, words[np.minimum(place, len(words) - 1)], _U(0))
-        targets = np.zeros((len(own), width), _U)
-        for row, i in zip(targets, own, strict=True):
-            row[: sizes[i]] = items.words[i]
-        near = np.zeros(len(windows), bool)
-        for walk in range(WALKS):
-            rows, goals = embedded(windows, walk), embedded(targets, walk)
-            for draw in draws[walk::WALKS]:
-                at_step = (draw * 3 * length[:, None]).astype(np.int64)
-                near |= (np.take_along_axis(rows, at_step, 1) == goals[item_of[:, None], at_step]).all(axis=1)
-        keep[part] = near.reshape(-1, SHIFTS).any(axis=1)
-    hits = hits[keep]
-    return hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))]
+def _short_items(words: np.ndarray, at: np.ndarray, short: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """The first place of each short item in each text."""
+    for n, (keys, items) in short.items():
+        grams = gram_hashes(words, n, seed=3)
+        where = np.flatnonzero(np.isin(grams, keys))
+        text = np.searchsorted(at, where, "right") - 1
+        whole = where + n <= at[text + 1]
+        seen = set()
+        for t, p in zip(text[whole].tolist(), where[whole].tolist(), strict=True):
+            for i in items[np.searchsorted(keys, grams[p], "left") : np.searchsorted(keys, grams[p], "right")].tolist():
+                if (t, i) not in seen:
+                    seen.add((t, i))
+                    yield t, i, 0, p - int(at[t]), p - int(at[t]) + n
 
 
-def find_items(texts: pa.Array, items: Items, prepared: dict, count: int) -> list[tuple[int, int, int, int, int]]:
+def find_items(texts: pa.Array, items: Items, prepared: tuple) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, low, high) of every text and item found in it, at its nearest stretch; words are lower-cased."""
     words, at = word_hashes(texts, lower=True)
     if not len(words):
         return []
-    hits = _collisions(words, at, _hits(words, at, prepared), items, count)
+    windows, short = prepared
+    hits = _candidates(words, at, windows)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     k = 0
     while k < len(hits):
@@ -169,16 +196,16 @@ def find_items(texts: pa.Array, items: Items, prepared: dict, count: int) -> lis
         if distance <= d:
             spot = distance, start + a - int(at[text]), stop + a - int(at[text])
             best[text, item] = min(best.get((text, item), spot), spot)
-    return [(t, i, *spot) for (t, i), spot in best.items()]
+    return [(t, i, *spot) for (t, i), spot in best.items()] + list(_short_items(words, at, short))
 
 
-def _blocks(benchmark: DataFrame, similarity: float, least_words: int) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, similarity: float) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, fetched one partition at a time."""
     rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     ids, kept, held = [], [], 0
     for row in rows.toLocalIterator():
         words = word_hashes(pa.array([row["text"]]), lower=True)[0]
-        if len(words) < least_words:
+        if not len(words):
             continue
         ids.append(row["item_id"])
         kept.append(words)
@@ -190,20 +217,20 @@ def _blocks(benchmark: DataFrame, similarity: float, least_words: int) -> Iterat
         yield Items(ids, kept, similarity)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, recall: float = RECALL) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, distance, low, high: every document (doc_id, text) that holds an item (item_id, text), with its nearest stretch (words [low, high)). A-Z count as a-z.
 
     The benchmark is taken in blocks of bounded size, each of which one pass over the documents looks for; documents are not shuffled, and each row is judged alone.
-    Null texts and items of fewer than ``least_words`` words hold nothing and are not looked for. Repeated items are each reported.
+    Items of fewer than ``SHORT`` words must stand there as they are. Null texts and items without words hold nothing and are not looked for. Repeated items
+    and repeated rows are each reported; a null doc_id comes out as null.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    count = tables(recall)
 
     def pass_for(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prepared = items.prepared()
             for batch in text_slices(batches):
-                found = find_items(batch.column(1), items, prepared, count)
+                found = find_items(batch.column(1), items, prepared)
                 t, i, d, a, b = list(zip(*found, strict=True)) or [[]] * 5
                 ids = batch.column(0).take(pa.array(t, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[x] for x in i], pa.int64()), *(pa.array(x, pa.int32()) for x in (d, a, b))], ["doc_id", "item_id", "distance", "low", "high"])
@@ -211,26 +238,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return docs.mapInArrow(run, _FOUND)
 
     out = None
-    for items in _blocks(benchmark, similarity, least_words):
+    for items in _blocks(benchmark, similarity):
         found = pass_for(items)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], _FOUND) if out is None else out
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, recall: float = RECALL) -> DataFrame:
+def without_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text holds no item of ``benchmark``."""
-    at, count = docs.columns.index("text"), tables(recall)
+    at = docs.columns.index("text")
 
     def pass_for(docs: DataFrame, items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prepared = items.prepared()
             for batch in text_slices(batches, at):
                 clean = np.ones(batch.num_rows, bool)
-                clean[[x[0] for x in find_items(batch.column(at), items, prepared, count)]] = False
+                clean[[x[0] for x in find_items(batch.column(at), items, prepared)]] = False
                 yield batch.filter(pa.array(clean))
 
         return docs.mapInArrow(run, docs.schema)
 
-    for items in _blocks(benchmark, similarity, least_words):
+    for items in _blocks(benchmark, similarity):
         docs = pass_for(docs, items)
     return docs

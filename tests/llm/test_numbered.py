@@ -362,13 +362,26 @@ def test_decontamination_recall(spark):
     rows += [(900, None, "x"), (901, "", "x"), (902, "a b", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, distance string").repartition(3)
     bench = spark.createDataFrame([(i, " ".join(w), "y") for i, w in enumerate(items)] + [(50, None, "y"), (51, "", "y"), (52, "too short", "y")], "item_id long, text string, low string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()}
-    assert got <= expected | got and len(got & expected) >= 0.99 * len(expected) and len(got - expected) <= 2
+    found = decontamination.contaminated(docs, bench).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    hashed = lambda t: words.word_hashes(pa.array([t]), lower=True)[0]
+    truth = {(d, i): best for d, t, _ in rows if t for i, w in enumerate(items) if (best := decontamination.best_stretch(hashed(" ".join(w)), hashed(t))[0]) <= int(0.2 * len(w) + 1e-9)}
+    assert expected <= truth.keys() and got <= truth.keys() and len(got) >= 0.985 * len(truth)
+    assert all(r["distance"] >= truth[r["doc_id"], r["item_id"]] for r in found)
     clean = {r["doc_id"] for r in decontamination.without_items(docs, bench).collect()}
     assert clean == {r[0] for r in rows} - {d for d, _ in got}
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_short_items(spark):
+    """Items of fewer than eight words are found word for word, wherever they stand, also at a text's ends; nothing else is."""
+    docs = spark.createDataFrame([(1, "What IS it"), (2, "so what is it"), (3, "what is not it"), (4, "it"), (None, "what is it now"), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is it"), (2, "is not it")], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["distance"], r["low"], r["high"]) for r in decontamination.contaminated(docs, bench).collect()), key=repr)
+    assert got == sorted([(1, 1, 0, 0, 3), (2, 1, 0, 1, 4), (3, 2, 0, 1, 4), (None, 1, 0, 0, 3)], key=repr)
+    assert sorted(r["doc_id"] for r in decontamination.without_items(docs, bench).collect()) == [4, 5]
+
+
 # 7
 
 
