@@ -13,7 +13,7 @@ from lodeweave.llm import decontamination, secrets, toxicity
 from lodeweave.llm.near_duplicates import near_duplicates
 from lodeweave.llm.packing import best_fit_pack, token_pieces
 from lodeweave.llm.queries import held_out
-from lodeweave.llm.shared import stored, table
+from lodeweave.llm.shared import stored, table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +33,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         names, key = docs.columns, "near_duplicates_row"
         order = [F.col("doc_id").asc_nulls_last(), F.sha2("text", 256).asc_nulls_first()]
         rows = stored(docs.orderBy(*order).withColumn(key, F.monotonically_increasing_id()), "numbered")
-        found = stored(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), percent=80), "groups")
+        found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), percent=80)
         kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key))
         rows = rows.join(kept, key, "left_semi").select(*names)
         return rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(rows.where("doc_id IS NULL"))
-    found = stored(near_duplicates(docs, percent=80), "groups")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    repeated = kept.groupBy("kept_id").count().where("count > 1").limit(1).count()
-    docs = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    found = near_duplicates(docs, percent=80)
+    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    docs = without(docs, found.where("doc_id <> component_id").select("doc_id"))
     return docs.dropDuplicates(["doc_id", "text"]) if repeated else docs
 
 

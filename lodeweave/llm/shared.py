@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -22,12 +24,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+#: Folders of the tables that the innermost ``scratch`` deletes at its end.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes inside are deleted at the end, but for those it is told to keep."""
+    token = _SCRATCH.set([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.get():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _SCRATCH.reset(token)
+
+
+def stored(df: DataFrame, name: str, level: int = 3, keep: bool = False) -> DataFrame:
     """``df`` written once as Parquet, compressed at a Zstandard level, in the shared folder and read again.
 
     This cuts lineage: what follows reads files that outlive any executor, and a task that runs again reads the same rows.
     """
     path = shared_path(df.sparkSession, name)
+    if not keep and (mine := _SCRATCH.get()) is not None:
+        mine.append(path)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -40,15 +61,20 @@ def table(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of the batches whose texts (second column) have about ``most`` characters together, or one row."""
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        at = 0
-        while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and (end == at or size + len(texts[end] or "") <= most):
-                size += len(texts[end] or "")
-                end += 1
-            yield batch.slice(at, end - at), texts[at:end]
-            at = end
+#: Ids (8 bytes each) that are broadcast at most, to pick or drop rows; more are joined by a shuffle.
+MOST_BROADCAST = 1 << 20
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    ids = ids.toDF("doc_id").distinct()
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
+def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is one of ``ids``' only column."""
+    return rows.join(_bounded(ids), "doc_id", "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is none of ``ids``' only column."""
+    return rows.join(_bounded(ids), "doc_id", "left_anti")
