@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, evidence, graph, memory, public, retrieval, service, source, traces  # noqa: F401  (each registers its queries)
+from . import evaluation, evidence, graph, memory, public, quality, retrieval, service, source, traces  # noqa: F401  (each registers its queries)
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
