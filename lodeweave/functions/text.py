@@ -7,12 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as sensitive in a record (FLT-05), in a form that Java's and RE2's regular expressions share.
+# What counts as sensitive in a record (FLT-05).
 SENSITIVE = (
-    r"(?i)(\b(?:[a-z0-9]+_)*(?:password|passwd|api[_ -]?key|access[_ -]?token|token|secret|authorization|cookie)\b[\"']?\s*[=:]\s*[\"']?[^\s\"'\[<]+"
-    r"|\bbearer\s+[A-Za-z0-9._~+/=-]{6,}|\bsk-[A-Za-z0-9_-]{12,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
-    r"|\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+|\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
-    r"|\b(?:postgres(?:ql)?|rediss?|https?)://[^\s/@:]+:[^\s/@]+@)"
+    r"(?i)(?:\b(?:[a-z0-9]+_)*(?:password|passwd|api[_ -]?key|access[_ -]?token|token|secret|authorization|cookie)\b"
+    r"[\"']?\s*[=:：]\s*[\"']?(?!\[redacted\]|<redacted>)[^\s\"']+)"
+    r"|\bbearer\s+[A-Za-z0-9._~+/=-]{6,}|\bsk-[A-Za-z0-9_-]{12,}"
+    r"|-----BEGIN [A-Z ]*PRIVATE KEY-----|\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
+    r"|\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b|(?<!\d)(?:\+86[- ]?)?1[3-9]\d{9}(?!\d)"
+    r"|(?:密码|密钥|令牌|手机号|身份证号|邮箱)\s*[=:：]\s*\S+"
+    r"|\b(?:postgres(?:ql)?(?:\+\w+)?|rediss?|https?)://[^\s/@:]+:[^\s/@]+@"
 )
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 
 def overlapping(a: DataFrame, b: DataFrame, key: str, low: str, high: str) -> DataFrame:
     """JOI-15: pairs of closed ranges of one key that meet. ``b``'s bounds come out as other_low and other_high."""
@@ -16,10 +19,16 @@ def overlapping(a: DataFrame, b: DataFrame, key: str, low: str, high: str) -> Da
 
 
 def supported(citations: DataFrame, references: DataFrame, key: str, low: str, high: str) -> DataFrame:
-    """FLT-16: ``citations`` with ``ok``: whether a reference of the same key contains their range. One row per citation, however many references do."""
-    ranges = references.groupBy(key).agg(F.collect_set(F.struct(F.col(low).alias("low"), F.col(high).alias("high"))).alias("ranges"))
-    inside = F.exists("ranges", lambda r: (r["low"] <= F.col(low)) & (r["high"] >= F.col(high)))
-    return citations.join(ranges, key, "left").withColumn("ok", F.coalesce(inside, F.lit(False))).drop("ranges")
+    """FLT-16: ``citations`` with ``ok``: whether a reference of the same key contains their range.
+
+    In order of their beginnings, a range is contained if the furthest end of all references so far reaches its own: one sorted pass over both, no pairs.
+    """
+    names = citations.columns
+    own = citations.withColumns({"_cited": F.lit(1), "_end": F.lit(None).cast("long")})
+    other = references.select(key, F.col(low), F.col(high).cast("long").alias("_end"), F.lit(0).alias("_cited"))
+    order = Window.partitionBy(key).orderBy(low, "_cited").rowsBetween(Window.unboundedPreceding, 0)
+    both = own.unionByName(other, allowMissingColumns=True).withColumn("_far", F.max("_end").over(order))
+    return both.where("_cited = 1").withColumn("ok", F.coalesce(F.col("_far") >= F.col(high), F.lit(False))).select(*names, "ok")
 
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -55,10 +64,26 @@ def capped(rows: DataFrame, key: str, order: list[str], size: str, most: int) ->
 
 
 def ancestors(parents: DataFrame, depth: int) -> DataFrame:
-    """GQ-14: every ancestor of every node within ``depth`` steps: node, ancestor, steps. ``parents`` (node, parent)."""
-    out = level = parents.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
-    up = parents.where("parent IS NOT NULL").select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
+    """GQ-14: every ancestor of every node within ``depth`` steps: node, ancestor, steps. ``parents`` (node, parent). Each level is one join and a stored table; it ends where no level is left."""
+    up = stored(parents.where("parent IS NOT NULL").select(F.col("node").alias("ancestor"), F.col("parent").alias("next")), "parents")
+    levels = [up.select(F.col("ancestor").alias("node"), F.col("next").alias("ancestor"), F.lit(1).alias("steps"))]
     for k in range(2, depth + 1):
-        level = level.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(k).alias("steps"))
-        out = out.unionByName(level)
-    return out
+        level = stored(levels[-1].join(up, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(k).alias("steps")), "ancestors")
+        if not level.limit(1).count():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def no_progress(events: DataFrame, key: str, order: list[str], call: str) -> DataFrame:
+    """STR-13 and WIN-12: ``events`` of a run with epoch, stagnant and repeats, and ``blocked``: the same call twice without progress between, or three events without any.
+
+    A call seen for the first time in its run is progress and opens an epoch; what follows in it stagnates.
+    """
+    run = Window.partitionBy(key).orderBy(*order)
+    fresh = (F.row_number().over(Window.partitionBy(key, call).orderBy(*order)) == 1).cast("int")
+    rows = events.withColumn("fresh", fresh).withColumn("epoch", F.sum("fresh").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    stagnant = F.row_number().over(Window.partitionBy(key, "epoch").orderBy(*order)) - 1
+    repeats = F.row_number().over(Window.partitionBy(key, "epoch", call).orderBy(*order))
+    rows = rows.withColumns({"stagnant": stagnant, "repeats": repeats}).drop("fresh")
+    return rows.withColumn("blocked", (F.col("repeats") >= 2) | (F.col("stagnant") >= 3))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 TRAVERSABLE = ("imports", "calls", "contains", "references")
 ENTRY_NAMES = ("main.py", "app.py", "cli.py", "__main__.py")
 
@@ -38,8 +40,8 @@ def definitions(nodes: DataFrame, selector: str) -> DataFrame:
 
 def callers(nodes: DataFrame, edges: DataFrame, selector: str) -> DataFrame:
     """GQ-04: callers of a selector with exactly one definition."""
-    found = definitions(nodes, selector).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).where("n = 1")
-    return edges.where("type = 'calls'").join(found.select(F.col("id").alias("target")), "target").select("source", "target")
+    found = definitions(nodes, selector).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("target")).where("n = 1")
+    return edges.where("type = 'calls'").join(F.broadcast(found.select("target")), "target").select("source", "target")
 
 
 def entry_candidates(nodes: DataFrame, edges: DataFrame, main: str = "main") -> DataFrame:
@@ -75,62 +77,69 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, limit: i
 
 
 def reachable(edges: DataFrame, start: str, depth: int) -> DataFrame:
-    """Least number of steps from ``start`` to each node, up to ``depth``; a level is a join of its frontier with the edges, and each node is kept at its first level only."""
-    edges = edges.select("source", "target").distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "id string, distance int")
-    frontier = seen
+    """Least number of steps from ``start`` to each node, up to ``depth``; a level is a join of its frontier with the edges, stored once, and each node is kept at its first level only."""
+    edges = stored(edges.select("source", "target").distinct(), "edges")
+    levels = [edges.sparkSession.createDataFrame([(start, 0)], "id string, distance int")]
     for level in range(1, depth + 1):
-        onward = edges.join(frontier.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
-        frontier = onward.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("distance"))
-        seen = seen.unionByName(frontier)
-    return seen
+        onward = edges.join(levels[-1].select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
+        fresh = stored(onward.join(union_all(levels).select("id"), "id", "left_anti").select("id", F.lit(level).alias("distance")), "frontier")
+        if not fresh.limit(1).count():
+            break
+        levels.append(fresh)
+    return union_all(levels)
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """GQ-09: both directions of every edge, numbered at each node in the edges' order, outgoing before incoming."""
-    out = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "source", "target", "type", F.lit("outgoing").alias("way"))
-    back = edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "source", "target", "type", F.lit("incoming").alias("way"))
-    order = Window.partitionBy("node").orderBy("source", "target", "type", F.desc("way"))
-    return out.unionByName(back).withColumn("turn", F.row_number().over(order))
+def adjacency(edges: DataFrame, at: DataFrame) -> DataFrame:
+    """GQ-09: the edges of the nodes of ``at`` (node, queue), in both directions; each node's own are ordered by source, target, type, outgoing first. ``at`` is bounded by a search's limits, so it is broadcast and the graph isn't shuffled."""
+    at = F.broadcast(at)
+    out = edges.join(at, F.col("source") == F.col("node")).withColumns({"other": F.col("target"), "way": F.lit("outgoing")})
+    back = edges.join(at, F.col("target") == F.col("node")).withColumns({"other": F.col("source"), "way": F.lit("incoming")})
+    return out.unionByName(back)
 
 
 def bounded_bfs(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int = 2, node_limit: int = 32, edge_limit: int = 128, direction: str = "both") -> tuple[DataFrame, dict]:
-    """GQ-10: breadth-first search that checks edges in queue order under limits: (id, distance, turn of discovery) and its counts.
+    """GQ-10: breadth-first search that checks edges in queue order under limits: (id, distance, turn of discovery, parent, relation, way) and its counts.
 
-    A level takes at most ``edge_limit`` entries of its frontier's adjacency, ordered by the queue and each node's own order, so what
-    the driver decides on is bounded by the limits and never by the graph. An entry counts as checked before it is judged; one of a wrong
-    direction is passed over, one of a type that is not traversed or without a path at its other end is unknown, one to a seen node is skipped.
+    A level is one ordered limit over its frontier's edges and windows over what that leaves, which is bounded by ``edge_limit``, never by the graph. Every
+    check counts before it is judged: a wrong direction is passed over; a type that isn't traversed, a call or reference that isn't static (where edges
+    have a resolution) and an end without a path are unknown; of the first checks of unseen nodes as many are taken as there is room for, and the one beyond ends the search.
     """
     if not (0 <= depth <= 4 and 1 <= node_limit <= 256 and 1 <= edge_limit <= 4096 and direction in {"both", "incoming", "outgoing"}):
         raise ValueError("bounds: depth 0..4, nodes 1..256, edges 1..4096, direction both, incoming or outgoing")
-    spark, entries = edges.sparkSession, adjacency(edges)
-    paths = nodes.where(F.col("path").isNotNull()).select(F.col("id").alias("other"), F.lit(True).alias("known"))
-    seen = {n: 0 for n in sorted(set(seeds))[:node_limit]}
-    frontier, stats = list(seen), {"edge_checks": 0, "unknown_relations": 0, "limited": False}
+    spark, order = edges.sparkSession, ["queue", "source", "target", "type", F.desc("way")]
+    whole = Window.partitionBy(F.lit(1))
+    paths = nodes.where(F.col("path").isNotNull()).select(F.col("id").alias("other"))
+    first = sorted(set(seeds))[:node_limit]
+    shape = "id string, distance int, turn int, parent string, relation string, way string"
+    seen = [spark.createDataFrame([(n, 0, i, None, None, None) for i, n in enumerate(first)], shape)]
+    stats = {"edge_checks": 0, "unknown_relations": 0, "limited": False, "visited_nodes": len(first), "depth_reached": 0}
+    firm = F.lit(True) if "resolution" not in edges.columns else ~F.col("type").isin("calls", "references") | F.coalesce(F.col("resolution") == "static", F.lit(False))
     for level in range(1, depth + 1):
-        if not frontier or stats["limited"]:
+        rest, room = edge_limit - stats["edge_checks"], node_limit - stats["visited_nodes"]
+        frontier = seen[-1].select(F.col("id").alias("node"), F.col("turn").alias("queue"))
+        checks = adjacency(edges, frontier).orderBy(*order).limit(rest + 1).withColumn("check", F.row_number().over(whole.orderBy(*order)))
+        checks = stored(checks.withColumn("firm", firm).select("check", "node", "other", "type", "way", "firm"), "checks")
+        known = paths.join(F.broadcast(checks.select("other").distinct()), "other", "left_semi").distinct().withColumn("known", F.lit(True))
+        judged = checks.join(F.broadcast(known), "other", "left").join(F.broadcast(union_all(seen).select(F.col("id").alias("other"), F.lit(True).alias("visited"))), "other", "left")
+        turned = F.lit(direction != "both") & (F.col("way") != direction)
+        verdict = F.when(turned, "passed").when(~F.col("type").isin(*TRAVERSABLE) | ~F.col("firm") | F.col("known").isNull(), "unknown").when(F.col("visited"), "visited").otherwise("new")
+        judged = stored(judged.withColumn("verdict", verdict), "judged")
+        fresh = judged.where((F.col("verdict") == "new") & (F.col("check") <= rest)).groupBy("other").agg(F.min(F.struct("check", "node", "type", "way")).alias("by"))
+        fresh = fresh.withColumn("place", F.row_number().over(whole.orderBy("by.check")))
+        found = stored(fresh.where(F.col("place") <= room + 1).select(F.col("other").alias("id"), F.lit(level).alias("distance"), (F.col("place") - 1 + stats["visited_nodes"]).cast("int").alias("turn"), F.col("by.node").alias("parent"), F.col("by.type").alias("relation"), F.col("by.way").alias("way"), "place", "by.check"), "found")
+        taken, cut = found.agg(F.count_if(F.col("place") <= room), F.min(F.when(F.col("place") > room, F.col("check")))).head()
+        last = min(rest, cut or rest)
+        total, unknown = judged.agg(F.count(F.lit(1)), F.count_if((F.col("verdict") == "unknown") & (F.col("check") <= last))).head()
+        stats["edge_checks"] += min(total, last)
+        stats["unknown_relations"] += unknown
+        stats["limited"] = cut is not None or total > rest
+        if taken:
+            stats["visited_nodes"] += taken
+            stats["depth_reached"] = level
+            seen.append(found.where(F.col("place") <= room).select("id", "distance", "turn", "parent", "relation", "way"))
+        if stats["limited"] or not taken:
             break
-        queue = spark.createDataFrame(list(enumerate(frontier)), "place long, node string")
-        rest = edge_limit - stats["edge_checks"]
-        rows = entries.join(F.broadcast(queue), "node").orderBy("place", "turn").limit(rest + 1).join(paths, "other", "left").orderBy("place", "turn").collect()
-        frontier = []
-        for row in rows:
-            if stats["edge_checks"] >= edge_limit:
-                stats["limited"] = True
-                break
-            stats["edge_checks"] += 1
-            if direction != "both" and row["way"] != direction:
-                continue
-            if row["type"] not in TRAVERSABLE or not row["known"]:
-                stats["unknown_relations"] += 1
-            elif row["other"] not in seen:
-                if len(seen) >= node_limit:
-                    stats["limited"] = True
-                    break
-                seen[row["other"]] = level
-                frontier.append(row["other"])
-    stats |= {"visited_nodes": len(seen), "depth_reached": max(seen.values(), default=0)}
-    return spark.createDataFrame([(n, d, i) for i, (n, d) in enumerate(seen.items())], "id string, distance int, turn int"), stats
+    return union_all(seen), stats
 
 
 def longest_prefix(names: DataFrame, modules: DataFrame) -> DataFrame:

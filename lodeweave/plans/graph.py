@@ -145,7 +145,7 @@ def graph_degree(t: Tables) -> DataFrame:
     SELECT 'order:1' AS id, 0 AS distance, 0 AS turn UNION ALL SELECT id, 1, CAST(place AS INTEGER) FROM q1 WHERE place < 24
     UNION ALL SELECT id, 2, CAST(place AS INTEGER) FROM q2 WHERE place < 24""")
 def graph_bounded_bfs(t: Tables) -> DataFrame:
-    return G.bounded_bfs(nodes(t), edges(t), ["order:1"], depth=2, node_limit=24, edge_limit=96)[0]
+    return G.bounded_bfs(nodes(t), edges(t), ["order:1"], depth=2, node_limit=24, edge_limit=96)[0].select("id", "distance", "turn")
 
 
 @query("import_longest_prefix", """WITH names AS (SELECT DISTINCT replace(regexp_replace(url, '^https?://', ''), '/', '.') AS name FROM pages),

@@ -58,12 +58,28 @@ def snapshot_diff(t: Tables) -> DataFrame:
     return S.snapshot_diff(before, after, "doc_id", "digest")
 
 
-@query("sensitive_content", "SELECT doc_id FROM documents WHERE regexp_matches(text, '" + SENSITIVE.replace("'", "''") + "')")
+def sensitive_sql(text: str) -> str:
+    """FLT-05 for engines without look-around: what stands for a redacted value is made a pair of quotes, which no value begins with, and a number's neighbours are part of the match."""
+    pattern = SENSITIVE.replace(r"(?!\[redacted\]|<redacted>)", "").replace(r"(?<!\d)", r"(?:^|[^\d])").replace(r"(?!\d)", r"(?:[^\d]|$)").replace("'", "''")
+    return f"""regexp_matches(regexp_replace({text}, '(?i)\\[redacted\\]|<redacted>', '""', 'g'), '{pattern}')"""
+
+
+@query("sensitive_content", f"SELECT doc_id FROM documents WHERE {sensitive_sql('text')}")
 def sensitive_content(t: Tables) -> DataFrame:
     """FLT-05."""
     return t.documents.where(F.col("text").rlike(SENSITIVE)).select("doc_id")
 
 
+_CASES = ["password = [redacted]", "密码：abc", "手机号: 1", "call +86 13912345678 now", "id 2139123456789", "postgresql+asyncpg://u:p@h", "token：x", 'api_key="<redacted>"', "cookie: ", "13912345678"]
+
+
+@query("sensitive_cases", f"SELECT source, x.case_text, {sensitive_sql('x.case_text')} AS sensitive FROM (SELECT DISTINCT source FROM documents), (VALUES {', '.join(f"('{c}')" for c in _CASES)}) AS x(case_text)")
+def sensitive_cases(t: Tables) -> DataFrame:
+    """FLT-05 on cues that the documents lack: each case once for every source."""
+    cases = F.explode(F.array(*(F.lit(c) for c in _CASES)))
+    return t.documents.select("source").distinct().select("source", cases.alias("case_text")).withColumn("sensitive", F.col("case_text").rlike(SENSITIVE))
+
+
 @query("safe_paths", r"""SELECT page_id, NOT starts_with(p, '/') AND NOT contains(p, ':') AND NOT contains(p, '\') AND len(list_filter(string_split(p, '/'), lambda x: x IN ('', '.', '..'))) = 0 AS safe
     FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)""")
 def safe_paths(t: Tables) -> DataFrame:
