@@ -31,6 +31,13 @@ def supported(citations: DataFrame, references: DataFrame, key: str, low: str, h
     return both.where("_cited = 1").withColumn("ok", F.coalesce(F.col("_far") >= F.col(high), F.lit(False))).select(*names, "ok")
 
 
+def citations(answers: DataFrame, key: str, text: str) -> DataFrame:
+    """FLT-16: key, path, low, high of every ``path.py:low-high`` in a text."""
+    found = answers.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_./-]+\.py:[0-9]+-[0-9]+"), F.lit(0))).alias("cited"))
+    part = lambda pattern: F.regexp_extract("cited", pattern, 1)
+    return found.select(key, part("^(.*):").alias("path"), part(":([0-9]+)-").cast("int").alias("low"), part("-([0-9]+)$").cast("int").alias("high"))
+
+
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """FLT-10, FLT-13 and FLT-14: key and rule of every row that breaks one; a rule that can't be decided is broken. One pass for all rules."""
     broken = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))

@@ -65,6 +65,32 @@ def repeated_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def constraint_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """FLT-10: rule and n, how many nodes, edges or groups of them break it; one row for each rule, also where none does."""
+    from ..functions.text import safe_path
+
+    ids = nodes.select("id").distinct()
+    count = lambda df, rule: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
+    parents = edges.where("type = 'contains'").groupBy("target").agg(F.count_distinct("source").alias("k")).where("k > 1")
+    bad_node = {"unknown_node_type": ~F.col("type").isin("file", "class", "function", "method", "external"), "unsafe_path": F.col("path").isNotNull() & ~safe_path("path"), "missing_path": F.col("path").isNull() & (F.col("type") != "external")}
+    bad_edge = {"self_loop": F.col("source") == F.col("target"), "unknown_edge_type": ~F.col("type").isin(*TRAVERSABLE, "unresolved_call")}
+    wide = lambda df, rules: df.agg(*(F.count_if(c).alias(r) for r, c in rules.items())).select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in rules))).alias("x")).select("x.rule", "x.n")
+    return union_all([
+        count(nodes.groupBy("id").count().where("count > 1"), "duplicate_node"), count(repeated_edges(edges), "duplicate_edge"), count(parents, "two_parents"),
+        *(count(edges.select(F.col(side).alias("id")).join(ids, "id", "left_anti"), f"dangling_{side}") for side in ("source", "target")), wide(nodes, bad_node), wide(edges, bad_edge),
+    ])
+
+
+def inner_edges(edges: DataFrame, room: DataFrame, limit: int) -> DataFrame:
+    """SRT-05: the edges between the nodes of ``room`` (id; bounded by its own limit, so it is broadcast), in order up to ``limit``, with ``truncated``: whether there are more."""
+    room = F.broadcast(stored(room, "room"))
+    own = edges.join(room.select(F.col("id").alias("source")), "source", "left_semi").join(room.select(F.col("id").alias("target")), "target", "left_semi")
+    order = ["source", "target", "type"]
+    few = own.select(*order).orderBy(*order).limit(limit + 1).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+    more = F.max("place").over(Window.partitionBy(F.lit(1))) > limit
+    return few.withColumn("truncated", more).where(F.col("place") <= limit).select(*order, "truncated")
+
+
 def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     """SRT-05: the first seeds by (type, lower-cased name, id), at most ten and ``limit``; then their neighbours by id, until ``limit`` nodes are reached."""
     few = min(10, limit)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,41 +99,68 @@ def route(question: Column | str) -> tuple[Column, Column, Column]:
     return strategy, purpose, F.when(~agent, target)
 
 
+def reasons_of(channels: DataFrame) -> DataFrame:
+    """RET-09 and SET-01: key, fused, n_channels and reason (each channel's rank, in the channels' order) of ranked channels; a channel counts once for a key, at its best score."""
+    best = channels.groupBy("key", "channel").agg(F.min("rank").alias("rank"))
+    place = F.coalesce(*(F.when(F.col("channel") == c, F.lit(i)) for i, c in enumerate(WEIGHTS)), F.lit(len(WEIGHTS)))
+    each = F.struct(place.alias("place"), F.concat("channel", F.lit("_rank="), F.col("rank").cast("string")).alias("text"))
+    told = best.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["text"]), ";").alias("reason"))
+    return fused(best).join(told, "key")
+
+
+def role(path: Column, channels: Column) -> Column:
+    """RET-10: test files are tests, what only the graph found is a dependency, all else a definition."""
+    test = path.startswith("tests/") | F.element_at(F.split(path, "/"), -1).startswith("test_")
+    return F.when(test, "test").when(channels == "graph", "dependency").otherwise("definition")
+
+
+def best_file(questions: DataFrame, key: list[str], text: str, paths: list[str]) -> DataFrame:
+    """RET-03: the one path that a question names in full, else the one whose last part it names; none if several are. ``paths`` is a list of stated candidates."""
+    named = lambda values: F.array_compact(F.array(*(F.when(mentions(text, v), F.lit(p)) for p, v in values)))
+    whole, base = named([(p, p) for p in paths]), named([(p, p.rsplit("/", 1)[-1]) for p in paths])
+    one = lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    return questions.select(*key, F.coalesce(one(whole), one(base)).alias("target"))
+
+
+def sufficiency(rules: dict[str, Column]) -> Column:
+    """RET-20: why evidence does not suffice, in the order of the rules; nothing if it does."""
+    return F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in rules.items()))), ",")
+
+
 def pack_evidence(candidates: DataFrame, budget: int, limit: int = 6, per_file: int = 2) -> DataFrame:
-    """RET-14: for each query, the items kept in order of ``position`` under a budget of bytes, and why others go.
+    """RET-14: for each query, the items kept in order of ``position`` under a budget of bytes, and why others go: query, position, path, reason, cost (of the kept ones).
 
-    ``candidates``: query, position, path, start_line, end_line, exact (found by name), cost (its rendered bytes). Reasons: token_budget, overlap,
-    item_limit, file_diversity. While the kept items cost more than the budget, the largest one (of equal ones the later), exact ones last, is
-    rejected and the choice made anew. A query has as many candidates as its channels give (60 at most), so one group is small whatever the corpus.
+    ``candidates``: query, position, path, start_line, end_line, exact (found by name), cost (its rendered bytes). Reasons: token_budget, overlap, item_limit,
+    file_diversity. A choice is one fold over a query's candidates (60 at most, by its channels' limits); as long as what it keeps costs too much, the largest
+    kept item, exact ones last, is put aside and the fold is made again. No group function: both are expressions on an array.
     """
+    fields = ["position", "path", "start_line", "end_line", "exact", "cost"]
+    rows = candidates.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
+    kind = "array<struct<item:struct<position:int,path:string,start_line:int,end_line:int,exact:boolean,cost:bigint>,reason:string>>"
+
+    def choose(aside: Column) -> Column:
+        def judge(done: Column, item: Column) -> Column:
+            kept = F.filter(done, lambda d: d["reason"] == "kept")
+            same = F.filter(kept, lambda d: d["item"]["path"] == item["path"])
+            equal = F.exists(same, lambda d: (d["item"]["start_line"] == item["start_line"]) & (d["item"]["end_line"] == item["end_line"]))
+            meets = F.exists(same, lambda d: (d["item"]["start_line"] <= item["end_line"]) & (d["item"]["end_line"] >= item["start_line"]))
+            why = F.when(F.array_contains(aside, item["position"]), "token_budget").when(equal, "overlap").when(F.size(kept) >= limit, "item_limit")
+            why = why.when(~item["exact"] & meets, "overlap").when(~item["exact"] & (F.size(same) >= per_file), "file_diversity").otherwise("kept")
+            return F.concat(done, F.array(F.struct(item.alias("item"), why.alias("reason"))))
+
+        return F.aggregate("items", F.array().cast(kind), judge)
+
+    total = lambda done: F.aggregate(done, F.lit(0).cast("bigint"), lambda s, d: s + F.when(d["reason"] == "kept", d["item"]["cost"]).otherwise(0))
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        items = rows.sort_values("position").to_dict("records")
-        rejected: set[int] = set()
-        while True:
-            kept, reasons = [], []
-            for i, item in enumerate(items):
-                same = [k for k in kept if items[k]["path"] == item["path"]]
-                reason = "kept"
-                if i in rejected:
-                    reason = "token_budget"
-                elif any((items[k]["start_line"], items[k]["end_line"]) == (item["start_line"], item["end_line"]) for k in same):
-                    reason = "overlap"
-                elif len(kept) >= limit:
-                    reason = "item_limit"
-                elif not item["exact"] and any(items[k]["start_line"] <= item["end_line"] and item["start_line"] <= items[k]["end_line"] for k in same):
-                    reason = "overlap"
-                elif not item["exact"] and len(same) >= per_file:
-                    reason = "file_diversity"
-                else:
-                    kept.append(i)
-                reasons.append(reason)
-            if not kept or sum(items[k]["cost"] for k in kept) <= budget:
-                return pd.DataFrame({"query": rows["query"].iloc[0], "position": [x["position"] for x in items], "path": [x["path"] for x in items], "reason": reasons})
-            loose = [k for k in kept if not items[k]["exact"]] or kept
-            rejected.add(max(loose, key=lambda k: (items[k]["cost"], k)))
-
-    return candidates.groupBy("query").applyInPandas(choose, "query string, position int, path string, reason string")
+    def evict(aside: Column, _: Column) -> Column:
+        done = choose(aside)
+        kept = F.filter(done, lambda d: d["reason"] == "kept")
+        largest = F.array_max(F.transform(kept, lambda d: F.struct((~d["item"]["exact"]).alias("loose"), d["item"]["cost"].alias("cost"), d["item"]["position"].alias("position"))))
+        return F.when(total(done) > budget, F.concat(aside, F.array(largest["position"]))).otherwise(aside)
+
+    aside = F.aggregate("items", F.array().cast("array<int>"), evict)
+    chosen = rows.withColumn("aside", aside).select("query", choose(F.col("aside")).alias("done"))
+    return chosen.select("query", F.explode("done").alias("d"), total(F.col("done")).alias("cost")).select("query", "d.item.position", "d.item.path", "d.reason", "cost")
 
 
 def fit_context(messages: DataFrame, budget: int) -> DataFrame:
@@ -144,3 +170,23 @@ def fit_context(messages: DataFrame, budget: int) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy(F.desc(F.col("role") == "system"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
     unique = messages.withColumn("copy", latest).where("copy = 1").withColumn("cost", cost)
     return unique.withColumn("used", F.sum("cost").over(order)).where(F.col("used") <= budget).select("conv_id", "turn", "role", "cost", "used")
+
+
+def hash_embedding(texts: DataFrame, key: str, text: str = "text", width: int = 64) -> DataFrame:
+    """RET-18: a deterministic stand-in for an embedding: key, slot, value, the slots that aren't 0. Slot 0 is always 1; each token adds or takes 1 at a slot that its SHA-256 names."""
+    tokens = texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z_][a-z_0-9]*|[\u4e00-\u9fff]"), F.lit(0))).alias("token"))
+    counted = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")).withColumn("hex", F.sha2("token", 256))
+    byte = lambda i: F.conv(F.substring("hex", 2 * i + 1, 2), 16, 10).cast("long")
+    slot = 1 + (byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216) % (width - 1)
+    sign = F.when(byte(4) % 2 == 1, F.col("n")).otherwise(-F.col("n"))
+    rows = counted.groupBy(key, slot.cast("int").alias("slot")).agg(F.sum(sign).alias("value")).where("value <> 0")
+    return rows.unionByName(texts.select(key, F.lit(0).alias("slot"), F.lit(1).cast("long").alias("value")))
+
+
+def fit_planner(messages: DataFrame, budget: int) -> DataFrame:
+    """RET-23: of each conversation, what stays of a planner's input under ``budget`` bytes: user messages go first, the oldest first, then answers, the latest first; system messages last."""
+    cost = F.octet_length("text").cast("long")
+    worth = F.when(F.col("role") == "system", 0).when(F.col("role") == "assistant", 1).otherwise(2)
+    order = Window.partitionBy("conv_id").orderBy("worth", F.when(F.col("worth") == 2, -F.col("turn")).otherwise(F.col("turn"))).rowsBetween(Window.unboundedPreceding, 0)
+    rows = messages.withColumns({"cost": cost, "worth": worth}).withColumn("used", F.sum("cost").over(order))
+    return rows.select("conv_id", "turn", "role", F.when(F.col("used") <= budget, "kept").otherwise("context_budget").alias("decision"))

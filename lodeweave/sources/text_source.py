@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,15 @@ def grep(texts: DataFrame, key: str, needle: str, limit: int, text: str = "text"
     return found.orderBy(key, "line").limit(limit)
 
 
+def grep_pattern(texts: DataFrame, path: str, key: list[str], pattern: str, glob: str, limit: int, case_sensitive: bool = True, text: str = "text") -> DataFrame:
+    """SRC-24: the first ``limit`` lines, by key and number, in texts whose path a glob (* and ?) matches, that hold a pattern; ``truncated``: whether the limit was reached. Texts without it are dropped before they are cut into lines."""
+    own = pattern if case_sensitive else f"(?i){pattern}"
+    wanted = "^" + re.escape(glob).replace(r"\*", ".*").replace(r"\?", ".") + "$"
+    rows = texts.where(F.col(path).rlike(wanted) & F.col(text).rlike(own)).select(*key, F.posexplode(lines(text)).alias("at", "content"))
+    found = rows.where(F.col("content").rlike(own)).select(*key, (F.col("at") + 1).alias("line"), "content").orderBy(*key, "line").limit(limit)
+    return found.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) >= limit)
+
+
 def line_range(text: Column | str, first: int, last: int) -> Column:
     """SRC-25: lines first to last, joined again."""
     return F.array_join(F.slice(lines(text), first, last - first + 1), "\n")
