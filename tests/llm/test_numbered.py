@@ -312,6 +312,15 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates.near_duplicates(docs.where("text IS NULL")).count() == 1
 
 
+def test_components(spark):
+    """Union-find in one task and label propagation give the same components, also of a long chain."""
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(7, 3)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    one, many = ({(r["node"], r["component"]) for r in near_duplicates.components(df, most).collect()} for most in (1000, 1))
+    assert one == many and {c for n, c in one if n <= 60} == {0}
+
+
 def test_super_min_hash_variance():
     rng = np.random.default_rng(2)
     errors = []
