@@ -28,6 +28,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets the driver's JVM drop the plans, broadcasts and shuffles of rounds that are done. Spark deletes their blocks and files once they are collected, and by itself that may be much later."""
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that ``stored`` writes inside are deleted at the end, but for those it is told to keep."""
@@ -39,6 +44,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         _SCRATCH.reset(token)
+        free(spark)
 
 
 def stored(df: DataFrame, name: str, level: int = 3, keep: bool = False) -> DataFrame:
