@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import personal, secrets, toxicity
+from . import filter_audit, merkle, personal, secrets, toxicity, warc
 from .decontamination import contaminated
 from .near_duplicates import near_duplicates
 from .packing import best_fit_pack, token_pieces
@@ -86,6 +86,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(token_pieces(spark.read.parquet(table(sf_dir, "documents"))))
 
 
+def op11_subset_zeta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters of documents, their survivors and losses at each step of each order, for each source (null: the empty string); an empty table gives no rows."""
+    return filter_audit.audit(spark.read.parquet(table(sf_dir, "documents")), spark.read.parquet(table(sf_dir, "labels")))
+
+
+def op12_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as whole-file gzip archives, rewritten with a member for each record and an index, and read back. Null pages are empty payloads; repeated rows are records each."""
+    return warc.write_and_read(spark.read.parquet(table(sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' leaves, trees and proofs, each proof folded over a leaf that is tampered with for every fifth id (its text lower-cased). Rows that share a doc_id are ordered by their leaves, which alone tell them apart."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.manifest(spark.read.parquet(table(sf_dir, "documents")), {"text": lower}, tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_toxicity": op2_toxicity,
@@ -97,8 +114,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_ownership": op8_secret_ownership,
     "op9_anchor_expansion": op9_anchor_expansion,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_subset_zeta": op11_subset_zeta,
+    "op12_gzip_normaliser": op12_gzip_normaliser,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op11_subset_zeta": filter_audit.ORACLE_SQL,
+    "op12_gzip_normaliser": warc.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
     "op7_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
