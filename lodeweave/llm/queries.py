@@ -56,8 +56,9 @@ def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_super_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's group of near copies; a row without a doc_id is kept where no row with one is in its group."""
     found = near_duplicates(spark.read.parquet(table(sf_dir, "documents")), percent=85)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op6_cgk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:

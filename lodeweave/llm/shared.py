@@ -71,16 +71,16 @@ def table(sf_dir: str, name: str) -> str:
 MOST_BROADCAST = 1 << 20
 
 
-def _bounded(ids: DataFrame) -> DataFrame:
-    ids = ids.toDF("doc_id").distinct()
+def _bounded(ids: DataFrame, on: str) -> DataFrame:
+    ids = ids.toDF(on).distinct()
     return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
 
-def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is one of ``ids``' only column."""
-    return rows.join(_bounded(ids), "doc_id", "left_semi")
+def picked(rows: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
+    """The rows whose column ``on`` is one of ``ids``' only column."""
+    return rows.join(_bounded(ids, on), on, "left_semi")
 
 
-def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is none of ``ids``' only column."""
-    return rows.join(_bounded(ids), "doc_id", "left_anti")
+def without(rows: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
+    """The rows whose column ``on`` is none of ``ids``' only column."""
+    return rows.join(_bounded(ids, on), on, "left_anti")
