@@ -1,13 +1,15 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance (operator 6).
 
 Windows of the texts and all windows of the items are embedded by random walks; those that agree in every coordinate of one of many samples meet,
-and what then agrees in enough coordinates is compared by edit distance, which alone decides.
+and what then agrees in enough coordinates is compared by edit distance, which alone decides. Windows that many items share (a common preamble) only mark
+the place: there, items are found by their own rarest words, one of which must stand in any stretch that is near enough.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,10 @@ SHORT = 8
 SHAPES = ((8, 6, 1, 4), (14, 9, 1, 5), (20, 12, 2, 5))
 #: Walks of the embedding, samples of each, and the part of all coordinates that a window and an item's must agree in to be compared word by word.
 WALKS, SAMPLES, AGREEING = 2, 12, 0.4
+#: Item windows of one sample's key that are taken one by one; where more share a key, the items' rare words decide which of them are compared.
+MOST_ALIKE = 16
+#: Windows of a text, and pairs of places and items, that are held at once.
+CHUNK = 1 << 14
 #: Items that one pass over the documents looks for; their words (8 bytes each) are what is broadcast.
 BLOCK, BLOCK_WORDS = 8192, 1 << 18
 
@@ -70,18 +76,19 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass(frozen=True)
 class Items:
-    """A block of benchmark items as word hashes."""
+    """A block of benchmark items as word hashes; items that read alike are one, with all their ids."""
 
-    ids: list[int]
+    ids: list[list[int]]
     words: list[np.ndarray]
     similarity: float
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def edits(self, i: int) -> int:
         n = len(self.words[i])
         return int(n * (1 - self.similarity) + 1e-9) if n >= SHORT else 0
 
-    def prepared(self) -> tuple[list[_Windows], dict[int, tuple[np.ndarray, np.ndarray]]]:
-        """The windows of each shape that has items, and by length the short items' hashes, in order, with the items."""
+    def prepared(self) -> tuple[list[_Windows], dict[int, tuple[np.ndarray, np.ndarray]], _Rare]:
+        """The windows of each shape that has items, by length the short items' hashes, in order, with the items, and the longer items' rare words."""
         shapes = [*SHAPES, (1 << 62, 0, 0, 0)]
         lengths = np.array([len(w) for w in self.words])
         windows = []
@@ -95,7 +102,83 @@ class Items:
             grams = np.concatenate([gram_hashes(self.words[i], n, seed=3) for i in own])
             order = np.argsort(grams, kind="stable")
             short[n] = grams[order], own[order]
-        return windows, short
+        return windows, short, _Rare.of(self)
+
+
+_READY: tuple[str, tuple] = ("", ())
+
+
+def _ready(items: Items) -> tuple:
+    """``items.prepared()``, kept from one task of a worker to the next."""
+    global _READY
+    if _READY[0] != items.token:
+        _READY = items.token, items.prepared()
+    return _READY[1]
+
+
+@dataclass(frozen=True)
+class _Rare:
+    """Of each item of n words that may differ in d, the d + 1 words that fewest items hold: at least one stands unedited wherever the item is."""
+
+    keys: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
+    words: np.ndarray
+    begin: np.ndarray
+    sizes: np.ndarray
+    edits: np.ndarray
+
+    @classmethod
+    def of(cls, items: Items) -> _Rare:
+        sizes = np.array([len(w) for w in items.words])
+        edits = np.array([items.edits(i) for i in range(len(sizes))])
+        flat = np.concatenate([*items.words, np.zeros(0, _U)])
+        begin = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        _, code, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((flat, counts[code], owner))  # each item's words, rarest first
+        rank = np.arange(len(flat)) - begin[owner]
+        first = order[(rank <= edits[owner]) & (sizes[owner] >= SHORT)]
+        first = first[np.argsort(flat[first], kind="stable")]
+        return cls(flat[first], owner[first], first - begin[owner[first]], flat, begin, sizes, edits)
+
+    def near(self, words: np.ndarray, at: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        """(text, item, where it would begin) for each rare word of an item at a marked place, if the stretch about it holds enough of the item's words."""
+        out = [np.zeros((0, 3), np.int64)]
+        where = np.flatnonzero(marked)
+        low, high = np.searchsorted(self.keys, words[where], "left"), np.searchsorted(self.keys, words[where], "right")
+        where, low, many = where[high > low], low[high > low], (high - low)[high > low]
+        if not len(where):
+            return out[0]
+        known, code = np.unique(words, return_inverse=True)
+        n = len(words) + 1
+        spots = np.sort(code * n + np.arange(len(words)))  # by word, then place
+        ends = np.cumsum(many)
+        k = 0
+        while k < len(where):
+            stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + CHUNK, "right")))
+            each, part = many[k:stop], slice(k, stop)
+            row = np.repeat(low[part] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            place, item = np.repeat(where[part], each), self.items[row]
+            text = np.searchsorted(at, place, "right") - 1
+            found = np.unique(np.stack([text, item, place - self.places[row]], axis=1), axis=0)
+            for a in range(0, len(found), CHUNK):
+                some = found[a : a + CHUNK]
+                out.append(some[self._enough(some, at, known, spots, n)])
+            k = stop
+        return np.concatenate(out)
+
+    def _enough(self, found: np.ndarray, at: np.ndarray, known: np.ndarray, spots: np.ndarray, n: int) -> np.ndarray:
+        """Whether all but ``edits`` of the item's words stand somewhere in the stretch where it could be."""
+        text, item, begin = found.T
+        size, d = self.sizes[item], self.edits[item]
+        low, high = np.maximum(at[text], begin - d), np.minimum(at[text + 1], begin + size + 2 * d)
+        pair = np.repeat(np.arange(len(found)), size)
+        own = self.words[np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[item], size)]
+        code = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        spot = np.searchsorted(spots, code * n + low[pair])
+        there = (known[code] == own) & (spot < len(spots)) & (spots[np.minimum(spot, len(spots) - 1)] < code * n + high[pair])
+        return np.bincount(pair[there], minlength=len(found)) >= size - d
 
 
 @dataclass(frozen=True)
@@ -129,35 +212,50 @@ class _Windows:
                 tables.append((walk, draw, bits, keys[order], inside[order]))
         return cls(size, step, np.repeat(items, counts), places, steps, tables)
 
-    def near(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, where it would begin in ``words``) of every window of the text that collides with an item's in a sample and agrees with it in enough coordinates."""
-        starts = np.arange(0, len(words), self.step)
-        padded = np.concatenate([words, np.zeros(2 * self.size, _U)])
-        steps = [embedded(padded, starts, self.size, walk) for walk in range(WALKS)]
-        pairs = [np.zeros(0, np.int64)]
-        for walk, draw, bits, keys, windows in self.tables:
-            key = sampled(steps[walk], draw)
-            where = np.flatnonzero(bits[(key & _U(len(bits) - 1)).astype(np.int64)])
-            low, high = np.searchsorted(keys, key[where], "left"), np.searchsorted(keys, key[where], "right")
-            many = high - low
-            each = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            pairs.append(np.repeat(where, many) * len(self.items) + windows[each])
-        text, own = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
-        keep = np.zeros(len(text), bool)
-        for k in range(0, len(text), 1 << 15):
-            part = slice(k, k + (1 << 15))
-            same = sum((mine[:, text[part]] == theirs[:, own[part]]).sum(axis=0) for mine, theirs in zip(steps, self.steps, strict=True))
-            keep[part] = same >= AGREEING * WALKS * 2 * self.size
-        return self.items[own[keep]], starts[text[keep]] - self.places[own[keep]]
-
-
-def _candidates(words: np.ndarray, at: np.ndarray, windows: list[_Windows]) -> np.ndarray:
+    def reach(self, rare: _Rare) -> int:
+        """How far from one of its windows an item's words can stand."""
+        return int((rare.sizes + 2 * rare.edits)[np.unique(self.items)].max())
+
+    def near(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, where it would begin in ``words``) of every window of the text that collides with an item's in a sample and agrees with it in enough coordinates; and where windows stand that collide with those of many items."""
+        padded, every = np.concatenate([words, np.zeros(2 * self.size, _U)]), np.arange(0, len(words), self.step)
+        items, begins, common = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(every), CHUNK):
+            starts = every[a : a + CHUNK]
+            steps = [embedded(padded, starts, self.size, walk) for walk in range(WALKS)]
+            pairs = [np.zeros(0, np.int64)]
+            for walk, draw, bits, keys, windows in self.tables:
+                key = sampled(steps[walk], draw)
+                where = np.flatnonzero(bits[(key & _U(len(bits) - 1)).astype(np.int64)])
+                low, high = np.searchsorted(keys, key[where], "left"), np.searchsorted(keys, key[where], "right")
+                few = high - low <= MOST_ALIKE
+                common.append(starts[where[~few]])
+                where, low, many = where[few], low[few], (high - low)[few]
+                each = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                pairs.append(np.repeat(where, many) * len(self.items) + windows[each])
+            text, own = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
+            for k in range(0, len(text), CHUNK):
+                part = slice(k, k + CHUNK)
+                same = sum((mine[:, text[part]] == theirs[:, own[part]]).sum(axis=0) for mine, theirs in zip(steps, self.steps, strict=True))
+                keep = same >= AGREEING * WALKS * 2 * self.size
+                items.append(self.items[own[part][keep]])
+                begins.append(starts[text[part][keep]] - self.places[own[part][keep]])
+        return np.concatenate(items), np.concatenate(begins), np.unique(np.concatenate(common))
+
+
+def _candidates(words: np.ndarray, at: np.ndarray, windows: list[_Windows], rare: _Rare) -> np.ndarray:
     """Distinct (text, item, where the item would begin), in order."""
-    out = [np.zeros((0, 3), np.int64)]
+    out, marks = [np.zeros((0, 3), np.int64)], np.zeros(len(words) + 1, np.int64)
     for shape in windows:
-        item, begin = shape.near(words)
+        item, begin, common = shape.near(words)
         text = np.searchsorted(at, np.maximum(begin, 0) + shape.size // 2, "right") - 1
         out.append(np.stack([np.minimum(text, len(at) - 2), item, begin], axis=1))
+        reach = shape.reach(rare)
+        np.add.at(marks, np.maximum(common - reach, 0), 1)
+        np.add.at(marks, np.minimum(common + reach, len(words)), -1)
+    marked = np.cumsum(marks[:-1]) > 0
+    if marked.any():
+        out.append(rare.near(words, at, marked))
     return np.unique(np.concatenate(out), axis=0)
 
 
@@ -181,8 +279,8 @@ def find_items(texts: pa.Array, items: Items, prepared: tuple) -> list[tuple[int
     words, at = word_hashes(texts, lower=True)
     if not len(words):
         return []
-    windows, short = prepared
-    hits = _candidates(words, at, windows)
+    windows, short, rare = prepared
+    hits = _candidates(words, at, windows, rare)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     k = 0
     while k < len(hits):
@@ -202,17 +300,21 @@ def find_items(texts: pa.Array, items: Items, prepared: tuple) -> list[tuple[int
 def _blocks(benchmark: DataFrame, similarity: float) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, fetched one partition at a time."""
     rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    ids, kept, held = [], [], 0
+    ids, kept, held, seen = [], [], 0, {}
     for row in rows.toLocalIterator():
         words = word_hashes(pa.array([row["text"]]), lower=True)[0]
         if not len(words):
             continue
-        ids.append(row["item_id"])
+        k = seen.setdefault(words.tobytes(), len(ids))
+        if k < len(ids):
+            ids[k].append(row["item_id"])
+            continue
+        ids.append([row["item_id"]])
         kept.append(words)
         held += len(words)
         if len(ids) >= BLOCK or held >= BLOCK_WORDS:
             yield Items(ids, kept, similarity)
-            ids, kept, held = [], [], 0
+            ids, kept, held, seen = [], [], 0, {}
     if ids:
         yield Items(ids, kept, similarity)
 
@@ -228,12 +330,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     def pass_for(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            prepared = items.prepared()
+            prepared = _ready(items)
             for batch in text_slices(batches):
-                found = find_items(batch.column(1), items, prepared)
+                found = ((t, own, *spot) for t, i, *spot in find_items(batch.column(1), items, prepared) for own in items.ids[i])
                 t, i, d, a, b = list(zip(*found, strict=True)) or [[]] * 5
                 ids = batch.column(0).take(pa.array(t, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[x] for x in i], pa.int64()), *(pa.array(x, pa.int32()) for x in (d, a, b))], ["doc_id", "item_id", "distance", "low", "high"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(i, pa.int64()), *(pa.array(x, pa.int32()) for x in (d, a, b))], ["doc_id", "item_id", "distance", "low", "high"])
 
         return docs.mapInArrow(run, _FOUND)
 
@@ -250,7 +352,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
     def pass_for(docs: DataFrame, items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            prepared = items.prepared()
+            prepared = _ready(items)
             for batch in text_slices(batches, at):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[x[0] for x in find_items(batch.column(at), items, prepared)]] = False
