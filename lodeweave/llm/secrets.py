@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from math import log2
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partition_id, stored
@@ -32,7 +33,10 @@ _PLACEHOLDER = re.compile(r"example|sample|placeholder|change_?me|your[_-]|passw
 #: A value held by so many owners or more is a widely copied example.
 COPIED_BY = 3
 
-_FOUND = "row long, doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,rank:int,stop:int,value_start:int,value_stop:int,hash:string,plausible:boolean>>"
+#: Texts with live values whose digests and values' hashes (about 100 bytes each) are broadcast at most, to be masked; more are joined by a shuffle.
+MOST_LIVE = 1 << 17
+
+_FOUND = "row long, doc_id long, digest binary, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,rank:int,stop:int,value_start:int,value_stop:int,hash:string,plausible:boolean>>"
 
 
 def _in_a_row(value: str) -> int:
@@ -68,8 +72,13 @@ def _digest(found: list[tuple]) -> str:
     return hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, *_ in found).encode()).hexdigest()
 
 
+def _digest_of(text: str) -> Column:
+    """What names a text: rows with one text hold the same values, whatever their ids."""
+    return F.unhex(F.sha2(F.col(text).cast("string"), 256))
+
+
 def scan(docs: DataFrame, repo: str, owner: str) -> DataFrame:
-    """Every document's candidates, each with its value's hash; ``docs`` has doc_id, text and the two named columns. ``row`` tells repeated rows apart."""
+    """Every document's candidates, each with its value's hash; ``docs`` has doc_id, text and the two named columns. ``row`` tells repeated rows apart, ``digest`` (SHA-256) names the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, row = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("stop", pa.int32()), ("value_start", pa.int32()), ("value_stop", pa.int32()), ("hash", pa.string()), ("plausible", pa.bool_())])), partition_id() << 33
@@ -83,10 +92,10 @@ def scan(docs: DataFrame, repo: str, owner: str) -> DataFrame:
                 digests.append(_digest(base))
                 lists.append([(*x, hashlib.sha256(text[x[3] : x[4]].encode()).hexdigest(), looks_live(text[x[3] : x[4]])) for x in found])
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column(0), batch.column(2), batch.column(3), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array([[dict(zip(("start", "rank", "stop", "value_start", "value_stop", "hash", "plausible"), x, strict=True)) for x in found] for found in lists], kind)], ["row", "doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column(0), batch.column(4), batch.column(2), batch.column(3), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array([[dict(zip(("start", "rank", "stop", "value_start", "value_stop", "hash", "plausible"), x, strict=True)) for x in found] for found in lists], kind)], ["row", "doc_id", "digest", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
             row += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner")).mapInArrow(run, _FOUND)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), _digest_of("text").alias("digest")).mapInArrow(run, _FOUND)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -102,12 +111,12 @@ def secret_scan(docs: DataFrame, repo: str, owner: str, copied_by: int = COPIED_
 
     First: doc_id, n_assign, n_access, n_hex, base_sha256, spans (array of start, rank, stop), n_live, n_copied; one row per
     row of ``docs``. A candidate whose value fewer than ``copied_by`` owners hold, and which looks generated, is live: its value's
-    span is added with kind ``live``. Second: doc_id, start, stop, value_start, value_stop, hash, n_repos, n_owners, live.
+    span is added with kind ``live``. Second: doc_id, digest (of the whole text), start, stop, value_start, value_stop, hash, n_repos, n_owners, live.
     A null text counts as empty, and gives no spans.
     """
     found = stored(scan(docs, repo, owner), "secrets")
-    each = found.select("row", "doc_id", F.explode("found").alias("x")).select("row", "doc_id", "x.*")
-    judged = each.join(ownership(found), "hash").withColumn("live", F.col("plausible") & (F.col("n_owners") < copied_by))
+    each = found.select("row", "doc_id", "digest", F.explode("found").alias("x")).select("row", "doc_id", "digest", "x.*")
+    judged = each.join(stored(ownership(found), "ownership"), "hash").withColumn("live", F.col("plausible") & (F.col("n_owners") < copied_by))
     judged = stored(judged, "judged")
     live = F.struct(F.col("value_start").alias("start"), F.lit(KINDS.index("live")).alias("rank"), F.col("value_stop").alias("stop"))
     added = judged.groupBy("row").agg(F.collect_list(F.when(F.col("live"), live)).alias("added"), F.count_if("live").alias("n_live"), F.count_if(F.col("n_owners") >= copied_by).alias("n_copied"))
@@ -125,24 +134,30 @@ def spans_text(spans: str, kinds: tuple[str, ...]):
 
 
 def redact(docs: DataFrame, judged: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every live value replaced by ``mask``; all else, and texts without one, stays as it is."""
-    live = judged.where("live").groupBy("doc_id").agg(F.collect_set("hash").alias("live_hashes"))
+    """``docs`` with every live value replaced by ``mask``; all else, and texts without one, stays as it is.
+
+    A text is found by its digest, so rows without a doc_id and rows that share one are masked like others, and columns may have any names.
+    """
+    live = judged.where("live").groupBy("digest").agg(F.collect_set(F.unhex("hash")).alias("hashes"))
+    key, held = (f"{name}_{uuid.uuid4().hex}" for name in ("digest", "hashes"))
+    live = stored(live.select(F.col("digest").alias(key), F.col("hashes").alias(held)), "live")
+    if live.count() <= MOST_LIVE:
+        live = F.broadcast(live)
 
     @F.pandas_udf("string")
     def masked(texts, hashes):
         def one(text, own):
             if text is None or own is None:
                 return text
-            own, out, at = set(own), [], 0
+            own, out, at = {bytes(x) for x in own}, [], 0
             for *_, a, b in sorted(candidates(text), key=lambda x: x[3]):
-                if a >= at and hashlib.sha256(text[a:b].encode()).hexdigest() in own:
+                if a >= at and hashlib.sha256(text[a:b].encode()).digest() in own:
                     out += [text[at:a], mask]
                     at = b
             return "".join([*out, text[at:]])
 
         return texts.__class__([one(t, h) for t, h in zip(texts, hashes, strict=True)])
 
-    joined = docs.join(live.withColumnRenamed("doc_id", "live_doc"), F.col("live_doc") == docs["doc_id"], "left")
-    held = F.col("live_hashes").isNotNull()  # other texts stay out of Python
-    hit = joined.withColumn("text", F.when(held, masked(F.when(held, F.col("text")), "live_hashes")).otherwise(F.col("text")))
-    return hit.select(*docs.columns)
+    joined = docs.join(live, _digest_of("text") == F.col(key), "left")
+    hit = F.col(held).isNotNull()  # other texts stay out of Python
+    return joined.withColumn("text", F.when(hit, masked(F.when(hit, F.col("text")), F.col(held))).otherwise(F.col("text"))).select(*docs.columns)

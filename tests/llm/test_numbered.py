@@ -312,6 +312,29 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates.near_duplicates(docs.where("text IS NULL")).count() == 1
 
 
+def test_near_duplicates_of_shared_and_missing_ids(spark):
+    """Each row is a document: two texts of one doc_id have links of their own, and so have rows without a doc_id."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, c), (5, c + " more"), (None, d), (None, d + " more"), (7, e), (7, e), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, node long, set_key string").repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates.near_duplicates(docs).collect())
+    assert got == Counter([(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1), (None, 36, 5), (5, 37, 5), (None, 36, None), (None, 37, None), (7, 36, 7), (7, 36, 7), (None, 0, None), (None, 0, None)])
+
+
+def test_near_duplicates_random_rows(spark):
+    """Random rows with shared and missing ids against a plain version whose nodes are rows."""
+    rng = random.Random(31)
+    rows = [(rng.choice([None, *range(25)]), t) for t in make_texts(31, 70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    by_row = plain_components(list(enumerate(t for _, t in rows)), 80)
+    least = {}
+    for k, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[by_row[k][1]] = min(least.get(by_row[k][1], doc), doc)
+    expected = Counter((doc, by_row[k][0], least.get(by_row[k][1])) for k, (doc, _) in enumerate(rows))
+    assert Counter(map(tuple, near_duplicates.near_duplicates(docs).collect())) == expected
+
+
 def test_components(spark):
     """Union-find in one task and label propagation give the same components, also of a long chain."""
     rng = random.Random(5)
@@ -352,6 +375,56 @@ def test_best_stretch():
         assert d == min(edit(a, b[i:j]) for i in range(15) for j in range(i, 15)) == edit(a, b[low:high])
 
 
+def test_shared_preambles():
+    """2,000 items that begin alike, in a text of 2,000 paragraphs that begin alike: the items' own words find what is there, in bounded time and memory."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    some = lambda k: [f"{rng.choice(VOCABULARY)}{rng.randrange(400)}" for _ in range(k)]
+    preamble = some(18)
+    bodies = [some(22) for _ in range(2000)]
+    edited = [list(b) for b in bodies[:300]]
+    for b in edited:
+        for _ in range(6):
+            b[rng.randrange(len(b))] = f"edit{rng.randrange(999)}"
+    paragraphs = [*edited, *(some(22) for _ in range(1700))]
+    hashed = lambda ws: words.word_hashes(pa.array([" ".join(ws)]), lower=True)[0]
+    items = decontamination.Items([[i] for i in range(2000)], [hashed(preamble + b) for b in bodies], 0.8)
+    text = pa.array([" ".join(w for p in paragraphs for w in preamble + p)])
+    prepared = items.prepared()
+    began = time.perf_counter()
+    tracemalloc.start()
+    found = decontamination.find_items(text, items, prepared)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {i for _, i, *_ in found} == set(range(300)) and len(found) == 300
+    assert time.perf_counter() - began < 60 and peak < 500e6
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shared_passages_lose_nothing(seed, monkeypatch):
+    """What windows taken one by one find, rare words find too: items with common parts, against the same search without a bound on windows."""
+    rng = random.Random(seed)
+    some = lambda k: [f"{rng.choice(VOCABULARY)}{rng.randrange(9)}" for _ in range(k)]
+    common = some(25)
+    bodies = [some(rng.randint(0, 6)) + common[: rng.randint(4, 25)] + some(rng.randint(4, 20)) for _ in range(60)]
+    texts = []
+    for _ in range(80):
+        text = some(rng.randint(0, 30))
+        for b in rng.sample(bodies, 2):
+            leak = list(b)
+            for _ in range(int(0.2 * len(leak))):
+                leak[rng.randrange(len(leak))] = "edit"
+            text += leak
+        texts.append(" ".join(text))
+    hashed = lambda ws: words.word_hashes(pa.array([" ".join(ws)]), lower=True)[0]
+    items = decontamination.Items([[i] for i in range(60)], [hashed(b) for b in bodies], 0.8)
+    found = {x[:3] for x in decontamination.find_items(pa.array(texts), items, items.prepared())}
+    monkeypatch.setattr(decontamination, "MOST_ALIKE", 1 << 60)
+    plain = {x[:3] for x in decontamination.find_items(pa.array(texts), items, items.prepared())}
+    assert {x[:2] for x in plain} <= {x[:2] for x in found} and len(plain) > 100
+
+
 def test_decontamination_recall(spark):
     rng = random.Random(11)
     some = lambda k: [rng.choice(VOCABULARY) + str(rng.randrange(60)) for _ in range(k)]
@@ -462,6 +535,18 @@ def test_secret_ownership(spark):
     assert secrets.secret_scan(docs.limit(0), "repo", "owner")[0].count() == 0
 
 
+def test_redact_by_text(spark):
+    """Rows without a doc_id and rows that share one are masked by what they hold; columns may have any names."""
+    live = "Zx81kQ97mPw3Lt5v"
+    rows = [(None, f"api_key={live}", "o"), (None, "plain", "o"), (1, f"secret: {live} end", "o"), (1, "nothing", "o"), (2, None, "p"), (2, "", "p"), (None, f"api_key={live}", "o")]
+    docs = spark.createDataFrame([(*r, ["x"], "d", "h") for r in rows], "doc_id long, text string, owner string, live_hashes array<string>, live_doc string, digest string").withColumn("repo", F.lit("r")).repartition(3)
+    _, judged = secrets.secret_scan(docs, "repo", "owner")
+    got = secrets.redact(docs, judged)
+    assert got.columns == docs.columns
+    expected = sorted(((d, t and t.replace(live, "[SECRET]")) for d, t, _ in rows), key=repr)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == expected and sum("[SECRET]" in (t or "") for _, t in expected) == 3
+
+
 def test_personal_data(spark):
     texts = [None, "", "see 12 Long Hill Road, or Account number: 1234 5678 90", "IBAN GB82 WEST 1234 5698 7654 32", "https://me:pw@host/x", "x" * 200_000 + " a@b.co"]
     got = personal.personal_data(frame(spark, texts)).orderBy("doc_id").collect()
