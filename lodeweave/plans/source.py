@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SENSITIVE, lines, safe_path
 from ..operators import bindings
-from ..sources import lexical, python_source, text_source as S
+from ..sources import lexical, python_source, spans, text_source as S
 from .registry import Tables, query
 
 _LINES = "CASE WHEN text = '' THEN [] WHEN suffix(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END"
@@ -38,6 +38,31 @@ def chunk_line_partition(t: Tables) -> DataFrame:
     return S.line_chunks(t.documents.select("doc_id", "text"), "doc_id", 20)
 
 
+_OPEN = "'html', 'head', 'body', 'nav', 'ul', 'li', 'article', 'div', 'footer', 'section', 'table'"
+_SPANS = f"""WITH RECURSIVE
+    s AS (SELECT page_id, list_filter(string_split(regexp_replace(html, '(<[^>]*>)', chr(10) || '\\1' || chr(10), 'g'), chr(10)), lambda x: x <> '') AS l FROM pages),
+    n AS (SELECT page_id, unnest(l) AS content, unnest(range(1, len(l) + 1)) AS line, regexp_extract(content, '^</?([a-z0-9]+)', 1) AS name FROM s),
+    t AS (SELECT *, CASE WHEN name NOT IN ({_OPEN}, 'a', 'title', 'style', 'script', 'h1', 'h2', 'h3') THEN 0 WHEN content LIKE '</%' THEN -1 ELSE 1 END AS step, name IN ({_OPEN}) AS owns FROM n),
+    w AS (SELECT page_id, 0::BIGINT AS line, 0 AS step, [{{'line': 0::BIGINT, 'owns': true, 'name': NULL::VARCHAR}}] AS stack, [{{'line': 0::BIGINT, 'owns': true, 'name': NULL::VARCHAR}}] AS before FROM s
+          UNION ALL SELECT w.page_id, t.line, CASE WHEN t.step = -1 AND len(w.stack) = 1 THEN 0 ELSE t.step END,
+                 CASE WHEN t.step = 1 THEN list_append(w.stack, {{'line': t.line, 'owns': t.owns, 'name': t.name}}) WHEN t.step = -1 AND len(w.stack) > 1 THEN w.stack[:-2] ELSE w.stack END,
+                 CASE WHEN t.step = 1 THEN list_append(w.stack, {{'line': t.line, 'owns': t.owns, 'name': t.name}}) ELSE w.stack END
+          FROM w JOIN t ON t.page_id = w.page_id AND t.line = w.line + 1),
+    o AS (SELECT page_id, line, list_filter(before, lambda x: x.owns)[-1] AS own, (step = 0 AND before[-1].owns) OR (step = -1 AND NOT before[-1].owns AND before[-2].owns) AS ends FROM w WHERE line > 0),
+    r AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY line) AS stretch FROM (SELECT *, CASE WHEN own.line = lag(own.line) OVER (PARTITION BY page_id ORDER BY line) THEN 0 ELSE 1 END AS fresh FROM o)),
+    g AS (SELECT page_id, stretch, any_value(own.line) AS owner, any_value(own.name) AS owner_name, min(line) AS first, max(line) AS last, list_sort(list_distinct(list_append(coalesce(list(line) FILTER (ends), []), max(line)))) AS may FROM r GROUP BY page_id, stretch),
+    c AS (SELECT *, first AS start_line, coalesce(list_max(list_filter(may, lambda x: x < first + {{most}})), list_min(may)) AS end_line FROM g
+          UNION ALL SELECT page_id, stretch, owner, owner_name, first, last, may, end_line + 1, coalesce(list_max(list_filter(may, lambda x: x > c.end_line AND x < c.end_line + 1 + {{most}})), list_min(list_filter(may, lambda x: x > c.end_line))) FROM c WHERE end_line < last)
+    SELECT page_id, CAST(owner AS INTEGER) AS owner, owner_name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, CAST(row_number() OVER (PARTITION BY page_id, owner ORDER BY start_line) AS INTEGER) AS part,
+           CAST(count(*) OVER (PARTITION BY page_id, owner) AS INTEGER) AS parts, end_line - start_line + 1 > {{most}} AS oversized FROM c"""
+
+
+@query("owned_spans", _SPANS.replace("{most}", "4"))
+def owned_spans(t: Tables) -> DataFrame:
+    """SRC-14 on pages: every tag and text is a line, elements own their lines; parts of four lines, so that there is much to cut."""
+    return spans.owned_spans(spans.page_lines(t.pages.select("page_id", "html"), "page_id"), "page_id", 4)
+
+
 @query("chunk_cover_check", f"{_CHUNKS}, g AS (SELECT * FROM c WHERE part % 3 <> 1), w AS (SELECT doc_id, part, start_line, CAST(coalesce(lag(end_line) OVER (PARTITION BY doc_id ORDER BY start_line, part), 0) + 1 AS INTEGER) AS expected FROM g) SELECT * FROM w WHERE start_line <> expected")
 def chunk_cover_check(t: Tables) -> DataFrame:
     """Every third part is taken out, so that there are gaps to find."""
