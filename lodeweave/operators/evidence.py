@@ -12,12 +12,6 @@ from pyspark.sql import functions as F
 from .store import stored
 
 
-def overlapping(a: DataFrame, b: DataFrame, key: str, low: str, high: str) -> DataFrame:
-    """JOI-15: pairs of closed ranges of one key that meet. ``b``'s bounds come out as other_low and other_high."""
-    other = b.select(key, F.col(low).alias("other_low"), F.col(high).alias("other_high"))
-    return a.join(other, key).where((F.col("other_low") <= F.col(high)) & (F.col("other_high") >= F.col(low)))
-
-
 def supported(citations: DataFrame, references: DataFrame, key: str, low: str, high: str) -> DataFrame:
     """FLT-16: ``citations`` with ``ok``: whether a reference of the same key contains their range.
 

@@ -55,17 +55,6 @@ def histogram(events: DataFrame, group: str, value: str, bounds: tuple[float, ..
     return wide.select(group, F.explode(rows).alias("b")).select(group, "b.le", "b.n")
 
 
-def percentiles(events: DataFrame, group: str, value: str) -> DataFrame:
-    """AGG-18 and AGG-19: interpolated and nearest-rank median, nearest-rank 95th percentile, mean."""
-    v = F.col(value)
-    return events.groupBy(group).agg(
-        F.round(F.expr(f"percentile_cont(0.5) WITHIN GROUP (ORDER BY {value})"), 6).alias("p50"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50_nearest"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"),
-        F.round(F.avg(v), 6).alias("mean"),
-    )
-
-
 def first_stop(events: DataFrame, key: str, order: list[str], limits: list[tuple[str, Column, int, str]]) -> DataFrame:
     """STR-12: for each run, the first event that would exceed one of the limits (name, predicate, limit, reason): key, event_id, reason. Of limits that one event exceeds, the first counts."""
     so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

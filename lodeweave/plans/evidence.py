@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines
 from ..operators import evidence as E
+from ..operators.ranges import overlapping
 from ..sources.text_source import line_chunks
 from . import graph as star
 from .registry import Tables, query
@@ -16,7 +17,19 @@ from .source import _CHUNKS, _LINES
 @query("interval_overlap", f"{_CHUNKS}, e AS (SELECT doc_id, 15 AS start_line, 25 AS end_line FROM documents) SELECT c.doc_id, c.start_line AS other_low, c.end_line AS other_high FROM e JOIN c ON c.doc_id = e.doc_id AND c.start_line <= e.end_line AND c.end_line >= e.start_line")
 def interval_overlap(t: Tables) -> DataFrame:
     wanted = t.documents.select("doc_id", F.lit(15).alias("start_line"), F.lit(25).alias("end_line"))
-    return E.overlapping(wanted, line_chunks(t.documents.select("doc_id", "text"), "doc_id", 20), "doc_id", "start_line", "end_line").select("doc_id", "other_low", "other_high")
+    return overlapping(wanted, line_chunks(t.documents.select("doc_id", "text"), "doc_id", 20), "doc_id", "start_line", "end_line").select("doc_id", "other_low", "other_high")
+
+
+_RANGES = "SELECT event_id, user_id % 5 AS doc_id, (event_id * 7919) % 20000 AS start_line, (event_id * 7919) % 20000 + CASE WHEN event_id % 53 = 0 THEN event_id % 4000 ELSE event_id % 40 END AS end_line FROM events WHERE event_type = '{kind}'"
+
+
+@query("range_overlaps", f"WITH a AS ({_RANGES.format(kind='click')}), b AS ({_RANGES.format(kind='purchase')}) SELECT a.event_id, b.start_line AS other_low, b.end_line AS other_high FROM a JOIN b ON b.doc_id = a.doc_id AND b.start_line <= a.end_line AND b.end_line >= a.start_line")
+def range_overlaps(t: Tables) -> DataFrame:
+    """JOI-15: two sets of ranges, some of them long, in a few texts."""
+    start, size = F.col("event_id") * 7919 % 20000, F.when(F.col("event_id") % 53 == 0, F.col("event_id") % 4000).otherwise(F.col("event_id") % 40)
+    rows = t.events.select("event_type", "event_id", (F.col("user_id") % 5).alias("doc_id"), start.alias("start_line"), (start + size).alias("end_line"))
+    of = lambda kind: rows.where(F.col("event_type") == kind).drop("event_type")
+    return overlapping(of("click"), of("purchase"), "doc_id", "start_line", "end_line").select("event_id", "other_low", "other_high")
 
 
 _CITED = "SELECT event_id, user_id AS doc_id, CAST(1 + event_id % 30 AS INTEGER) AS start_line, CAST(1 + event_id % 30 + event_id % 4 AS INTEGER) AS end_line, event_type FROM events"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import arbitration as A
 from ..operators import evidence as E
 from ..operators import memory as M
 from ..operators import traces as T
@@ -36,7 +37,7 @@ def retracted_records(t: Tables) -> DataFrame:
     parents = rows.select(F.col("id").alias("node"), "parent").join(rows.select(F.col("id").alias("parent")), "parent", "left_semi").select("node", "parent")
     withdrawn = rows.where("last AND role = 'assistant'").select(F.col("id").alias("node"))
     target = F.concat_ws(":", "role", F.length("text").cast("string"))
-    return M.retracted(rows.select("id", target.alias("target")), withdrawn, E.ancestors(parents, 256), "id", "target").select("id")
+    return M.retracted(rows.select("id", target.alias("target")), withdrawn, parents.withColumnRenamed("parent", "onward"), "id", "target").select("id")
 
 
 @query("tool_pairs", """WITH k AS (SELECT user_id, date_trunc('day', ts) AS turn, count(*) FILTER (event_type = 'view') AS starts, count(*) FILTER (event_type = 'click') AS finishes, min(event_id) FILTER (event_type = 'view') AS start_id, min(event_id) FILTER (event_type = 'click') AS finish_id, min(ts) FILTER (event_type = 'view') AS a, min(ts) FILTER (event_type = 'click') AS b FROM events GROUP BY ALL)
@@ -49,6 +50,37 @@ def tool_pairs(t: Tables) -> DataFrame:
     return rows.where("starts = 1 AND finishes = 1").select("user_id", "start_id", "finish_id", (F.col("a") <= F.col("b")).alias("in_order"))
 
 
+@query("tool_pairs_asof", """WITH e AS (SELECT user_id, date_trunc('day', ts) AS turn, event_type, event_id, ts FROM events), p AS (SELECT f.user_id, f.turn, s.event_id AS start_id, f.event_id AS finish_id, f.ts AS finished FROM (SELECT * FROM e WHERE event_type = 'click') f ASOF JOIN (SELECT * FROM e WHERE event_type = 'view') s ON s.user_id = f.user_id AND s.turn = f.turn AND s.ts < f.ts)
+    SELECT user_id, turn, start_id, finish_id FROM p QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY finished) = 1""")
+def tool_pairs_asof(t: Tables) -> DataFrame:
+    """JOI-24: a user's clicks of a day, each with the last view before it that is still open, of however many."""
+    rows = t.events.select("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("turn"), "event_type", "event_id", "ts")
+    return A.paired_open(rows, ["user_id", "turn"], ORDER, F.col("event_type") == "view", F.col("event_type") == "click", "event_id")
+
+
+_WRITES = "w AS (SELECT *, (place - 1) // 3 + k % 3 - 1 AS expected FROM (SELECT user_id, event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events))"
+_WON = f"""WITH RECURSIVE {_WRITES}, c(user_id, version, place) AS (SELECT user_id, 0::BIGINT, min(place) FROM w WHERE expected = 0 GROUP BY user_id
+    UNION ALL SELECT c.user_id, c.version + 1, min(w.place) FROM c JOIN w ON w.user_id = c.user_id AND w.expected = c.version + 1 AND w.place > c.place GROUP BY c.user_id, c.version)"""
+
+
+def _rival_writes(t: Tables) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER))
+    rows = t.events.select("user_id", "event_id", "event_type", "ts", F.get_json_object("props", "$.k").cast("long").alias("k"), place.alias("nth"))
+    return rows.withColumn("expected", (F.floor((F.col("nth") - 1) / 3) + F.col("k") % 3 - 1).cast("long"))
+
+
+@query("compare_and_set", f"{_WON} SELECT w.user_id, w.event_id, w.expected, c.place IS NOT NULL AS won FROM w LEFT JOIN c ON c.user_id = w.user_id AND c.place = w.place")
+def compare_and_set(t: Tables) -> DataFrame:
+    """STR-09: a user's events as writes that each expect a version of the user's state; which of them are done and which are noops."""
+    return A.compared_and_set(_rival_writes(t), "user_id", ORDER, "expected", "event_id").select("user_id", "event_id", "expected", "won")
+
+
+@query("compare_and_set_state", f"{_WON}, v AS (SELECT w.*, c.place IS NOT NULL AS won FROM w LEFT JOIN c ON c.user_id = w.user_id AND c.place = w.place) SELECT user_id, coalesce(max(expected + 1) FILTER (won), 0) AS version, arg_max(event_type, expected) FILTER (won) AS state, count(*) FILTER (NOT won) AS noops FROM v GROUP BY user_id")
+def compare_and_set_state(t: Tables) -> DataFrame:
+    """STR-09: the state that is left."""
+    return A.final_state(A.compared_and_set(_rival_writes(t), "user_id", ORDER, "expected", "event_id"), "user_id", "expected", "event_type")
+
+
 @query("stream_prefix_check", f"""WITH s AS (SELECT user_id, event_id, row_number() OVER ({_RUN}) - 1 AS sequence FROM events), r AS (SELECT user_id, event_id, row_number() OVER ({_RUN}) - 1 AS sequence FROM events WHERE event_type <> 'error'), n AS (SELECT user_id, max(sequence) AS last FROM r GROUP BY user_id)
     SELECT coalesce(s.user_id, r.user_id) AS user_id, coalesce(s.sequence, r.sequence) AS sequence, CASE WHEN s.event_id IS NULL THEN 'not_stored' WHEN r.event_id IS NULL THEN 'not_streamed' WHEN s.event_id <> r.event_id THEN 'different' ELSE 'same' END AS verdict
     FROM s FULL JOIN r ON r.user_id = s.user_id AND r.sequence = s.sequence LEFT JOIN n ON n.user_id = coalesce(s.user_id, r.user_id) WHERE coalesce(s.sequence, r.sequence) <= n.last""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import traces as T
+from ..operators.selection import percentiles
 from .registry import Tables, query
 
 ORDER = ["ts", "event_id"]
@@ -73,7 +74,7 @@ def latency_histogram(t: Tables) -> DataFrame:
 
 @query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, quantile_disc(value, 0.5) AS p50_nearest, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def latency_percentiles(t: Tables) -> DataFrame:
-    return T.percentiles(t.events, "event_type", "value")
+    return percentiles(t.events, "event_type", "value")
 
 
 @query("task_metrics_matrix", """WITH e AS (SELECT CASE WHEN event_type IN ('view', 'click', 'purchase') THEN event_type ELSE 'other' END AS kind, CASE WHEN value < 10 THEN 'queued' WHEN value < 50 THEN 'running' ELSE 'completed' END AS status, value FROM events),
