@@ -103,11 +103,11 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, limit: i
 
 
 def reachable(edges: DataFrame, start: str, depth: int) -> DataFrame:
-    """Least number of steps from ``start`` to each node, up to ``depth``; a level is a join of its frontier with the edges, stored once, and each node is kept at its first level only."""
-    edges = stored(edges.select("source", "target").distinct(), "edges")
+    """Least number of steps from ``start`` to each node, up to ``depth``; a level is a join of its frontier with the edges, stored once, and each node is kept at its first level only. The edges are stored once for all levels; only a frontier's own ends are made distinct."""
+    edges = stored(edges.select("source", "target"), "edges")
     levels = [edges.sparkSession.createDataFrame([(start, 0)], "id string, distance int")]
     for level in range(1, depth + 1):
-        onward = edges.join(levels[-1].select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
+        onward = edges.join(levels[-1].select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
         fresh = stored(onward.join(union_all(levels).select("id"), "id", "left_anti").select("id", F.lit(level).alias("distance")), "frontier")
         if not fresh.limit(1).count():
             break
@@ -168,6 +168,23 @@ def bounded_bfs(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int
     return union_all(seen), stats
 
 
+def path_steps(found: DataFrame) -> DataFrame:
+    """GQ-10: each node of a bounded search with its path: id, distance, turn, seed, steps (array of node, relation, way: how each step was taken, from the seed on).
+
+    Parents are followed back level by level, at most four times, over what the search found, which its node limit bounds.
+    """
+    found = F.broadcast(stored(found.select("id", "distance", "turn", "parent", "relation", "way"), "found"))
+    step = F.struct(F.col("id").alias("node"), "relation", "way")
+    rows = found.select("id", "distance", "turn", F.col("parent").alias("at"), F.when(F.col("parent").isNotNull(), F.array(step)).otherwise(F.array().cast("array<struct<node:string,relation:string,way:string>>")).alias("steps"), F.when(F.col("parent").isNull(), F.col("id")).alias("seed"))
+    up = found.select(F.col("id").alias("at"), F.col("parent").alias("next"), step.alias("step"))
+    for _ in range(4):
+        rows = rows.join(up, "at", "left").select(
+            "id", "distance", "turn", F.col("next").alias("at"), F.when(F.col("next").isNotNull(), F.concat(F.array("step"), "steps")).otherwise(F.col("steps")).alias("steps"),
+            F.coalesce("seed", F.when(F.col("next").isNull(), F.col("at"))).alias("seed"),
+        )
+    return rows.select("id", "distance", "turn", "seed", "steps")
+
+
 def longest_prefix(names: DataFrame, modules: DataFrame) -> DataFrame:
     """JOI-04: each dotted name's longest prefix that is a module, else external: and the name. ``names`` (name), ``modules`` (module, path)."""
     parts = F.split("name", r"\.")

@@ -148,6 +148,30 @@ def graph_bounded_bfs(t: Tables) -> DataFrame:
     return G.bounded_bfs(nodes(t), edges(t), ["order:1"], depth=2, node_limit=24, edge_limit=96)[0].select("id", "distance", "turn")
 
 
+_FIRM = "CASE type WHEN 'calls' THEN length(target) % 2 = 0 WHEN 'references' THEN length(source) % 2 = 0 ELSE true END"
+
+
+@query("graph_bfs_paths", f"""{BOTH}, adj AS (
+        SELECT node, other, way, type, firm, row_number() OVER (PARTITION BY node ORDER BY source, target, type, way DESC) AS turn FROM (
+            SELECT source AS node, target AS other, source, target, type, 'outgoing' AS way, {_FIRM} AS firm FROM edges UNION ALL SELECT target, source, source, target, type, 'incoming', {_FIRM} FROM edges)),
+    n AS (SELECT id FROM nodes WHERE path IS NOT NULL),
+    c1 AS (SELECT a.*, row_number() OVER (ORDER BY turn) AS c FROM adj a WHERE node = 'cust:7'),
+    f1 AS (SELECT other AS id, min(c) AS c, arg_min(CASE way WHEN 'outgoing' THEN '-' || type || '>' ELSE '<' || type || '-' END || other, c) AS step FROM c1 WHERE firm AND other IN (FROM n) AND other <> 'cust:7' GROUP BY other),
+    q1 AS (SELECT id, 'cust:7' || step AS path, row_number() OVER (ORDER BY c) AS place FROM f1),
+    c2 AS (SELECT a.*, q.path, row_number() OVER (ORDER BY q.place, a.turn) + (SELECT count(*) FROM c1) AS c FROM adj a JOIN q1 q ON q.id = a.node),
+    f2 AS (SELECT other AS id, min(c) AS c, arg_min(path || CASE way WHEN 'outgoing' THEN '-' || type || '>' ELSE '<' || type || '-' END || other, c) AS path FROM c2
+           WHERE c <= 120 AND firm AND other IN (FROM n) AND other <> 'cust:7' AND other NOT IN (SELECT id FROM q1) GROUP BY other),
+    q2 AS (SELECT id, path, (SELECT count(*) FROM q1) + row_number() OVER (ORDER BY c) AS place FROM f2)
+    SELECT 'cust:7' AS id, 0 AS distance, 'cust:7' AS path UNION ALL SELECT id, 1, path FROM q1 WHERE place < 60 UNION ALL SELECT id, 2, path FROM q2 WHERE place < 60""")
+def graph_bfs_paths(t: Tables) -> DataFrame:
+    """GQ-10: the search with the way to each node; calls and references that aren't static are passed over."""
+    firm = F.when(F.col("type") == "calls", F.length("target") % 2 == 0).when(F.col("type") == "references", F.length("source") % 2 == 0)
+    rows = edges(t).withColumn("resolution", F.when(firm, "static").when(~firm, "dynamic"))
+    found = G.path_steps(G.bounded_bfs(nodes(t), rows, ["cust:7"], depth=2, node_limit=60, edge_limit=120)[0])
+    step = lambda x: F.when(x["way"] == "outgoing", F.concat(F.lit("-"), x["relation"], F.lit(">"), x["node"])).otherwise(F.concat(F.lit("<"), x["relation"], F.lit("-"), x["node"]))
+    return found.select("id", "distance", F.concat("seed", F.array_join(F.transform("steps", step), "")).alias("path"))
+
+
 @query("import_longest_prefix", """WITH names AS (SELECT DISTINCT replace(regexp_replace(url, '^https?://', ''), '/', '.') AS name FROM pages),
     modules AS (SELECT module, min(name) AS path FROM (SELECT name, array_to_string(list_slice(string_split(name, '.'), 1, 2), '.') AS module FROM names) GROUP BY module HAVING count(*) > 2),
     p AS (SELECT name, unnest(range(1, len(string_split(name, '.')) + 1)) AS k FROM names),

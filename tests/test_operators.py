@@ -16,6 +16,7 @@ def plain_bfs(nodes, edges, seeds, depth, node_limit, edge_limit, direction):
         adjacent.setdefault(s, []).append((s, t, k, 1, "outgoing", t))
         adjacent.setdefault(t, []).append((s, t, k, 2, "incoming", s))
     seen = {n: 0 for n in sorted(set(seeds))[:node_limit]}
+    paths = {n: (n,) for n in seen}
     queue, checks, unknown, limited = list(seen), 0, 0, False
     while queue and not limited:
         node = queue.pop(0)
@@ -35,8 +36,9 @@ def plain_bfs(nodes, edges, seeds, depth, node_limit, edge_limit, direction):
                     limited = True
                     break
                 seen[other] = seen[node] + 1
+                paths[other] = (*paths[node], (other, kind, way))
                 queue.append(other)
-    return seen, checks, unknown, limited
+    return seen, checks, unknown, limited, paths
 
 
 def test_bounded_bfs(spark):
@@ -49,9 +51,10 @@ def test_bounded_bfs(spark):
         n_df = spark.createDataFrame([(k, "function", k, p) for k, p in nodes.items()], "id string, type string, name string, path string")
         e_df = spark.createDataFrame(sorted(edges), "source string, target string, type string")
         found, stats = graph.bounded_bfs(n_df, e_df, ["n0", "n1"], depth, most, checks, way)
-        seen, c, u, limited = plain_bfs(nodes, edges, ["n0", "n1"], depth, most, checks, way)
+        seen, c, u, limited, paths = plain_bfs(nodes, edges, ["n0", "n1"], depth, most, checks, way)
         assert [(r["id"], r["distance"]) for r in found.orderBy("turn").collect()] == list(seen.items())
         assert (stats["edge_checks"], stats["unknown_relations"], stats["limited"]) == (c, u, limited)
+        assert {r["id"]: (r["seed"], *map(tuple, r["steps"])) for r in graph.path_steps(found).collect()} == paths
 
 
 def test_fixed_window_limit(spark):
