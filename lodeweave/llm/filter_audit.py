@@ -9,8 +9,6 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
-
 #: More filters than this would make too many orders to list.
 MOST_FILTERS = 6
 
@@ -41,12 +39,11 @@ def mask_counts(docs: DataFrame, labels: DataFrame, filters: Mapping[str, Column
     empty one, a null part the empty string. Rows without a doc_id have no smaller doc_id and are none, and have no labels; repeated rows count each.
     Of a doc_id's repeated labels, one that is 1 counts.
 
-    Texts are read once and don't move: a row of digest, id and bits stands for each. Equal texts are counted by (doc_id, part), then by part, before a
+    Texts don't move, and are read once (those without a doc_id a second time): a row of digest, id and bits stands for each. Equal texts are counted by (doc_id, part), then by part, before a
     text's own rows meet, so a text that a third of all rows hold brings a few rows for each part.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(t, 256)).alias("digest"), _mask(filters).cast("byte").alias("mask"))
-    facts = stored(facts, "filter-facts")
     names = [f"n_{m}" for m in marks]
     own = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(F.max(F.when(F.col(m) == 1, 1).otherwise(0)).alias(n) for m, n in zip(marks, names, strict=True)))
     named = facts.where("doc_id IS NOT NULL").join(own, "doc_id", "left").fillna(0, names)
@@ -125,7 +122,7 @@ def audit(docs: DataFrame, labels: DataFrame, filters: Mapping[str, Column] | No
     """
     filters = five_filters() if filters is None else filters
     counts = mask_counts(docs, labels, filters, part)
-    kept = stored(survivors(counts, len(filters) + 1, ("n", "n_quality", "n_toxic")), "survivors")
+    kept = survivors(counts, len(filters) + 1, ("n", "n_quality", "n_toxic"))
     return order_steps(kept, "".join(filters) + repeats, {"good_lost": "n_quality", "toxic_lost": "n_toxic"})
 
 

@@ -47,7 +47,7 @@ def positioned(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     ranges = rows.groupBy(key, "range").agg(F.count(F.lit(1)).alias("own"), F.min("at").alias("first"))
     earlier = F.coalesce(F.sum("own").over(Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.select(key, "range", (earlier - F.col("first")).alias("shift"), F.sum("own").over(Window.partitionBy(key)).alias("n"))
-    found = rows.join(stored(ranges, "ranges"), [key, "range"])
+    found = rows.join(stored(ranges, "ranges", short=True), [key, "range"])
     return found.withColumn("pos", F.col("at") + F.col("shift")).drop("at", "range", "shift")
 
 
@@ -147,7 +147,7 @@ def tops(nodes: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFr
 
 def paths(nodes: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """``nodes`` (key, pos, n, digest), few in comparison with the rows below: key, pos, top (of the key's tree) and path (siblings on either side, level by level up to it)."""
-    tree = stored(tops(nodes, fanout, levels), "tops")
+    tree = stored(tops(nodes, fanout, levels), "tops", short=True)
     width = fanout**levels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +220,11 @@ def manifest(docs: DataFrame, seen: dict[str, Column] | None = None, tampered: C
     facts = docs.select(_key(source).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), leaf(fields).alias("digest"), changed.alias("seen"))
     facts = stored(facts.withColumn("row", F.monotonically_increasing_id()), "leaves")
     rows = stored(positioned(facts, "key", ["doc_id", "digest", "row"]).drop("row").withColumn("block", F.expr(f"pos div {width}")), "positions")
-    lows = stored(tops(rows.select("key", "pos", "n", "digest"), fanout, levels), "block-tops")
+    lows = stored(tops(rows.select("key", "pos", "n", "digest"), fanout, levels), "block-tops", short=True)
     within = paths(lows, fanout, levels)
-    within = stored(within.select("key", F.col("pos").alias("block"), F.col("top").alias("subroot"), "path"), "block-paths")
+    within = stored(within.select("key", F.col("pos").alias("block"), F.col("top").alias("subroot"), "path"), "block-paths", short=True)
     roots = positioned(within.where("block = 0").select(F.lit("").alias("key"), F.col("key").alias("of"), F.col("subroot").alias("digest")), "key", ["of"])
-    roots = stored(roots, "subroots")
+    roots = stored(roots, "subroots", short=True)
     over = paths(roots, fanout, levels).join(roots.select("pos", "of"), "pos").select(F.col("of").alias("key"), F.col("top").alias("root"), F.col("path").alias("more"))
     above = within.join(over, "key").select("key", "block", "subroot", "root", F.concat("path", "more").alias("path"))
     found = _proven(rows, above, fanout, levels)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partition_id, stored
+from .words import text_slices
 
 # The base kinds' patterns; a match that is too short is dropped after it has been consumed.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -82,7 +83,7 @@ def scan(docs: DataFrame, repo: str, owner: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, row = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("stop", pa.int32()), ("value_start", pa.int32()), ("value_stop", pa.int32()), ("hash", pa.string()), ("plausible", pa.bool_())])), partition_id() << 33
-        for batch in batches:
+        for batch in text_slices(batches):
             lists, digests, counts = [], [], ([], [], [])
             for text in batch.column(1).to_pylist():
                 found = candidates(text or "")
@@ -116,7 +117,7 @@ def secret_scan(docs: DataFrame, repo: str, owner: str, copied_by: int = COPIED_
     """
     found = stored(scan(docs, repo, owner), "secrets")
     each = found.select("row", "doc_id", "digest", F.explode("found").alias("x")).select("row", "doc_id", "digest", "x.*")
-    judged = each.join(stored(ownership(found), "ownership"), "hash").withColumn("live", F.col("plausible") & (F.col("n_owners") < copied_by))
+    judged = each.join(stored(ownership(found), "ownership", short=True), "hash").withColumn("live", F.col("plausible") & (F.col("n_owners") < copied_by))
     judged = stored(judged, "judged")
     live = F.struct(F.col("value_start").alias("start"), F.lit(KINDS.index("live")).alias("rank"), F.col("value_stop").alias("stop"))
     added = judged.groupBy("row").agg(F.collect_list(F.when(F.col("live"), live)).alias("added"), F.count_if("live").alias("n_live"), F.count_if(F.col("n_owners") >= copied_by).alias("n_copied"))
@@ -140,7 +141,7 @@ def redact(docs: DataFrame, judged: DataFrame, mask: str = "[SECRET]") -> DataFr
     """
     live = judged.where("live").groupBy("digest").agg(F.collect_set(F.unhex("hash")).alias("hashes"))
     key, held = (f"{name}_{uuid.uuid4().hex}" for name in ("digest", "hashes"))
-    live = stored(live.select(F.col("digest").alias(key), F.col("hashes").alias(held)), "live")
+    live = stored(live.select(F.col("digest").alias(key), F.col("hashes").alias(held)), "live", short=True)
     if live.count() <= MOST_LIVE:
         live = F.broadcast(live)
 

@@ -47,12 +47,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         free(spark)
 
 
-def stored(df: DataFrame, name: str, level: int = 3, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, level: int = 3, keep: bool = False, short: bool = False) -> DataFrame:
     """``df`` written once as Parquet, compressed at a Zstandard level, in the shared folder and read again.
 
-    This cuts lineage: what follows reads files that outlive any executor, and a task that runs again reads the same rows.
+    This cuts lineage: what follows reads files that outlive any executor, and a task that runs again reads the same rows. A ``short`` table, one whose
+    rows are ids and counts, is written by four tasks for each core at most, not by as many as there are shuffle partitions.
     """
     path = shared_path(df.sparkSession, name)
+    if short:
+        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
     if not keep and (mine := _SCRATCH.get()) is not None:
         mine.append(path)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)

@@ -44,8 +44,8 @@ def deduplicated(pages: DataFrame, least: int = LEAST_BYTES) -> tuple[DataFrame,
     rows = rows.withColumns({"digest": F.sha1("html"), "bytes": F.octet_length("html").cast("long")})
     facts = stored(rows.where(F.col("bytes") >= least).select("page_id", "url", "digest", "bytes"), "payloads")
     last = facts.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND refers_to IS NOT NULL")
-    last = stored(last.drop("copies"), "copied")
-    revisits = stored(facts.join(last, "digest").where("NOT page_id <=> refers_to").select("page_id", "url", "digest", "bytes", "refers_to"), "revisits")
+    last = stored(last.drop("copies"), "copied", short=True)
+    revisits = stored(facts.join(last, "digest").where("NOT page_id <=> refers_to").select("page_id", "url", "digest", "bytes", "refers_to"), "revisits", short=True)
     names = revisits.select(F.col("page_id").alias("other_id"), F.col("digest").alias("other_digest")).distinct()
     if revisits.count() <= MOST_BROADCAST:
         names = F.broadcast(names)
