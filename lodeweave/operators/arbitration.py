@@ -31,16 +31,16 @@ def compared_and_set(writes: DataFrame, key: str, order: list[str], expected: st
     """STR-09: ``writes`` with ``won``: whether a write found its key at the version it expects. Keys begin at version 0, a winner raises its key's by one, and all else is a noop that changes nothing.
 
     Of the writes that expect a version, the first one after the winner of the version before wins. So each write has at most one that would win after it: the first later one of its key
-    that expects one version more, one running minimum over two neighbouring versions. The winners are the chain of those from the first write that expects 0.
+    that expects one version more, one running value over two neighbouring versions. The winners are the chain of those from the first write that expects 0.
     ``id_`` tells writes apart and ``order`` puts a key's in order.
     """
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     rows = stored(writes.withColumn("place", place), "writes")
     ends = F.array(F.struct(F.col(expected).alias("version"), F.lit(True).alias("before")), F.struct((F.col(expected) - 1).alias("version"), F.lit(False).alias("before")))
     both = rows.where(f"{expected} >= 0").select(key, id_, "place", F.explode(ends).alias("x")).select(key, id_, "place", "x.*")
-    later = Window.partitionBy(key, "version").orderBy("place").rowsBetween(1, Window.unboundedFollowing)
-    both = both.withColumn("onward", F.min(F.when(~F.col("before"), F.struct("place", F.col(id_).alias("id")))).over(later))
-    jumps = both.where("before").select(F.col(id_).alias("node"), F.col("onward.id").alias("onward"))
+    later = Window.partitionBy(key, "version").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("onward", F.last(F.when(~F.col("before"), F.col(id_)), ignorenulls=True).over(later))
+    jumps = both.where("before").select(F.col(id_).alias("node"), "onward")
     starts = both.where("version = -1").groupBy(key).agg(F.min_by(id_, "place").alias("node"))
     winners = marked(starts, jumps).withColumn("won", F.lit(True)).withColumnRenamed("node", id_)
     return rows.drop("place").join(winners, id_, "left").withColumn("won", F.coalesce("won", F.lit(False)))

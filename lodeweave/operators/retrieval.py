@@ -164,12 +164,20 @@ def pack_evidence(candidates: DataFrame, budget: int, limit: int = 6, per_file:
 
 
 def fit_context(messages: DataFrame, budget: int) -> DataFrame:
-    """RET-22 and RET-24: of each conversation (conv_id, turn, role, text), the messages that stay under ``budget`` bytes: system ones first, then from the last turn back; of equal texts the latest alone counts. A window over the conversation, no group function."""
+    """RET-22 and RET-24: of each conversation (conv_id, turn, role, text), the messages that stay under ``budget`` bytes: conv_id, turn, role, cost, used, status.
+
+    System messages are protected: they always stay. Then come the others from the last turn back, as long as they fit; of equal texts the latest alone counts. Where the protected
+    ones alone exceed the budget, they are all that is left and the conversation's status is ``refused``. A window over the conversation, no group function.
+    """
     cost = F.octet_length("text").cast("long") + 16
     latest = F.row_number().over(Window.partitionBy("conv_id", "text").orderBy(F.desc("turn")))
-    order = Window.partitionBy("conv_id").orderBy(F.desc(F.col("role") == "system"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
-    unique = messages.withColumn("copy", latest).where("copy = 1").withColumn("cost", cost)
-    return unique.withColumn("used", F.sum("cost").over(order)).where(F.col("used") <= budget).select("conv_id", "turn", "role", "cost", "used")
+    guarded = F.coalesce(F.col("role") == "system", F.lit(False))
+    order = Window.partitionBy("conv_id").orderBy(F.desc("guarded"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
+    unique = messages.withColumn("copy", latest).where("copy = 1").withColumns({"cost": cost, "guarded": guarded})
+    unique = unique.withColumns({"used": F.sum("cost").over(order), "least": F.sum(F.when(F.col("guarded"), F.col("cost"))).over(Window.partitionBy("conv_id"))})
+    refused = F.coalesce(F.col("least") > budget, F.lit(False))
+    kept = unique.withColumn("status", F.when(refused, "refused").otherwise("ok")).where(F.col("guarded") | (F.col("used") <= budget))
+    return kept.select("conv_id", "turn", "role", "cost", "used", "status")
 
 
 def hash_embedding(texts: DataFrame, key: str, text: str = "text", width: int = 64) -> DataFrame:
@@ -183,10 +191,12 @@ def hash_embedding(texts: DataFrame, key: str, text: str = "text", width: int =
     return rows.unionByName(texts.select(key, F.lit(0).alias("slot"), F.lit(1).cast("long").alias("value")))
 
 
-def fit_planner(messages: DataFrame, budget: int) -> DataFrame:
-    """RET-23: of each conversation, what stays of a planner's input under ``budget`` bytes: user messages go first, the oldest first, then answers, the latest first; system messages last."""
+def fit_planner(messages: DataFrame, budget: int, answer: int = 0) -> DataFrame:
+    """RET-23: of each conversation, what stays of a planner's input under ``budget`` bytes, of which ``answer`` are kept free for what the planner writes: user messages go first, the oldest first, then answers, the latest first. System messages are protected; where they alone don't fit, every row is ``refused``."""
     cost = F.octet_length("text").cast("long")
     worth = F.when(F.col("role") == "system", 0).when(F.col("role") == "assistant", 1).otherwise(2)
     order = Window.partitionBy("conv_id").orderBy("worth", F.when(F.col("worth") == 2, -F.col("turn")).otherwise(F.col("turn"))).rowsBetween(Window.unboundedPreceding, 0)
     rows = messages.withColumns({"cost": cost, "worth": worth}).withColumn("used", F.sum("cost").over(order))
-    return rows.select("conv_id", "turn", "role", F.when(F.col("used") <= budget, "kept").otherwise("context_budget").alias("decision"))
+    guarded = F.coalesce(F.sum(F.when(F.col("worth") == 0, F.col("cost"))).over(Window.partitionBy("conv_id")), F.lit(0))
+    room = budget - answer
+    return rows.select("conv_id", "turn", "role", F.when(guarded > room, "refused").when(F.col("used") <= room, "kept").otherwise("context_budget").alias("decision"))

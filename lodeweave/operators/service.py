@@ -49,3 +49,39 @@ def stale_decision(kind: Column, ready: Column, attempts: Column, token: Column,
     index = F.when(~token, "fail").when(ready, "complete").otherwise(again)
     run = F.when(~token, "fail").otherwise(again)
     return F.when(kind == "semantic", semantic).when(kind == "repository_index", index).when(kind == "agent_run", run).otherwise("fail")
+
+
+def stale_decisions(tasks: DataFrame, most: int = 2) -> DataFrame:
+    """STR-07: ``tasks`` with decision (deferred, complete, requeue, fail), code (why it failed) and restores (whether its project is ready again), by the first rule that applies.
+
+    Columns: task_type, has_project, locked (its project is), attempts, token, snapshot_id, snapshot_status, snapshot_project, project_id, project_status, current_snapshot, artifact_ready, continuation (the snapshot that what
+    follows is for; null: unavailable), backfill (of chunks alone), relations_valid, metadata_valid, core_started, has_result, finished, n_traces. A condition on a null doesn't hold.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    kind, again = F.col("task_type"), yes(F.col("attempts") < most)
+    ready = yes(F.col("snapshot_status") == "ready")
+    current, snapshot = F.col("current_snapshot"), F.col("snapshot_id")
+    semantic = F.when(ready & yes(F.col("artifact_ready")), "complete").when(ready & again, "requeue").otherwise("fail")
+    lost = snapshot.isNull() | F.col("token").isNull() | F.col("snapshot_status").isNull() | F.col("project_status").isNull() | ~yes(F.col("snapshot_project") == F.col("project_id"))
+    built = ready & yes(F.col("project_status") == "ready") & yes(current == snapshot)
+    under_way = (yes(F.col("snapshot_status") == "indexing") | yes(F.col("backfill"))) & (current.isNull() | yes(current == snapshot)) & again
+    index = F.when(lost, "fail").when(built & yes(F.col("continuation") == snapshot), "complete").when(built, F.when(again, "requeue").otherwise("fail")).when(under_way, "requeue").otherwise("fail")
+    untouched = yes(F.col("relations_valid")) & yes(F.col("metadata_valid")) & ~yes(F.col("core_started")) & ~yes(F.col("has_result")) & ~yes(F.col("finished")) & yes(F.col("n_traces") == 0)
+    run = F.when(F.col("token").isNotNull() & untouched & again, "requeue").otherwise("fail")
+    decision = (
+        F.when(yes(F.col("has_project")) & yes(F.col("locked")), "deferred")
+        .when(kind == "semantic", semantic)
+        .when(kind == "repository_index", index)
+        .when(kind == "agent_run", run)
+        .otherwise("fail")
+    )
+    failed = F.col("decision") == "fail"
+    code = F.when(failed, F.when((kind == "agent_run") & F.col("token").isNotNull() & yes(F.col("core_started")), "worker_lost_after_agent_core").otherwise("worker_execution_lost"))
+    return tasks.withColumn("decision", decision).withColumns({"code": code, "restores": failed & (kind == "repository_index") & ~lost & yes(F.col("backfill"))})
+
+
+def settled(decisions: DataFrame, now: DataFrame, key: str, version: str) -> DataFrame:
+    """STR-07: how many tasks came out how: decision, n. A decision is applied only to a task that is still at the version it was made for; otherwise it is a noop, which counts as deferred. ``now`` has each task's version."""
+    rows = decisions.join(now.select(key, F.col(version).alias("now_version")), key, "left")
+    held = F.coalesce(F.col(version) == F.col("now_version"), F.lit(False))
+    return rows.groupBy(F.when(held, F.col("decision")).otherwise("deferred").alias("decision")).agg(F.count(F.lit(1)).alias("n"))

@@ -243,13 +243,27 @@ def hash_embedding(t: Tables) -> DataFrame:
 
 
 @query("planner_fit", """WITH m AS (SELECT conv_id, turn, role, strlen(text) AS cost, CASE role WHEN 'system' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS worth FROM conversations)
-    SELECT conv_id, turn, role, CASE WHEN sum(cost) OVER (PARTITION BY conv_id ORDER BY worth, CASE WHEN worth = 2 THEN -turn ELSE turn END ROWS UNBOUNDED PRECEDING) <= 300 THEN 'kept' ELSE 'context_budget' END AS decision FROM m""")
+    SELECT conv_id, turn, role, CASE WHEN coalesce(sum(cost) FILTER (worth = 0) OVER (PARTITION BY conv_id), 0) > 300 THEN 'refused' WHEN sum(cost) OVER (PARTITION BY conv_id ORDER BY worth, CASE WHEN worth = 2 THEN -turn ELSE turn END ROWS UNBOUNDED PRECEDING) <= 300 THEN 'kept' ELSE 'context_budget' END AS decision FROM m""")
 def planner_fit(t: Tables) -> DataFrame:
-    return R.fit_planner(t.conversations.select("conv_id", "turn", "role", "text"), 300)
+    """RET-23: 400 bytes, of which 100 are the answer's."""
+    return R.fit_planner(t.conversations.select("conv_id", "turn", "role", "text"), 400, 100)
 
 
 @query("context_fit", """WITH u AS (SELECT conv_id, turn, role, CAST(strlen(text) AS BIGINT) + 16 AS cost FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, text ORDER BY turn DESC) = 1),
-    w AS (SELECT conv_id, turn, role, cost, CAST(sum(cost) OVER (PARTITION BY conv_id ORDER BY (role = 'system') DESC, turn DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM u)
-    SELECT * FROM w WHERE used <= 600""")
+    w AS (SELECT conv_id, turn, role, cost, CAST(sum(cost) OVER (PARTITION BY conv_id ORDER BY (role = 'system') DESC, turn DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used, sum(cost) FILTER (role = 'system') OVER (PARTITION BY conv_id) > 600 AS over FROM u)
+    SELECT conv_id, turn, role, cost, used, CASE WHEN over THEN 'refused' ELSE 'ok' END AS status FROM w WHERE role = 'system' OR used <= 600""")
 def context_fit(t: Tables) -> DataFrame:
     return R.fit_context(t.conversations.select("conv_id", "turn", "role", "text"), 600)
+
+
+_TIGHT = "(SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'system' ELSE role END AS role, text FROM conversations)"
+
+
+@query("context_fit_tight", f"""WITH u AS (SELECT conv_id, turn, role, CAST(strlen(text) AS BIGINT) + 16 AS cost FROM {_TIGHT} QUALIFY row_number() OVER (PARTITION BY conv_id, text ORDER BY turn DESC) = 1),
+    g AS (SELECT conv_id, coalesce(sum(cost) FILTER (role = 'system'), 0) AS least FROM u GROUP BY conv_id)
+    SELECT a.conv_id, a.turn, a.role, a.cost, CAST((SELECT sum(b.cost) FROM u b WHERE b.conv_id = a.conv_id AND ((b.role = 'system' AND a.role <> 'system') OR ((b.role = 'system') = (a.role = 'system') AND b.turn >= a.turn))) AS BIGINT) AS used, CASE WHEN least > 120 THEN 'refused' ELSE 'ok' END AS status
+    FROM u a JOIN g USING (conv_id) WHERE a.role = 'system' OR used <= 120""")
+def context_fit_tight(t: Tables) -> DataFrame:
+    """RET-22: a budget that many first messages, which are protected, exceed by themselves."""
+    rows = t.conversations.select("conv_id", "turn", F.when(F.col("turn") == 0, "system").otherwise(F.col("role")).alias("role"), "text")
+    return R.fit_context(rows, 120)

@@ -76,7 +76,38 @@ def due_queue(t: Tables) -> DataFrame:
     FROM e WHERE ts + INTERVAL 420 SECOND < (SELECT max(ts) FROM events)""")
 def stale_lease_decision(t: Tables) -> DataFrame:
     """STR-06 and STR-07: leases of 420 seconds that have run out at the last event's time."""
-    now = t.events.agg(F.max("ts")).head()[0]
+    now = F.broadcast(t.events.agg(F.max("ts").alias("now")))
     kind = F.when(F.col("event_type") == "view", "semantic").when(F.col("event_type") == "click", "repository_index").when(F.col("event_type") == "purchase", "agent_run").otherwise("other")
-    late = t.events.where(F.col("ts") + F.expr("INTERVAL 420 SECOND") < F.lit(now))
+    late = t.events.join(now, F.col("ts") + F.expr("INTERVAL 420 SECOND") < F.col("now"))
     return late.select("event_id", S.stale_decision(kind, F.col("value") < 20, F.col("event_id") % 4, F.col("event_id") % 5 != 0).alias("decision"))
+
+
+_STALE = """SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'semantic' WHEN event_type IN ('click', 'error') THEN 'repository_index' WHEN event_type = 'purchase' THEN 'agent_run' ELSE 'other' END AS task_type, event_id % 9 <> 0 AS has_project, event_id % 8 = 3 AS locked, k % 3 AS attempts,
+    CASE WHEN k % 11 <> 0 THEN 'tok' END AS token, CASE WHEN k % 13 <> 0 THEN 1 + event_id % 4 END AS snapshot_id, CASE WHEN k % 17 = 0 THEN NULL WHEN k % 4 < 2 THEN 'ready' WHEN k % 4 = 2 THEN 'indexing' ELSE 'failed' END AS snapshot_status, user_id AS project_id,
+    CASE WHEN event_id % 23 = 0 THEN user_id + 1 ELSE user_id END AS snapshot_project, CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'building' ELSE 'ready' END AS project_status, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 9 ELSE 1 + event_id % 4 END AS current_snapshot,
+    k % 2 = 0 AS artifact_ready, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 7 = 1 THEN 9 ELSE 1 + event_id % 4 END AS continuation, event_id % 6 = 0 AS backfill, k % 19 <> 0 AS relations_valid, k % 5 <> 4 AS metadata_valid, event_id % 4 = 1 AS core_started, event_id % 10 = 7 AS has_result, event_id % 14 = 5 AS finished, event_id % 12 // 11 AS n_traces
+    FROM (SELECT *, CAST({k} AS BIGINT) AS k FROM {events})"""
+_DECIDED = f"""d AS (SELECT *, snapshot_id IS NULL OR token IS NULL OR snapshot_status IS NULL OR project_status IS NULL OR snapshot_project <> project_id AS lost FROM ({_STALE.format(k="json_extract(props, '$.k')", events="events")})),
+    e AS (SELECT *, CASE WHEN has_project AND locked THEN 'deferred' WHEN task_type = 'semantic' THEN CASE WHEN coalesce(snapshot_status, '') <> 'ready' THEN 'fail' WHEN artifact_ready THEN 'complete' WHEN attempts < 2 THEN 'requeue' ELSE 'fail' END
+        WHEN task_type = 'repository_index' THEN CASE WHEN lost THEN 'fail' WHEN snapshot_status = 'ready' AND project_status = 'ready' AND current_snapshot IS NOT DISTINCT FROM snapshot_id THEN CASE WHEN continuation IS NOT DISTINCT FROM snapshot_id THEN 'complete' WHEN attempts < 2 THEN 'requeue' ELSE 'fail' END
+            WHEN (snapshot_status = 'indexing' OR backfill) AND coalesce(current_snapshot, snapshot_id) = snapshot_id AND attempts < 2 THEN 'requeue' ELSE 'fail' END
+        WHEN task_type = 'agent_run' THEN CASE WHEN token IS NOT NULL AND relations_valid AND metadata_valid AND NOT core_started AND NOT has_result AND NOT finished AND n_traces = 0 AND attempts < 2 THEN 'requeue' ELSE 'fail' END ELSE 'fail' END AS decision FROM d)"""
+
+
+def _stale(t: Tables) -> DataFrame:
+    text = _STALE.format(k="get_json_object(props, '$.k')", events="{rows}").replace("event_id % 12 // 11", "event_id % 12 div 11")
+    return S.stale_decisions(t.spark.sql(text, rows=t.events))
+
+
+@query("stale_decision_table", f"WITH {_DECIDED} SELECT id, decision, CASE WHEN decision = 'fail' THEN CASE WHEN task_type = 'agent_run' AND token IS NOT NULL AND core_started THEN 'worker_lost_after_agent_core' ELSE 'worker_execution_lost' END END AS code, decision = 'fail' AND task_type = 'repository_index' AND NOT lost AND backfill AS restores FROM e")
+def stale_decision_table(t: Tables) -> DataFrame:
+    """STR-07: the whole table of decisions, with deferral of locked projects."""
+    return _stale(t).select("id", "decision", "code", "restores")
+
+
+@query("stale_settled", f"WITH {_DECIDED} SELECT CASE WHEN id % 15 = 4 THEN 'deferred' ELSE decision END AS decision, count(*) AS n FROM e GROUP BY 1")
+def stale_settled(t: Tables) -> DataFrame:
+    """STR-07: what becomes of the decisions where every fifteenth task has moved on meanwhile."""
+    rows = _stale(t).withColumn("version", F.col("id"))
+    now = t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 15 == 4, -1).otherwise(F.col("event_id")).alias("version"))
+    return S.settled(rows, now, "id", "version")

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SENSITIVE, lines, safe_path
-from ..operators import bindings
-from ..sources import lexical, python_source, spans, text_source as S
+from ..sources import spans, text_source as S
 from .registry import Tables, query
 
 _LINES = "CASE WHEN text = '' THEN [] WHEN suffix(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END"
@@ -116,27 +115,3 @@ def safe_paths(t: Tables) -> DataFrame:
 def redact_text(t: Tables) -> DataFrame:
     """PRJ-12: addresses masked."""
     return t.documents.select("doc_id", F.md5(F.regexp_replace("text", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "<redacted>")).alias("redacted_md5"))
-
-
-@query("python_parse_facts")
-def python_parse_facts(t: Tables) -> DataFrame:
-    """SRC-02..05 over this library's own sources, spread as rows of one file each."""
-    return python_source.file_facts(python_source.own_sources(t.spark))
-
-
-@query("python_graph_edges")
-def python_graph_edges(t: Tables) -> DataFrame:
-    """GQ-16 over the same: contains, imports and calls edges."""
-    return python_source.graph_edges(python_source.file_facts(python_source.own_sources(t.spark)))
-
-
-@query("python_lexical_facts")
-def python_lexical_facts(t: Tables) -> DataFrame:
-    """SRC-06..13 over the same: scopes, definitions, bindings, calls, imports, assignments, mutations, escapes and methods."""
-    return lexical.lexical_facts(python_source.own_sources(t.spark))
-
-
-@query("python_bound_graph")
-def python_bound_graph(t: Tables) -> DataFrame:
-    """GQ-17 with JOI-07 to JOI-14 over the same: edges of calls that lexical scopes, import chains and receivers bind."""
-    return bindings.bound_graph(lexical.lexical_facts(python_source.own_sources(t.spark)))
