@@ -62,3 +62,15 @@ def lines(text: Column | str) -> Column:
 def content_hash(text: Column | str) -> Column:
     """SHA-256 of the UTF-8 bytes, as lower-case hex."""
     return F.sha2(text, 256)
+
+
+# What is masked in public texts, and how much of one is shown.
+SECRET = r"(?i)(bearer\s+)[^\s,;]+|((?:api[_-]?key|token|password|secret)\s*[:=]\s*)[^\s,;]+"
+MOST_SHOWN = 500
+
+
+def public_text(text: Column | str, most: int = MOST_SHOWN) -> Column:
+    """PRJ-12: a text as the public sees it: secrets masked over the whole of it, then its first ``most`` characters."""
+    text = F.col(text) if isinstance(text, str) else text
+    clean = F.regexp_replace(text, SECRET, "$1$2[REDACTED]")
+    return F.when(F.length(clean) > most, F.concat(F.substring(clean, 1, most), F.lit("...[truncated]"))).otherwise(clean)

@@ -20,13 +20,13 @@ def count_by_type(items: DataFrame) -> DataFrame:
 
 def outgoing(edges: DataFrame, nodes: DataFrame, source: Column | str, types: tuple[str, ...]) -> DataFrame:
     """FLT-01 and JOI-01: edges of some types from one source, joined with their targets; dangling ones drop out, repeated ones stay."""
-    found = edges.where((F.col("source") == source) & F.col("type").isin(*types))
+    found = edges.where((F.col("source") == source) & F.col("type").isin(*types)).select("source", "target", "type")
     return found.join(nodes.select(F.col("id").alias("target"), "name", "path"), "target").select("source", "target", F.col("type"), "name", "path")
 
 
 def incoming(edges: DataFrame, nodes: DataFrame, target: Column | str, types: tuple[str, ...]) -> DataFrame:
     """FLT-01 and JOI-02."""
-    found = edges.where((F.col("target") == target) & F.col("type").isin(*types))
+    found = edges.where((F.col("target") == target) & F.col("type").isin(*types)).select("source", "target", "type")
     return found.join(nodes.select(F.col("id").alias("source"), "name", "path"), "source").select("source", "target", F.col("type"), "name", "path")
 
 

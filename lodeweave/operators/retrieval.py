@@ -163,6 +163,66 @@ def pack_evidence(candidates: DataFrame, budget: int, limit: int = 6, per_file:
     return chosen.select("query", F.explode("done").alias("d"), total(F.col("done")).alias("cost")).select("query", "d.item.position", "d.item.path", "d.reason", "cost")
 
 
+#: Decisions on discarded items that a pack's summary shows, and bytes kept free for the labels around it.
+MOST_DISCARDED, LABELS = 20, 512
+#: Why an item is discarded.
+DISCARDED = ("item_limit", "overlap", "file_diversity", "token_budget")
+
+
+def rendered_costs(items: DataFrame, text: str = "text") -> DataFrame:
+    """RET-15: ``items`` (path, start_line, end_line, exact, text) with what each takes as bytes of UTF-8: ``tool``, as JSON beside its line of evidence, and ``prompt``, as a headed block."""
+    line = F.format_string("%s:%d-%d", "path", "start_line", "end_line")
+    shown = F.to_json(F.struct("path", "start_line", "end_line", "exact", F.col(text).alias("text")))
+    block = F.concat(F.lit("["), line, F.lit("]\n"), F.col(text), F.lit("\n"))
+    return items.withColumns({"tool": (F.octet_length(shown) + F.octet_length(line) + 2).cast("long"), "prompt": F.octet_length(block).cast("long")})
+
+
+def pack_rendered(candidates: DataFrame, budget: int, limit: int = 6, per_file: int = 2) -> DataFrame:
+    """RET-14 and RET-15: ``pack_evidence`` under the bytes that the whole pack takes as it is rendered: query, position, path, reason, cost, shown.
+
+    ``candidates`` have tool and prompt (see ``rendered_costs``) in place of cost. A pack costs 512 bytes and the larger of its two shapes: all items as a JSON list with their lines, or all blocks with a
+    summary of the decisions. The summary shows as many of the first 20 discarded items as fit; where the pack doesn't fit even without them, its largest item, exact ones last, is put aside and the choice is made again.
+    A query whose pack can't be made to fit has no item that is kept.
+    """
+    fields = ["position", "path", "start_line", "end_line", "exact", "tool", "prompt"]
+    rows = candidates.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
+    kind = "array<struct<item:struct<position:int,path:string,start_line:int,end_line:int,exact:boolean,tool:bigint,prompt:bigint>,reason:string>>"
+    kept_of = lambda done: F.filter(done, lambda d: d["reason"] == "kept")
+
+    def choose(aside: Column) -> Column:
+        def judge(done: Column, item: Column) -> Column:
+            same = F.filter(kept_of(done), lambda d: d["item"]["path"] == item["path"])
+            equal = F.exists(same, lambda d: (d["item"]["start_line"] == item["start_line"]) & (d["item"]["end_line"] == item["end_line"]))
+            meets = F.exists(same, lambda d: (d["item"]["start_line"] <= item["end_line"]) & (d["item"]["end_line"] >= item["start_line"]))
+            why = F.when(F.array_contains(aside, item["position"]), "token_budget").when(equal, "overlap").when(F.size(kept_of(done)) >= limit, "item_limit")
+            why = why.when(~item["exact"] & meets, "overlap").when(~item["exact"] & (F.size(same) >= per_file), "file_diversity").otherwise("kept")
+            return F.concat(done, F.array(F.struct(item.alias("item"), why.alias("reason"))))
+
+        return F.aggregate("items", F.array().cast(kind), judge)
+
+    def measure(done: Column, shown: Column) -> Column:
+        total = lambda name: F.aggregate(kept_of(done), F.lit(0).cast("bigint"), lambda s, d: s + d["item"][name])
+        gone = F.filter(done, lambda d: d["reason"] != "kept")
+        listed = F.transform(F.slice(gone, F.lit(1), shown), lambda d: F.struct(d["item"]["path"].alias("path"), d["item"]["start_line"].alias("start_line"), d["item"]["end_line"].alias("end_line"), d["reason"].alias("reason")))
+        count = lambda reason: F.size(F.filter(gone, lambda d: d["reason"] == reason)).alias(reason)
+        summary = F.to_json(F.struct(F.lit(budget).alias("budget"), F.size(kept_of(done)).alias("selected"), F.size(gone).alias("discarded_count"), listed.alias("discarded"), F.struct(*map(count, DISCARDED)).alias("reasons")))
+        return LABELS + F.greatest(total("tool") + F.size(kept_of(done)) + 1, total("prompt") + F.octet_length(summary))
+
+    none = F.lit(0)
+
+    def evict(aside: Column, _: Column) -> Column:
+        done = choose(aside)
+        largest = F.array_max(F.transform(kept_of(done), lambda d: F.struct((~d["item"]["exact"]).alias("loose"), d["item"]["tool"].alias("tool"), d["item"]["position"].alias("position"))))
+        return F.when((measure(done, none) > budget) & (F.size(kept_of(done)) > 0), F.concat(aside, F.array(largest["position"]))).otherwise(aside)
+
+    aside = F.aggregate("items", F.array().cast("array<int>"), evict)
+    chosen = rows.withColumn("aside", aside).select("query", choose(F.col("aside")).alias("done"))
+    fitting = F.filter(F.sequence(F.lit(0), F.lit(MOST_DISCARDED)), lambda k: (k <= F.size(F.filter("done", lambda d: d["reason"] != "kept"))) & (measure(F.col("done"), k) <= budget))
+    chosen = chosen.withColumn("shown", F.coalesce(F.array_max(fitting), F.lit(0)))
+    chosen = chosen.withColumn("cost", measure(F.col("done"), F.col("shown")))
+    return chosen.select("query", F.explode("done").alias("d"), "cost", "shown").select("query", "d.item.position", "d.item.path", "d.reason", "cost", "shown")
+
+
 def fit_context(messages: DataFrame, budget: int) -> DataFrame:
     """RET-22 and RET-24: of each conversation (conv_id, turn, role, text), the messages that stay under ``budget`` bytes: conv_id, turn, role, cost, used, status.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..functions.text import SECRET, lines, public_text
 from ..operators import evidence as E
 from ..operators import graph as G
 from ..sources import text_source as S
@@ -160,6 +160,14 @@ def sanitize_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "text", clean.alias("c")).select("doc_id", F.md5(shown).alias("sanitized_md5"), (F.col("c") != F.col("text")).alias("redacted"))
 
 
+@query("public_texts", rf"""WITH c AS (SELECT doc_id, regexp_replace(concat('Bearer abc,def;ghi ', text, ' API-key = ', doc_id, ';'), '{SECRET}', '\1\2[REDACTED]', 'g') AS c FROM documents)
+    SELECT doc_id, md5(CASE WHEN length(c) > 500 THEN concat(substring(c, 1, 500), '...[truncated]') ELSE c END) AS shown_md5, md5(c) AS whole_md5 FROM c""")
+def public_texts(t: Tables) -> DataFrame:
+    """PRJ-12: documents between two more secrets, masked by the whole pattern, shown and whole."""
+    text = F.concat(F.lit("Bearer abc,def;ghi "), F.col("text"), F.lit(" API-key = "), F.col("doc_id").cast("string"), F.lit(";"))
+    return t.documents.select("doc_id", F.md5(public_text(text)).alias("shown_md5"), F.md5(public_text(text, 1 << 30)).alias("whole_md5"))
+
+
 @query("chunk_identity", f"""{_CHUNKS} SELECT doc_id, part, sha256(concat('{{"content_hash":"', content_hash, '","end_line":', end_line, ',"path":"', doc_id, '","start_line":', start_line, '}}')) AS chunk_id FROM c""")
 def chunk_identity(t: Tables) -> DataFrame:
     """SRC-15: chunk ids from canonical JSON, keys in order, nulls kept."""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import lines
 from ..operators import evidence as E
 from ..operators.ranges import overlapping
+from ..operators.store import shared_path, stored
+from ..sources import artifact
 from ..sources.text_source import line_chunks
 from . import graph as star
 from .registry import Tables, query
@@ -127,13 +129,50 @@ def manifest_seal(t: Tables) -> DataFrame:
     return t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"), F.sum("vec_id").alias("id_sum"))
 
 
+_LANES = " || '/' || ".join(f"sum(CAST(concat('0x', h[{8 * i + 1}:{8 * i + 8}]) AS BIGINT))" for i in range(8))
+_SEALED = f"SELECT label, count(*) AS n, sha256(count(*) || '/' || {_LANES}) AS digest FROM {{rows}} GROUP BY label"
+_ROWS = "(SELECT label, sha256(concat('{\"label\":', label, ',\"vec_id\":', vec_id, '}')) AS h FROM embeddings)"
+
+
+@query("artifact_manifest", _SEALED.format(rows=_ROWS))
+def artifact_manifest(t: Tables) -> DataFrame:
+    """SRC-21: each label's vectors by number and digest."""
+    return artifact.sealed(t.embeddings, "label", ["vec_id", "label"])
+
+
+@query("artifact_verdicts", "SELECT DISTINCT label, CASE label % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'intact' WHEN 2 THEN 'changed' WHEN 3 THEN 'count' ELSE 'intact' END AS verdict FROM embeddings UNION ALL SELECT -1, 'unknown'")
+def artifact_verdicts(t: Tables) -> DataFrame:
+    """SRC-21: the table is sealed, then some parts lose all rows, one row, or have one changed; one part is new."""
+    rows = t.embeddings.select("vec_id", "label")
+    manifest = stored(artifact.sealed(rows, "label", ["vec_id", "label"]), "manifest")
+    first = F.min("vec_id").over(Window.partitionBy("label"))
+    kind = F.col("label") % 5
+    now = rows.withColumn("first", F.col("vec_id") == first).where(~((kind == 0) | ((kind == 3) & F.col("first"))))
+    now = now.select(F.when((kind == 2) & F.col("first"), -F.col("vec_id") - 1).otherwise(F.col("vec_id")).alias("vec_id"), "label")
+    more = rows.select(F.col("vec_id"), F.lit(-1).cast(rows.schema["label"].dataType).alias("label")).limit(1)
+    return artifact.verified(now.unionByName(more), manifest, "label", ["vec_id", "label"])
+
+
+@query("resumed_batches", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS norm FROM embeddings")
+def resumed_batches(t: Tables) -> DataFrame:
+    """SRC-22: norms worked out in eight batches by three calls; the second and third go on where the one before stopped."""
+    path = shared_path(t.spark, "batches")
+    norm = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 6)
+    work = lambda rows: rows.select("vec_id", norm.alias("norm"))
+    for most in (3, 2, None):
+        found, _ = artifact.resumed(t.embeddings.select("vec_id", "embedding"), "vec_id", path, work, 8, most)
+    return found.select("vec_id", "norm")
+
+
 @query("revision_numbers", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS revision FROM conversations")
 def revision_numbers(t: Tables) -> DataFrame:
     """WIN-11."""
     return t.conversations.select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("long").alias("revision"))
 
 
-@query("capacity_cap")
+@query("capacity_cap", """WITH RECURSIVE m AS (SELECT role, conv_id, turn, CAST(strlen(text) AS INTEGER) AS size, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS n FROM conversations),
+    w AS (SELECT *, size <= 20000 AS fits, CASE WHEN size <= 20000 THEN size ELSE 0 END AS used FROM m WHERE n = 1 UNION ALL SELECT m.*, w.used + m.size <= 20000, CASE WHEN w.used + m.size <= 20000 THEN w.used + m.size ELSE w.used END FROM w JOIN m ON m.role = w.role AND m.n = w.n + 1)
+    SELECT role, conv_id, turn, size FROM w WHERE fits""")
 def capacity_cap(t: Tables) -> DataFrame:
     """Messages of a role that fit 20,000 bytes, in order."""
     rows = t.conversations.select("role", "conv_id", "turn", F.octet_length("text").alias("size"))

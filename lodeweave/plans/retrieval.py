@@ -169,6 +169,19 @@ def evidence_pack(t: Tables) -> DataFrame:
     return packed[0].unionByName(packed[1])
 
 
+@query("evidence_pack_rendered")
+def evidence_pack_rendered(t: Tables) -> DataFrame:
+    """RET-14 and RET-15: the fused list's documents, packed for three budgets by the bytes of the whole pack; a test holds the operator against a plain version."""
+    from ..operators.store import stored
+
+    rows = R.reasons_of(three_channels(t)).join(t.documents.select(F.col("doc_id").alias("key"), "source", "text", "n_chars"), "key")
+    items = rows.select("key", "fused", (F.col("n_channels") > 1).alias("pinned"), F.col("source").alias("path"), F.floor(F.col("n_chars") / 50).cast("int").alias("start_line"), F.substring("text", 1, 2000).alias("text"))
+    items = R.diverse(items).select("position", "path", "start_line", (F.col("start_line") + 8).alias("end_line"), F.col("pinned").alias("exact"), "text")
+    few = stored(R.rendered_costs(items).drop("text"), "rendered")
+    packed = [R.pack_rendered(few.withColumn("query", F.lit(f"budget {b}")), b) for b in (4096, 16384, 131072)]
+    return packed[0].unionByName(packed[1]).unionByName(packed[2])
+
+
 @query("pack_reason_counts")
 def pack_reason_counts(t: Tables) -> DataFrame:
     """AGG-06: how many candidates of each pack stay or go, and why."""

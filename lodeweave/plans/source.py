@@ -69,9 +69,16 @@ def chunk_cover_check(t: Tables) -> DataFrame:
     return S.cover_breaks(chunks, "doc_id")
 
 
-@query("segment_windows")
+_ROOM = 1800 - len(S.PREFIX)
+_NEXT = f"CASE WHEN length(text) - {{at}} <= {_ROOM} THEN length(text) WHEN instr(reverse(text[{{at}} + 1 : {{at}} + {_ROOM}]), chr(10)) > 0 THEN {{at}} + {_ROOM} - instr(reverse(text[{{at}} + 1 : {{at}} + {_ROOM}]), chr(10)) + 1 ELSE {{at}} + {_ROOM} END"
+
+
+@query("segment_windows", f"""WITH RECURSIVE s AS (SELECT doc_id, text, 0 AS segment, 0::BIGINT AS a, {_NEXT.format(at="0")} AS b FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+    UNION ALL SELECT doc_id, text, segment + 1, b, {_NEXT.format(at="b")} FROM s WHERE b < length(text))
+    SELECT doc_id, segment, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS segments, CAST(a AS INTEGER) AS start_offset, CAST(b AS INTEGER) AS end_offset, sha256(concat('Python code:', chr(10), text[a + 1 : b])) AS text_hash FROM s""")
 def segment_windows(t: Tables) -> DataFrame:
-    return S.segments(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "segment", "start_offset", "end_offset", F.sha2("text", 256).alias("text_hash"))
+    """SRC-16 and WIN-06."""
+    return S.segments(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "segment", "segments", "start_offset", "end_offset", F.sha2("text", 256).alias("text_hash"))
 
 
 @query("snapshot_diff", """WITH b AS (SELECT doc_id, md5(text) AS d FROM documents WHERE doc_id % 11 <> 0), a AS (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS d FROM documents WHERE doc_id % 13 <> 0)

@@ -107,7 +107,9 @@ def state_transition_violations(t: Tables) -> DataFrame:
     return T.transitions(t.events, "user_id", ORDER, "event_type", _ALLOWED)
 
 
-@query("fixed_window_limiter")
+@query("fixed_window_limiter", """WITH RECURSIVE e AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT *, ts AS opened, 1 AS used FROM e WHERE n = 1 UNION ALL SELECT e.*, CASE WHEN e.ts >= w.opened + INTERVAL 3600 SECOND THEN e.ts ELSE w.opened END, CASE WHEN e.ts >= w.opened + INTERVAL 3600 SECOND THEN 1 ELSE w.used + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.n = w.n + 1)
+    SELECT user_id, event_type, ts, event_id, used <= 2 AS admitted FROM w""")
 def fixed_window_limiter(t: Tables) -> DataFrame:
     """Two events of a user and type in an hour."""
     return T.fixed_window_limit(t.events.select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts", 2, 3600, ["event_id"])

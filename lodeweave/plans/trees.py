@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bindings
+from ..api import Project
+from ..operators import bindings, graph_rules
 from ..operators.store import stored
 from ..sources import lexical, python_source
 from .registry import Tables, query
@@ -185,3 +186,81 @@ _BOUND = f"""{_WITH}, d AS (SELECT *, {_NAMED} AS id FROM df),
 def python_bound_graph(t: Tables) -> DataFrame:
     """GQ-17 with JOI-07 to JOI-14: edges of calls that lexical scopes, import chains and receivers bind, and of those that nothing binds."""
     return bindings.bound_graph(lexical.lexical_facts(source_tree(t)))
+
+
+_OWN = "concat(CASE tag WHEN 'function' THEN 'func' ELSE tag END, ':', path, ':', name)"
+_FAULTS = f"""{_WITH}, d AS (SELECT *, {_OWN} AS id FROM df), c AS (SELECT f.path, o_custkey FROM f)
+    SELECT 'node_name' AS rule, 'nodes' AS table, concat('method:', path, ':Cart.total') AS id FROM c WHERE o_custkey % 5 = 0
+    UNION ALL SELECT 'scope_in_parent', 'scopes', concat('method:', path, ':Cart.add') FROM c WHERE o_custkey % 7 = 0 UNION ALL SELECT 'scope_is_its_node', 'scopes', concat('method:', path, ':Cart.add') FROM c WHERE o_custkey % 7 = 0
+    UNION ALL SELECT 'node_is_contained', 'nodes', concat('func:', path, ':show') FROM c WHERE o_custkey % 3 = 0
+    UNION ALL SELECT 'contains_basis', 'edges', concat('file:', path, ' contains class:', path, ':Cart') FROM c WHERE o_custkey % 4 = 0
+    UNION ALL SELECT 'site_basis', 'sites', key FROM k WHERE form = 12 UNION ALL SELECT 'call_place', 'edges', concat('method:', path, ':Cart.add ', v.kind, ' method:', path, ':Cart.total ', key) FROM k, (VALUES ('calls'), ('references')) AS v(kind) WHERE form = 12
+    UNION ALL SELECT 'site_id', 'sites', concat('x', key) FROM k WHERE form = 13 UNION ALL SELECT 'site_has_edge', 'sites', concat('x', key) FROM k WHERE form = 13 UNION ALL SELECT 'call_site', 'edges', concat('file:', path, ' calls func:', path, ':', callee, ' ', key) FROM k WHERE form = 13
+    UNION ALL SELECT 'call_place', 'edges', concat('file:', path, ' calls func:', path, ':', callee, ' ', key) FROM k WHERE form = 13 UNION ALL SELECT 'call_static', 'edges', concat('file:', path, ' calls func:', path, ':', callee, ' ', key) FROM k WHERE form = 13
+    UNION ALL SELECT 'import_conditional', 'imports', concat('import/', path, '/<module>/', line, '/0/', line, '/', length(text)) FROM im JOIN f USING (o_custkey, b) WHERE form = 2 AND number % 6 = 0
+    UNION ALL SELECT 'file_digest', 'files', path FROM c WHERE o_custkey % 9 = 0"""
+
+
+@query("graph_rule_violations", _FAULTS)
+def graph_rule_violations(t: Tables) -> DataFrame:
+    """FLT-10: the tree's graph, in which some rows are spoilt: what breaks the 66 rules is those rows and what depends on them, and nothing else."""
+    files = stored(source_tree(t), "tree")
+    g = graph_rules.graph_tables(files, lexical.lexical_facts(files))
+    customer = F.regexp_extract("path", "/c([0-9]+)_", 1).try_cast("long")
+    every = lambda n: F.coalesce(customer % n == 0, F.lit(False))
+    add = F.col("id").endswith(":Cart.add")
+    nodes = g.nodes.withColumn("name", F.when((F.col("type") == "method") & F.col("id").endswith(":Cart.total") & every(5), "").otherwise(F.col("name")))
+    scopes = g.scopes.withColumn("end_line", F.when((F.col("kind") == "method") & add & every(7), F.col("end_line") + 4).otherwise(F.col("end_line")))
+    held, to_cart = F.col("type") == "contains", F.col("target").endswith(":Cart") & F.col("target").startswith("class:")
+    holder = F.regexp_extract("target", "/c([0-9]+)_", 1).try_cast("long")
+    edges = g.edges.where(~(held & F.col("target").endswith(":show") & F.coalesce(holder % 3 == 0, F.lit(False))))
+    edges = edges.withColumn("basis", F.when(held & to_cart & F.coalesce(holder % 4 == 0, F.lit(False)), "guess").otherwise(F.col("basis")))
+    sites = g.sites.withColumn("basis", F.when(F.col("expression") == "self.total", "Not A Basis").otherwise(F.col("basis")))
+    sites = sites.withColumn("id", F.when(F.col("caller_id").startswith("file:"), F.concat(F.lit("x"), "id")).otherwise(F.col("id")))
+    part = F.regexp_extract(F.element_at("names", 1), "^part_([0-9]+)$", 1).try_cast("long")
+    imports = g.imports.withColumn("conditional", F.when(~F.coalesce(part % 6 == 0, F.lit(False)), F.col("conditional")))
+    sources = g.files.withColumn("source_sha256", F.when(every(9), "none").otherwise(F.col("source_sha256")))
+    return graph_rules.violations(graph_rules.Graph(sources, nodes, scopes, sites, imports, edges))
+
+
+def project(t: Tables) -> Project:
+    """The tree as a project; its files are stored, as every question reads them."""
+    return Project(stored(source_tree(t), "project"))
+
+
+_BOUND_CALLS = _BOUND.replace("SELECT CASE WHEN tag = 'method'", ", b AS (SELECT CASE WHEN tag = 'method'", 1) + ")"
+
+
+@query("project_callers", f"{_BOUND_CALLS} SELECT source, target FROM b WHERE type = 'calls' AND target = 'func:shop/parts/m0.py:part_7'")
+def project_callers(t: Tables) -> DataFrame:
+    """GQ-04 and GQ-07 through the facade: who calls a part's function, found by its name."""
+    return project(t).query("callers", "part_7")
+
+
+@query("project_calls", f"{_BOUND_CALLS} SELECT source, target, type, resolution FROM b WHERE type IN ('calls', 'unresolved_call') AND source IN (SELECT {_OWN} FROM df WHERE name = (SELECT concat('order_', min(o_orderkey)) FROM orders))")
+def project_calls(t: Tables) -> DataFrame:
+    """GQ-03 and GQ-07: what the function of the first order calls, bound or not."""
+    first = t.orders.agg(F.min("o_orderkey")).first()[0]
+    return project(t).query("calls", f"order_{first}")
+
+
+@query("project_impact", f"""{_WITH}, s AS (SELECT 'shop/parts/m0.py' AS path, 0 AS step UNION ALL SELECT DISTINCT path, 1 FROM im JOIN f USING (o_custkey, b) WHERE m = 0)
+    SELECT path, CAST(min(step) AS INTEGER) AS step FROM s GROUP BY path ORDER BY 2, 1 LIMIT 8""")
+def project_impact(t: Tables) -> DataFrame:
+    """RET-11 and RET-12: a module of parts and the first files that import it."""
+    return project(t).impact("shop/parts/m0.py")
+
+
+@query("project_onboard", f"{_WITH} SELECT path, 2 AS step FROM (SELECT path FROM f UNION SELECT path FROM pf UNION SELECT 'shop/__init__.py' UNION SELECT 'shop/parts/__init__.py' UNION SELECT concat('shop/n', n_nationkey, '/__init__.py') FROM nation) ORDER BY path LIMIT 3")
+def project_onboard(t: Tables) -> DataFrame:
+    """RET-11 and SRT-12: a tree without an entry is begun with its first three paths."""
+    return project(t).onboard()
+
+
+@query("project_explain", f"""{_BOUND_CALLS}, c AS (SELECT source, count(*) FILTER (type = 'calls') AS n_calls, count(*) FILTER (type = 'unresolved_call') AS n_unresolved FROM b GROUP BY source), x AS (SELECT path FROM f ORDER BY path LIMIT 1)
+    SELECT {_OWN} AS id, tag AS type, name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, coalesce(n_calls, 0) AS n_calls, coalesce(n_unresolved, 0) AS n_unresolved FROM df LEFT JOIN c ON c.source = {_OWN} WHERE path = (SELECT path FROM x)""")
+def project_explain(t: Tables) -> DataFrame:
+    """RET-11: what the first of the customers' files defines."""
+    own = project(t)
+    first = own.files.where("path LIKE 'shop/n%/c%'").agg(F.min("path")).first()[0]
+    return own.explain(first or "")

@@ -64,28 +64,32 @@ def cover_breaks(chunks: DataFrame, key: str) -> DataFrame:
 
 
 def segments(texts: DataFrame, key: str, most: int = 1800, text: str = "text") -> DataFrame:
-    """SRC-16: windows of at most ``most`` characters with their prefix, cut after the last line feed inside if there is one: key, segment, start_offset, end_offset, text. An empty text gives one empty segment."""
+    """SRC-16 and WIN-06: windows of at most ``most`` characters with their prefix, cut after the last line feed inside if there is one: key, segment, segments (how many), start_offset, end_offset, text. An empty text gives one empty segment.
+
+    One fold over a text's lines: lines are taken as long as they fit, a line that is longer than a window is cut where the window ends.
+    """
     room = most - len(PREFIX)
     if room < 1:
         raise ValueError("most must leave room for the prefix")
-
-    def cut(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for k, body in zip(batch[key], batch["text"], strict=True):
-                body, at, n = body or "", 0, 0
-                while at < len(body) or not n:
-                    stop = min(at + room, len(body))
-                    if stop < len(body) and (feed := body.rfind("\n", at, stop)) >= 0:
-                        stop = feed + 1
-                    rows.append((k, n, at, stop, PREFIX + body[at:stop]))
-                    at, n = stop, n + 1
-            yield pd.DataFrame(rows, columns=[key, "segment", "start_offset", "end_offset", "text"])
-
-    kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, F.col(text).alias("text")).mapInPandas(cut, f"{key} {kind}, segment int, start_offset int, end_offset int, text string")
+    none = F.array().cast("array<int>")
+
+    def take(state: Column, size: Column) -> Column:
+        """A further line: what stands before it is cut off if both don't fit, and as much of it as fills whole windows."""
+        end = F.least(state["at"] + size + 1, state["size"])
+        cut = (end - state["start"] > room) & (state["at"] > state["start"])
+        start = F.when(cut, state["at"]).otherwise(state["start"])
+        filled = F.greatest(F.ceil((end - start) / room).cast("int") - 1, F.lit(0))
+        cuts = F.concat(state["cuts"], F.when(cut, F.array(state["at"])).otherwise(none), F.when(filled > 0, F.transform(F.sequence(F.lit(1), F.greatest(filled, F.lit(1))), lambda i: start + i * room)).otherwise(none))
+        return F.struct(end.alias("at"), (start + filled * room).alias("start"), state["size"].alias("size"), cuts.alias("cuts"))
+
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    zero = F.lit(0)
+    first = F.struct(zero.alias("at"), zero.alias("start"), F.length("body").alias("size"), none.alias("cuts"))
+    cuts = F.aggregate(F.transform(F.split("body", "\n"), lambda x: F.length(x)), first, take, lambda s: s["cuts"])
+    rows = texts.select(key, body.alias("body")).withColumn("starts", F.concat(F.array(zero), cuts))
+    rows = rows.select(key, "body", F.size("starts").alias("segments"), F.posexplode(F.arrays_zip(F.col("starts").alias("start_offset"), F.concat(cuts, F.array(F.length("body"))).alias("end_offset"))).alias("segment", "x"))
+    window = F.substring(F.col("body"), F.col("x.start_offset") + 1, F.col("x.end_offset") - F.col("x.start_offset"))
+    return rows.select(key, "segment", "segments", "x.start_offset", "x.end_offset", F.concat(F.lit(PREFIX), window).alias("text"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, digest: str) -> DataFrame:

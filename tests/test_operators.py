@@ -96,6 +96,64 @@ def test_pack_evidence(spark):
     assert got == {1: "kept", 2: "overlap", 3: "overlap", 4: "token_budget", 5: "kept", 6: "kept", 7: "kept"}
 
 
+def plain_pack(items, budget, limit=6, per_file=2):
+    """One item after the other, on whole rendered packs."""
+    import json
+
+    aside = set()
+    while True:
+        kept, done = [], []
+        for x in items:
+            same = [k for k in kept if k["path"] == x["path"]]
+            if x["position"] in aside:
+                reason = "token_budget"
+            elif any((k["start_line"], k["end_line"]) == (x["start_line"], x["end_line"]) for k in same):
+                reason = "overlap"
+            elif len(kept) >= limit:
+                reason = "item_limit"
+            elif not x["exact"] and any(k["start_line"] <= x["end_line"] and k["end_line"] >= x["start_line"] for k in same):
+                reason = "overlap"
+            elif not x["exact"] and len(same) >= per_file:
+                reason = "file_diversity"
+            else:
+                reason = "kept"
+                kept.append(x)
+            done.append((x, reason))
+        gone = [(x, r) for x, r in done if r != "kept"]
+
+        def cost(shown):
+            dumps = lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+            lines = [f"{x['path']}:{x['start_line']}-{x['end_line']}" for x in kept]
+            tool = sum(len(dumps({k: x[k] for k in ("path", "start_line", "end_line", "exact", "text")}).encode()) + len(line.encode()) + 2 for x, line in zip(kept, lines, strict=True)) + len(kept) + 1
+            blocks = "".join(f"[{line}]\n{x['text']}\n" for x, line in zip(kept, lines, strict=True))
+            listed = [{k: x[k] for k in ("path", "start_line", "end_line")} | {"reason": r} for x, r in gone[:shown]]
+            summary = {"budget": budget, "selected": len(kept), "discarded_count": len(gone), "discarded": listed, "reasons": {r: sum(g == r for _, g in gone) for r in retrieval.DISCARDED}}
+            return 512 + max(tool, len((blocks + dumps(summary)).encode()))
+
+        if cost(0) <= budget or not kept:
+            shown = max([k for k in range(min(20, len(gone)) + 1) if cost(k) <= budget], default=0)
+            return [(x["position"], x["path"], r, cost(shown), shown) for x, r in done]
+        largest = max([x for x in kept if not x["exact"]] or kept, key=lambda x: (len(json.dumps({k: x[k] for k in ("path", "start_line", "end_line", "exact", "text")}, ensure_ascii=False, separators=(",", ":")).encode()) + len(f"{x['path']}:{x['start_line']}-{x['end_line']}".encode()), x["position"]))
+        aside.add(largest["position"])
+
+
+def test_pack_rendered(spark):
+    rng = random.Random(11)
+    rows, expected = [], []
+    budgets = (700, 1500, 2500, 9000)
+    for q in range(12):
+        items = []
+        for position in range(1, rng.randint(2, 28)):
+            start = rng.randrange(1, 40)
+            items.append({"position": position, "path": f"p/{rng.choice('abcde')}.py", "start_line": start, "end_line": start + rng.choice([0, 3, 8]), "exact": rng.random() < 0.2, "text": rng.choice(["x", "é\n", 'q"']) * rng.randrange(160)})
+        rows += [(f"q{q}", *x.values()) for x in items]
+        expected += [(b, f"q{q}", *x) for b in budgets for x in plain_pack(items, b)]
+    df = spark.createDataFrame(rows, "query string, position int, path string, start_line int, end_line int, exact boolean, text string")
+    costs = retrieval.rendered_costs(df).drop("text")
+    got = [(b, *r) for b in budgets for r in retrieval.pack_rendered(costs, b).collect()]
+    assert sorted(got) == sorted(expected) and {r for *_, r, _, _ in expected} == {"kept", *retrieval.DISCARDED}
+
+
 def test_near_pairs(spark):
     rng = random.Random(5)
     sets = {i: rng.sample(range(12), rng.randint(1, 8)) for i in range(60)}
@@ -142,12 +200,20 @@ def test_text_functions(spark):
 
 
 def test_segments(spark):
-    body = "ab\n" * 20 + "x" * 50
-    df = spark.createDataFrame([(1, body), (2, ""), (3, None)], "id long, text string")
-    rows = text_source.segments(df, "id", 33).orderBy("id", "segment").collect()
-    first = [r for r in rows if r["id"] == 1]
-    assert "".join(r["text"][len(text_source.PREFIX) :] for r in first) == body
-    assert all(len(r["text"]) <= 33 for r in rows) and [(r["start_offset"], r["end_offset"]) for r in rows if r["id"] > 1] == [(0, 0), (0, 0)]
+    rng = random.Random(7)
+    bodies = ["ab\n" * 20 + "x" * 50, "", None, "\n", "\n" * 45, "x" * 20, "x" * 40, "x" * 41 + "\n", *("".join(rng.choice("ab\n" if rng.random() < 0.5 else "é ") for _ in range(rng.randrange(200))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id long, text string")
+    rows = text_source.segments(df, "id", 33).collect()
+    for i, body in enumerate(bodies):
+        body, at, expected = body or "", 0, []
+        while at < len(body) or not expected:
+            stop = min(at + 20, len(body))
+            if stop < len(body) and (feed := body.rfind("\n", at, stop)) >= 0:
+                stop = feed + 1
+            expected.append((len(expected), at, stop, text_source.PREFIX + body[at:stop]))
+            at = stop
+        own = sorted((r["segment"], r["start_offset"], r["end_offset"], r["text"]) for r in rows if r["id"] == i)
+        assert own == expected and {r["segments"] for r in rows if r["id"] == i} == {len(expected)}
 
 
 def test_python_facts(spark):
