@@ -37,6 +37,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's score; a null text counts as empty, repeated rows are scored each, an empty table gives none. Without labels of both classes every score is 0."""
     docs, labels = (spark.read.parquet(table(sf_dir, name)) for name in ("documents", "labels"))
     model = toxicity.learn(docs, labels.where(~held_out()))
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
@@ -51,6 +52,7 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every row's words; a null text has none, of repeated rows the later ones lose what the first one has, an empty table gives none."""
     found = remove_repeats(spark.read.parquet(table(sf_dir, "documents")))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -67,23 +69,26 @@ def op6_cgk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of every query; fewer candidates give fewer rows, equal scores go to the smaller vec_id. Rows that share a vec_id are one query (with the best five that any of its vectors has) and candidates each, so a vec_id can stand more than once."""
     vectors = quantised(spark.read.parquet(table(sf_dir, "embeddings")).select("vec_id", "embedding"))
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
 def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's source is the owner, its source and language together the repository."""
+    """A document's source is the owner, its source and language together the repository. A null text counts as empty, repeated rows are searched each, an empty table gives none."""
     docs = spark.read.parquet(table(sf_dir, "documents")).withColumn("repo", F.concat_ws("/", "source", "lang"))
     spans, _ = secrets.secret_scan(docs, "repo", "source")
     return spans.withColumn("spans", secrets.spans_text("spans", secrets.KINDS))
 
 
 def op9_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's personal data; a null text counts as empty, repeated rows are searched each, an empty table gives none."""
     found = personal.personal_data(spark.read.parquet(table(sf_dir, "documents")))
     return found.withColumn("spans", secrets.spans_text("spans", personal.KINDS))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece's place; a null text counts as empty, which is one piece of one id, repeated rows are packed each, an empty table gives none."""
     return best_fit_pack(token_pieces(spark.read.parquet(table(sf_dir, "documents"))))
 
 
