@@ -17,7 +17,7 @@ from lodeweave.llm.shared import stored, table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the toxicity model, learned from the labelled rows that aren't held out, predicts as toxic."""
+    """Drops what the toxicity model, learned from the labelled rows that aren't held out, predicts as toxic. A null text counts as empty; repeated rows go or stay together; without labels of both classes all rows stay."""
     labels = spark.read.parquet(table(sf_dir, "labels")).where(~held_out())
     return toxicity.keep_ordinary(docs, toxicity.learn(docs, labels))
 
@@ -44,19 +44,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item. Null texts and items, and items without words, meet nothing; each row is judged alone; without items all rows stay."""
     return decontamination.without_items(docs, spark.read.parquet(table(sf_dir, "benchmark")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks credentials that look live and belong to few owners; widely copied examples stay."""
+    """Masks credentials that look live and belong to few owners; widely copied examples stay. All rows stay, also those without a doc_id or text; repeated rows are masked alike."""
     _, judged = secrets.secret_scan(docs.withColumn("repo", F.concat_ws("/", "source", "lang")), "repo", "source")
     masked = secrets.redact(docs, judged)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into training sequences."""
+    """Packs the documents' tokens into training sequences. A null text counts as empty and takes one id; repeated rows are packed each; an empty table gives no sequence."""
     return best_fit_pack(token_pieces(docs))
 
 
