@@ -113,11 +113,12 @@ def document_graph(t: Tables) -> tuple[DataFrame, DataFrame]:
 def three_channels(t: Tables) -> DataFrame:
     """Keyword and vector channels, and what the graph reaches within two steps of the four best of each (eight seeds at most)."""
     from ..operators.graph import bounded_bfs
+    from ..operators.store import stored
 
-    found = _channels(t)
+    found = stored(_channels(t), "channels")  # scored once, for the seeds and for the union
     seeds = [str(r["key"]) for r in found.where("rank <= 4").select("key").distinct().collect()]
     nodes, edges = document_graph(t)
-    hits, _ = bounded_bfs(nodes, edges, seeds, depth=2, node_limit=256, edge_limit=4096)
+    hits, _ = bounded_bfs(nodes, stored(edges, "document-edges"), seeds, depth=2, node_limit=256, edge_limit=4096)
     reached = hits.where("distance > 0").select(F.col("id").cast("long").alias("doc_id"), (1 / F.col("distance")).alias("score"))
     return found.unionByName(R.ranked(reached, "graph", "doc_id"))
 
