@@ -238,8 +238,8 @@ def _grouped(docs: DataFrame, percent: int, shingle: int, pivots: int) -> DataFr
     while True:
         now = members if labels is None else members.join(labels, "node", "left")
         now = now.withColumn("component", F.col("node") if labels is None else F.coalesce("component", "node"))
-        if turn:  # a bucket of two has had its only pair
-            now = now.where("k > 2")
+        if turn:  # the first round takes one pivot a member, the second one all of them: then a bucket of two has had its only pair
+            now = now.where("k > 2") if turn > 1 else now
             mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
             now = stored(now.join(stored(mixed, "mixed", short=True), "bucket"), "mixed-members", short=True)
             left = now.count()
@@ -327,10 +327,10 @@ def _links_within(members: DataFrame, held: DataFrame, sets: DataFrame, percent:
 
 
 def _likely(a: str, b: str, percent: int):
-    """Whether two signatures agree in as many slots as a link would make them in all but one of a million cases. Slots of different values still agree in their bits one time in 2**BITS."""
+    """Whether two signatures agree in as many slots as a link would make them in all but one of sixteen million cases. Slots of different values still agree in their bits one time in 2**BITS."""
     share = percent / 100
     share += (1 - share) / 2**BITS
-    least = SLOTS * share - 5 * (SLOTS * share * (1 - share)) ** 0.5
+    least = SLOTS * share - 6 * (SLOTS * share * (1 - share)) ** 0.5
     differing = F.lit(0)
     for k in range(SLOTS * BITS // 64):
         x = F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))

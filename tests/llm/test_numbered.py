@@ -343,6 +343,20 @@ def test_near_duplicates(spark, percent, pivots):
     assert got == plain_components([(r["doc_id"], r["text"]) for r in docs.collect()], percent)
 
 
+def test_near_duplicates_between_two_pivots(spark):
+    """A text that is like a smaller one, but linked to another one alone: neither keeps it from being compared with the other."""
+    texts = []
+    for k in range(150):
+        own = [f"w{k}x{i}" for i in range(104)]
+        near = ["other" if i in (1, 90) else w for i, w in enumerate(own)]
+        far = ["further" if i in (0, 30, 50, 70) else w for i, w in enumerate(own)]
+        texts += [" ".join(x) for x in (far, near, own)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs, 85).collect()}
+    assert got == {i: c for i, (_, c) in plain_components(rows, 85).items()}
+
+
 def test_near_duplicates_edges(spark):
     docs = frame(spark, ["same text of five words", "same text of five words", None, ""])
     twice = near_duplicates.near_duplicates(docs.unionByName(docs)).collect()
