@@ -154,6 +154,22 @@ def test_pack_rendered(spark):
     assert sorted(got) == sorted(expected) and {r for *_, r, _, _ in expected} == {"kept", *retrieval.DISCARDED}
 
 
+def test_marks_keep_unlike_sets_from_pairing(spark, monkeypatch):
+    """Sets that share their rarest words alone meet, but aren't pairs to fetch words for."""
+    rows = [(k, [f"rare{j}" for j in range(6)] + [f"w{k}x{j}" for j in range(60)]) for k in range(20)] + [(50, [f"w{j}" for j in range(40)]), (51, [f"w{j}" for j in range(39)])]
+    sizes, store = {}, memory.stored
+
+    def stored(df, name):
+        out = store(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(memory, "stored", stored)
+    got = [(r["a"], r["b"], r["similarity"]) for r in memory.near_pairs(spark.createDataFrame(rows, "id long, words array<string>"), "id", "words", 0.5).collect()]
+    assert got == [(50, 51, 0.975)]
+    assert sizes["pairs"] == 1
+
+
 def test_near_pairs(spark):
     rng = random.Random(5)
     sets = {i: rng.sample(range(12), rng.randint(1, 8)) for i in range(60)}
