@@ -4,6 +4,8 @@ import pytest
 
 from lodeweave.operators.bindings import bound_graph, import_targets, resolve_calls
 from lodeweave.sources.lexical import lexical_facts
+from lodeweave.sources.python_source import file_facts
+from lodeweave.sources.syntax import syntax_nodes
 
 TREE = {
     "pkg/__init__.py": "from .a import helper\n",
@@ -73,3 +75,21 @@ def test_imports_and_edges(spark, facts):
     assert ("file:pkg/b.py", "pkg", "file:pkg/a.py") in found
     empty = lexical_facts(spark.createDataFrame([], "path string, content string"))
     assert resolve_calls(empty).count() == 0 and bound_graph(empty).count() == 0
+
+
+def test_files_are_parsed_in_every_partition(spark):
+    """Small texts that lie in one partition are dealt out before they are parsed."""
+    files = spark.createDataFrame(list(TREE.items()), "path string, content string").coalesce(1)
+    assert syntax_nodes(files).rdd.getNumPartitions() == 4
+    assert file_facts(files).rdd.getNumPartitions() == 4
+
+
+def test_nodes_know_what_holds_them(spark):
+    """A definition holds its body alone, a lambda all of itself; statements that may not run are counted above a node."""
+    text = "def f(a=g()):\n    if a:\n        h(lambda x: x.y.z)\n"
+    rows = syntax_nodes(spark.createDataFrame([("m.py", text)], "path string, content string"), ("Module", "Lambda"), ("FunctionDef",), ("If",)).collect()
+    kind = {r["id"]: r["type"] for r in rows}
+    held = {(r["segment"] or r["attrs"].get("id") or r["type"]): (kind[r["within"]], r["chances"]) for r in rows}
+    assert held["g"] == ("Module", 0) and held["FunctionDef"] == ("Module", 0) and held["If"] == ("FunctionDef", 0)
+    assert held["a"] == ("FunctionDef", 1) and held["h"] == ("FunctionDef", 1) and held["Lambda"] == ("Lambda", 1) and held["x"] == ("Lambda", 1)
+    assert ["x", "y", "z"] in [r["dotted"] for r in rows]
