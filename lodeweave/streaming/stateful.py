@@ -6,6 +6,7 @@ They need the RocksDB state store (``state_store``). Rows of one key meet in one
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -53,33 +54,33 @@ _SESSION = "run long, sequence long, kind string, position long, ts timestamp, t
 
 
 class _Session(StatefulProcessor):
-    """State of a run: its next position and number, what was seen so far, calls that are open, counts for each purpose, and events that came before their turn."""
+    """State of a run, read and written once for all its rows of a micro-batch: its next position and number, what was seen so far, calls that are open and counts for each purpose (as JSON); events that came before their turn are appended to a list, which is read when the least of them is due."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cursor = handle.getValueState("cursor", "next long, sequence long, started timestamp, planned boolean, degraded boolean, end_sequence long, end_position long, end_ts timestamp, end_kind string, end_ok boolean, revision int, complete boolean")
-        self.waiting = handle.getMapState("waiting", "position long", "ts timestamp, kind string, purpose string, turn long, tool string, ok boolean")
-        self.open = handle.getMapState("open", "call string", "n long")
-        self.counts = handle.getMapState("counts", "purpose string", "starts long, finishes long, expected long")
+        self.cursor = handle.getValueState("cursor", "next long, sequence long, started timestamp, planned boolean, degraded boolean, end_sequence long, end_position long, end_ts timestamp, end_kind string, end_ok boolean, revision int, complete boolean, open string, counts string, least long")
+        self.waiting = handle.getListState("waiting", "position long, ts timestamp, kind string, purpose string, turn long, tool string, ok boolean")
+        self.open: dict[str, int] = {}
+        self.counts: dict[str, list[int]] = {}
 
     def _step(self, call: str, by: int) -> bool:
         """Opens or closes a call; False where nothing was open."""
-        n = self.open.getValue((call,))[0] if self.open.containsKey((call,)) else 0
-        if n + by < 0:
+        n = self.open.get(call, 0) + by
+        if n < 0:
             return False
-        self.open.updateValue((call,), (n + by,)) if n + by else self.open.removeKey((call,))
+        self.open[call] = n
+        if not n:
+            del self.open[call]
         return True
 
     def _count(self, purpose: str, at: int) -> None:
-        own = list(self.counts.getValue((purpose,))) if self.counts.containsKey((purpose,)) else [0, 0, 0]
-        own[at] += 1
-        self.counts.updateValue((purpose,), tuple(own))
+        self.counts.setdefault(purpose, [0, 0, 0])[at] += 1
 
     def _complete(self, c: dict) -> bool:
         if c["degraded"] or c["started"] is None or (c["end_kind"] == "failed" and not c["end_ok"]):
             return False
-        if any(call.startswith("llm") for (call,), _ in self.open.iterator()):
+        if any(call.startswith("llm") for call in self.open):
             return False
-        return all(min(starts, finishes) >= expected for _, (starts, finishes, expected) in self.counts.iterator())
+        return all(min(starts, finishes) >= expected for starts, finishes, expected in self.counts.values())
 
     def _end(self, run: int, c: dict) -> tuple:
         ms = None if c["started"] is None else round(max(0.0, (c["end_ts"] - c["started"]) / dt.timedelta(microseconds=1) / 1000), 3)
@@ -126,11 +127,12 @@ class _Session(StatefulProcessor):
         else:
             yield run, number, S.PUBLIC[kind], e["position"], e["ts"], None, None, 0
 
-    _NAMES = ("next", "sequence", "started", "planned", "degraded", "end_sequence", "end_position", "end_ts", "end_kind", "end_ok", "revision", "complete")
+    _NAMES = ("next", "sequence", "started", "planned", "degraded", "end_sequence", "end_position", "end_ts", "end_kind", "end_ok", "revision", "complete", "open", "counts", "least")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         run = key[0]
-        c = dict(zip(self._NAMES, self.cursor.get() if self.cursor.exists() else (0, 0, None, False, False, None, None, None, None, None, 0, None), strict=True))
+        c = dict(zip(self._NAMES, self.cursor.get() if self.cursor.exists() else (0, 0, None, False, False, None, None, None, None, None, 0, None, "{}", "{}", None), strict=True))
+        self.open, self.counts = json.loads(c["open"]), json.loads(c["counts"])
         c["started"], c["end_ts"] = _none(c["started"]), _none(c["end_ts"])
         fields, out = ("ts", "kind", "purpose", "turn", "tool", "ok"), []
         own: dict[int, dict] = {}
@@ -138,19 +140,23 @@ class _Session(StatefulProcessor):
             e |= {"position": int(e["position"]), "turn": None if e["turn"] is None else int(e["turn"])}
             if e["position"] >= c["next"]:  # else it came before
                 own.setdefault(e["position"], e)
+        appended = True
         while True:
-            at = c["next"]
-            if at in own:
-                e = own.pop(at)
-            elif self.waiting.containsKey((at,)):
-                e = dict(zip(fields, map(_none, self.waiting.getValue((at,))), strict=True)) | {"position": at}
-                self.waiting.removeKey((at,))
-            else:
+            while c["next"] in own:
+                out += self._take(run, own.pop(c["next"]), c)
+                c["next"] += 1
+            if c["least"] is None or c["least"] > c["next"]:
                 break
-            out += self._take(run, e, c)
-            c["next"] = at + 1
-        for at, e in own.items():
-            self.waiting.updateValue((at,), tuple(e[f] for f in fields))
+            for at, *event in self.waiting.get():
+                if at >= c["next"]:
+                    own.setdefault(int(at), dict(zip(fields, map(_none, event), strict=True)) | {"position": int(at)})
+            self.waiting.clear()
+            c["least"], appended = None, False
+        early = [(at, *(e[f] for f in fields)) for at, e in own.items()]
+        if early:
+            self.waiting.appendList(early) if appended else self.waiting.put(early)
+            c["least"] = min(own) if c["least"] is None else min(c["least"], *own)
+        c |= {"open": json.dumps(self.open), "counts": json.dumps(self.counts)}
         self.cursor.update(tuple(c[n] for n in self._NAMES))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in _SESSION.split(", ")]).astype({"trace_complete": "object"})
 

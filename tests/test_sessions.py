@@ -235,3 +235,27 @@ def test_leases(spark, tmp_path):
         if a >= 65:
             found = T.collected(spark, T.expired_stream(stream(spark, folder, LEASES)), out)
     assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_session_state_is_read_once_for_a_batch():
+    """However many events a run has in a micro-batch, its state is read and written once, and early events in one call."""
+    calls = []
+
+    class State:
+        value, rows = None, []
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "appendList": self.rows.extend}[name]
+
+    class Handle:
+        getValueState = getListState = getMapState = lambda self, *a: State()
+
+    import pandas as pd
+
+    session = T._Session()
+    session.init(Handle())
+    batch = pd.DataFrame([(7, k, at(k), "llm_started" if k % 2 else "tool_started", "p", 0, "t", True) for k in range(60) if k != 50], columns=["run", "position", "ts", "kind", "purpose", "turn", "tool", "ok"])
+    (rows,) = session.handleInputRows((7,), iter([batch]), None)
+    assert len(rows) == 50
+    assert len(calls) <= 4
