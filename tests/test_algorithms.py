@@ -38,6 +38,16 @@ def test_overlapping_hot_key(spark):
     assert found.count() == 3 * n - 2 + 2 * sum(10_000 - 1 for i in range(7, n, 50_000))
 
 
+def test_overlapping_in_pieces(spark):
+    """Repeated ranges of one key meet in pieces of a bounded size, spread over tasks, and each pair comes once."""
+    rows = spark.range(600).select(F.lit("k").alias("key"), (F.col("id") % 3).alias("low"), (F.col("id") % 3 + F.when(F.col("id") == 5, 900).otherwise(4)).alias("high"), "id")
+    found = ranges.overlapping(rows, rows.select("key", "low", "high").unionByName(rows.select("key", "low", "high").limit(1)), "key", "low", "high", side=96)
+    by_id = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("other_high") > 100).alias("long"))
+    assert [(r["n"], r["long"]) for r in by_id.collect()] == [(601, 1)] * 600
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 600 * 601 and max(tasks) < 600 * 601 / 6
+
+
 def test_ranked(spark):
     rng = random.Random(3)
     groups = {"ties": [rng.choice([1.0, 2.0, 2.5]) for _ in range(400)], "spread": [rng.lognormvariate(0, 12) * rng.choice([-1, 1]) for _ in range(600)], "one": [7.25], None: [rng.random() for _ in range(300)], "equal": [3.0] * 200}
