@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from .store import stored
 
 TRAVERSABLE = ("imports", "calls", "contains", "references")
+#: Ids of missing nodes that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 1 << 20
+#: Groups of equal edges that a task counts, about.
+MOST_GROUPS = 1 << 20
 ENTRY_NAMES = ("main.py", "app.py", "cli.py", "__main__.py")
 
 
@@ -53,32 +58,42 @@ def entry_candidates(nodes: DataFrame, edges: DataFrame, main: str = "main") ->
     return named.select("id", "path").unionByName(files.join(holders.select(F.col("source").alias("id")), "id", "left_semi").select("id", "path")).distinct()
 
 
+def _ends(edges: DataFrame, *more: str) -> DataFrame:
+    """Both ends of each edge: side and id, with further columns of the edge."""
+    end = lambda side: F.struct(F.lit(side).alias("side"), F.col(side).alias("id"))
+    return edges.select(*more, F.explode(F.array(end("source"), end("target"))).alias("end")).select(*more, "end.side", "end.id")
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """FLT-10: edges with an end that is no node."""
-    ids = nodes.select("id")
-    ends = edges.withColumn("end", F.explode(F.array(F.struct(F.lit("source").alias("side"), F.col("source").alias("id")), F.struct(F.lit("target").alias("side"), F.col("target").alias("id")))))
-    return ends.select("source", "target", "type", "end.side", "end.id").join(ids, "id", "left_anti").select("source", "target", "type", "side")
+    """FLT-10: edges with an end that is no node. Only ends' distinct ids meet the nodes; edges aren't shuffled unless more than MOST_BROADCAST ids are missing."""
+    missing = stored(_ends(edges).select("id").distinct().join(nodes.select("id"), "id", "left_anti"), "missing").withColumnRenamed("id", "none")
+    if missing.count() <= MOST_BROADCAST:
+        missing = F.broadcast(missing)
+    return _ends(edges, "source", "target", "type").join(missing, F.col("id").eqNullSafe(F.col("none"))).select("source", "target", "type", "side")
 
 
 def repeated_edges(edges: DataFrame) -> DataFrame:
-    """FLT-10: groups of edges that share source, target and type."""
+    """FLT-10: groups of edges that share source, target and type. Most edges are alone in theirs, so they are dealt out before they are counted, to as many tasks as keep a task's groups few."""
+    tasks = math.ceil(edges.count() / MOST_GROUPS)
+    if tasks > 1:
+        edges = edges.repartition(max(tasks, edges.sparkSession.sparkContext.defaultParallelism), "source", "target", "type")
     return edges.groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def constraint_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """FLT-10: rule and n, how many nodes, edges or groups of them break it; one row for each rule, also where none does."""
+    """FLT-10: rule and n, how many nodes, edges or groups of them break it; one row for each rule, also where none does. An id is counted once as a node, a source and a target."""
     from ..functions.text import safe_path
 
-    ids = nodes.select("id").distinct()
     count = lambda df, rule: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
     parents = edges.where("type = 'contains'").groupBy("target").agg(F.count_distinct("source").alias("k")).where("k > 1")
+    uses = nodes.select(F.lit("node").alias("side"), "id").unionByName(_ends(edges)).groupBy("id").agg(*(F.count_if(F.col("side") == side).alias(side) for side in ("node", "source", "target")))
+    missing = F.col("id").isNull() | (F.col("node") == 0)
+    rules = {"duplicate_node": F.count_if(F.col("node") > 1), **{f"dangling_{side}": F.coalesce(F.sum(F.when(missing, F.col(side))), F.lit(0).cast("long")) for side in ("source", "target")}}
     bad_node = {"unknown_node_type": ~F.col("type").isin("file", "class", "function", "method", "external"), "unsafe_path": F.col("path").isNotNull() & ~safe_path("path"), "missing_path": F.col("path").isNull() & (F.col("type") != "external")}
     bad_edge = {"self_loop": F.col("source") == F.col("target"), "unknown_edge_type": ~F.col("type").isin(*TRAVERSABLE, "unresolved_call")}
-    wide = lambda df, rules: df.agg(*(F.count_if(c).alias(r) for r, c in rules.items())).select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in rules))).alias("x")).select("x.rule", "x.n")
-    return union_all([
-        count(nodes.groupBy("id").count().where("count > 1"), "duplicate_node"), count(repeated_edges(edges), "duplicate_edge"), count(parents, "two_parents"),
-        *(count(edges.select(F.col(side).alias("id")).join(ids, "id", "left_anti"), f"dangling_{side}") for side in ("source", "target")), wide(nodes, bad_node), wide(edges, bad_edge),
-    ])
+    wide = lambda df, rules: df.agg(*(n.alias(r) for r, n in rules.items())).select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in rules))).alias("x")).select("x.rule", "x.n")
+    each = lambda rules: {r: F.count_if(c) for r, c in rules.items()}
+    return union_all([count(repeated_edges(edges), "duplicate_edge"), count(parents, "two_parents"), wide(uses, rules), wide(nodes, each(bad_node)), wide(edges, each(bad_edge))])
 
 
 def inner_edges(edges: DataFrame, room: DataFrame, limit: int) -> DataFrame:

@@ -258,3 +258,26 @@ def test_capped(spark):
     rows = [("a", 1, 5), ("a", 2, 7), ("a", 3, 4), ("a", 4, 1), ("b", 1, 20), ("b", 2, 3)]
     got = evidence.capped(spark.createDataFrame(rows, "key string, turn int, size int"), "key", ["turn"], "size", 10).collect()
     assert sorted((r["key"], r["turn"]) for r in got) == [("a", 1), ("a", 3), ("a", 4), ("b", 2)]
+
+
+def _exchanges(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count(" Exchange hashpartitioning")
+
+
+def test_dangling_and_constraints(spark, monkeypatch):
+    """Ends that are no nodes, one of them null, and repeated ids; edges don't move to find them while few ids are missing."""
+    nodes = spark.createDataFrame([("a", "file", "a", "a"), ("b", "file", "b", "b"), ("b", "file", "b", "b")], "id string, type string, name string, path string")
+    rows = [("a", "b", "calls"), ("a", "b", "calls"), ("a", "x", "calls"), ("y", "x", "imports"), ("y", "b", "contains"), ("a", "b", "contains"), ("a", None, "calls")]
+    edges = spark.createDataFrame(rows, "source string, target string, type string")
+    expected = [("a", None, "calls", "target"), ("a", "x", "calls", "target"), ("y", "b", "contains", "source"), ("y", "x", "imports", "source"), ("y", "x", "imports", "target")]
+    order = lambda found: sorted(map(tuple, found.collect()), key=str)
+    found = graph.dangling(edges, nodes)
+    assert order(found) == sorted(expected, key=str) and _exchanges(found) == 0
+    counts = dict(map(tuple, graph.constraint_counts(nodes, edges).collect()))
+    assert {k: n for k, n in counts.items() if n} == {"duplicate_node": 1, "duplicate_edge": 1, "dangling_source": 2, "dangling_target": 3, "two_parents": 1} and len(counts) == 10
+    monkeypatch.setattr(graph, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(graph, "MOST_GROUPS", 2)
+    assert order(graph.dangling(edges, nodes)) == sorted(expected, key=str)
+    repeated = graph.repeated_edges(edges)
+    assert list(map(tuple, repeated.collect())) == [("a", "b", "calls", 2)] and "REPARTITION_BY_NUM" in repeated._jdf.queryExecution().toString()
