@@ -72,31 +72,39 @@ def _holds(payload: Column, field: str, what: str) -> Column:
     return simple[what]
 
 
-def payload_rules(payload: Column, kind: Column) -> Column:
-    """FLT-13: an array of the rules that a payload (JSON text) of an event type breaks: not_json, too_large, type, missing:f, unexpected:f, bad:f, and of fields that depend on each other error_without_failure, failure_without_error, origin."""
-    parsed = F.try_parse_json(payload)
-    keys = F.json_object_keys(payload)
+def _type_rules(name: str, parsed: Column, keys: Column) -> Column:
+    """The rules that a sound payload of one type breaks."""
+    fields, has = FIELDS[name], lambda f: F.array_contains(keys, f)
+    broken = [F.when(~has(f), F.lit(f"missing:{f}")) for f in REQUIRED[name].split()]
+    broken += [F.when(has(f) & ~F.coalesce(_holds(parsed, f, what), F.lit(False)), F.lit(f"bad:{f}")) for f, what in fields.items()]
+    if name == "llm_finished":
+        success = F.try_variant_get(parsed, "$.success", "boolean")
+        broken += [F.when(success & has("error"), F.lit("error_without_failure")), F.when(~success & ~has("error"), F.lit("failure_without_error"))]
+    if name == "tool_finished":
+        origin = [has(f) for f in ("retrieval_origin", "initial_pack_digest", "retrieval")]
+        broken.append(F.when((origin[0] | origin[1]) & ~(origin[0] & origin[1] & origin[2]), F.lit("origin")))
+    more = F.transform(F.array_except(keys, F.array(*map(F.lit, fields))), lambda x: F.concat(F.lit("unexpected:"), x))
+    return F.concat(F.array_compact(F.array(*broken)), more)
+
+
+def payload_rules(payload: Column, kind: Column, parsed: Column, keys: Column) -> Column:
+    """FLT-13: an array of the rules that a payload (JSON text) of an event type breaks: not_json, too_large, type, missing:f, unexpected:f, bad:f, and of fields that depend on each other error_without_failure, failure_without_error, origin.
+
+    ``parsed`` is the payload as a variant and ``keys`` its names: columns of a projection of their own, since each rule reads them. Only the rules of a row's own type are looked at.
+    """
     sound = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT<"), F.lit(False))
     broken = [F.when(~sound, F.lit("not_json")), F.when(F.octet_length(payload) > MOST_BYTES, F.lit("too_large")), F.when(~F.coalesce(kind.isin(*FIELDS), F.lit(False)), F.lit("type"))]
-    lists = []
-    for name, fields in FIELDS.items():
-        here = sound & (kind == name)
-        broken += [F.when(here & ~F.array_contains(keys, f), F.lit(f"missing:{f}")) for f in REQUIRED[name].split()]
-        broken += [F.when(here & F.array_contains(keys, f) & ~F.coalesce(_holds(parsed, f, what), F.lit(False)), F.lit(f"bad:{f}")) for f, what in fields.items()]
-        more = F.array_except(keys, F.array(*map(F.lit, fields)))
-        lists.append(F.when(here, F.transform(more, lambda x: F.concat(F.lit("unexpected:"), x))))
-    has = lambda f: F.array_contains(keys, f)
-    finished = sound & (kind == "llm_finished")
-    success = F.try_variant_get(parsed, "$.success", "boolean")
-    broken += [F.when(finished & success & has("error"), F.lit("error_without_failure")), F.when(finished & ~success & ~has("error"), F.lit("failure_without_error"))]
-    origin = has("retrieval_origin") | has("initial_pack_digest")
-    broken.append(F.when(sound & (kind == "tool_finished") & origin & ~(has("retrieval_origin") & has("initial_pack_digest") & has("retrieval")), F.lit("origin")))
-    return F.concat(F.array_compact(F.array(*broken)), F.coalesce(*lists, F.array().cast("array<string>")))
+    own = F.when(~sound, F.array().cast("array<string>"))
+    for name in FIELDS:
+        own = own.when(kind == name, _type_rules(name, parsed, keys))
+    return F.concat(F.array_compact(F.array(*broken)), own.otherwise(F.array().cast("array<string>")))
 
 
 def payload_violations(events: DataFrame, key: str, kind: str, payload: str) -> DataFrame:
-    """FLT-13: key and rule of every broken rule. One pass; a null payload isn't JSON."""
-    return events.select(key, F.explode(payload_rules(F.coalesce(F.col(payload), F.lit("")), F.col(kind))).alias("rule"))
+    """FLT-13: key and rule of every broken rule. One pass, in which a payload is made and parsed once; a null payload isn't JSON."""
+    rows = events.select(key, F.col(kind).alias("kind"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
+    rows = rows.withColumns({"parsed": F.try_parse_json("payload"), "keys": F.json_object_keys("payload")})
+    return rows.select(key, F.explode(payload_rules(F.col("payload"), F.col("kind"), F.col("parsed"), F.col("keys"))).alias("rule"))
 
 
 def _named(rules: Mapping[str, Column]) -> Column:

@@ -281,3 +281,14 @@ def test_dangling_and_constraints(spark, monkeypatch):
     assert order(graph.dangling(edges, nodes)) == sorted(expected, key=str)
     repeated = graph.repeated_edges(edges)
     assert list(map(tuple, repeated.collect())) == [("a", "b", "calls", 2)] and "REPARTITION_BY_NUM" in repeated._jdf.queryExecution().toString()
+
+
+def test_payloads_are_parsed_once(spark):
+    """Every rule reads the same variant, of odd payloads too."""
+    from lodeweave.operators import payloads
+
+    rows = [(1, "llm_started", None), (2, "llm_started", "[1]"), (3, None, '{"purpose":"plan"}'), (4, "llm_started", '{"purpose":"plan","x":1}'), (5, "llm_finished", '{"purpose":"plan","success":false,"fallback_used":1}'), (6, "guess", "{")]
+    found = payloads.payload_violations(spark.createDataFrame(rows, "id long, kind string, payload string"), "id", "kind", "payload")
+    expected = [(1, "not_json"), (2, "not_json"), (3, "type"), (4, "unexpected:x"), (5, "bad:fallback_used"), (5, "failure_without_error"), (6, "not_json"), (6, "type")]
+    assert sorted(map(tuple, found.collect())) == expected
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
