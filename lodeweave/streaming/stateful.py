@@ -244,45 +244,56 @@ _EVICTED = "run long, id long, ts timestamp, reason string"
 
 
 class _Retention(StatefulProcessor):
-    """State of a run: its newest rows, at most as many as are kept."""
+    """State of a run, read and written once for all its rows of a micro-batch: its newest rows (microseconds and id, as JSON), at most as many as are kept, and the time of its timer, which moves only when its oldest row does."""
 
     def __init__(self, most: int, seconds: int):
-        self.most, self.age = most, dt.timedelta(seconds=seconds)
+        self.most, self.age = most, seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getListState("kept", "ts timestamp, id long")
+        self.kept = handle.getValueState("kept", "timer long, rows string")
 
-    def _held(self) -> list[tuple]:
-        return sorted((_none(ts), int(i)) for ts, i in (self.kept.get() if self.kept.exists() else ()))
+    def _held(self) -> tuple[int | None, list[tuple[int, int]]]:
+        state = self.kept.get()
+        return (None, []) if state is None else (int(state[0]), [(ts, i) for ts, i in json.loads(state[1])])
 
-    def _put(self, rows: list[tuple], key, out: list[tuple], now: dt.datetime | None) -> pd.DataFrame:
-        over = len(rows) - self.most
-        out += [(key[0], i, ts, "length") for ts, i in rows[: max(0, over)]]
-        rows = rows[max(0, over) :]
+    def _put(self, rows: list[tuple[int, int]], key, timer: int | None, had: bool, timerValues) -> Iterator[pd.DataFrame]:
+        over, now = max(0, len(rows) - self.most), _watermark(timerValues)
+        gone, rows = [(key[0], i, ts, "length") for ts, i in rows[:over]], rows[over:]
         if now is not None:
-            out += [(key[0], i, ts, "age") for ts, i in rows if ts < now - self.age]
-            rows = [x for x in rows if x[0] >= now - self.age]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+            since = (_utc(now) - _EPOCH) // dt.timedelta(microseconds=1) - self.age
+            gone += [(key[0], i, ts, "age") for ts, i in rows if ts < since]
+            rows = [x for x in rows if x[0] >= since]
+        due = (rows[0][0] + self.age) // 1000 + 1 if rows else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
         if rows:
-            self.kept.put([(ts, i) for ts, i in rows])
-            self.handle.registerTimer(int((_utc(rows[0][0]) + self.age).timestamp() * 1000) + 1)
-        else:
+            self.kept.update((due, json.dumps(rows)))
+        elif had:
             self.kept.clear()
-        return pd.DataFrame(out, columns=["run", "id", "ts", "reason"]).astype({"ts": "datetime64[us]"})
+        if gone:
+            yield pd.DataFrame(gone, columns=["run", "id", "ts", "reason"]).astype({"ts": "datetime64[us]"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(e["ts"], int(e["id"])) for e in _rows(rows)]
-        yield self._put(sorted({*self._held(), *new}), key, [], _watermark(timerValues))
+        timer, held = self._held()
+        new = {x for batch in rows for x in zip(batch["ts"].astype("datetime64[us]").astype("int64").tolist(), batch["id"].tolist(), strict=True)}
+        yield from self._put(sorted({*held, *new}), key, timer, bool(held), timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._put(self._held(), key, [], _watermark(timerValues))
+        """The timer that went off is taken out by Spark."""
+        held = self._held()[1]
+        yield from self._put(held, key, None, bool(held), timerValues)
 
     def close(self) -> None:
         pass
 
 
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+
+
 def _utc(ts: dt.datetime) -> dt.datetime:
     return ts if ts.tzinfo else ts.replace(tzinfo=dt.timezone.utc)
 
@@ -328,8 +339,9 @@ class _Leases(StatefulProcessor):
         return pd.DataFrame(out, columns=["task", "token", "beat", "expired_at"]).astype({"beat": "datetime64[us]", "expired_at": "datetime64[us]"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        token, beat = self.lease.get() if self.lease.exists() else (None, None)
-        beat, had, out = _none(beat), _none(beat), []
+        token, beat = self.lease.get() or (None, None)
+        beat, out = _none(beat), []
+        held, had = token, beat
         for e in sorted(_rows(rows), key=lambda e: (e["ts"], e["id"])):
             if beat is not None and e["ts"] - beat >= self.term:
                 out.append((key[0], int(token), beat, beat + self.term))
@@ -340,14 +352,17 @@ class _Leases(StatefulProcessor):
                 token = beat = None
             elif token is not None:
                 beat = e["ts"]
-        if had is not None:
-            self.handle.deleteTimer(self._at(had))
-        if beat is None:
+        if beat != had:
+            if had is not None:
+                self.handle.deleteTimer(self._at(had))
+            if beat is not None:
+                self.handle.registerTimer(self._at(beat))
+        if beat is None and had is not None:
             self.lease.clear()
-        else:
+        elif (token, beat) != (held, had):
             self.lease.update((int(token), beat))
-            self.handle.registerTimer(self._at(beat))
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
     def _at(self, beat: dt.datetime) -> int:
         return int((_utc(beat) + self.term).timestamp() * 1000)

@@ -45,3 +45,56 @@ def test_normalised(spark, tmp_path):
             expected.append((key, k, i))
             k += 1
     assert got == expected
+
+
+class _Handle:
+    """Counts what a processor asks of its state."""
+
+    def __init__(self):
+        self.calls, self.value = [], None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_state_calls_of_a_run():
+    """A run's state is read and written once for a micro-batch; its timer moves only when what it waits for does."""
+    import pandas as pd
+
+    from lodeweave.streaming import stateful
+
+    times = lambda *hours: pd.to_datetime([f"2024-01-01 {h:02d}:00:00" for h in hours])
+    rows = lambda ids, *hours, **more: iter([pd.DataFrame({"ts": times(*hours), "id": ids, **more})])
+    for processor, batches, expected in (
+        (stateful._Retention(3, 86_400), [rows([1, 2], 1, 2), rows([3], 3), rows([4], 4)], [["get", "register", "update"], ["get", "update"], ["get", "delete", "register", "update"]]),
+        (stateful._Leases(3600 * 5), [rows([1, 2], 1, 2, kind=["claim", "beat"]), rows([3], 2, kind=["claim"]), rows([4], 3, kind=["complete"])], [["get", "register", "update"], ["get"], ["get", "delete", "clear"]]),
+    ):
+        handle = _Handle()
+        processor.init(handle)
+        found = []
+        for batch, calls in zip(batches, expected, strict=True):
+            handle.calls.clear()
+            found += [len(frame) for frame in processor.handleInputRows((7,), batch, handle)]
+            assert sorted(handle.calls) == sorted(calls)
+        assert found == ([1] if isinstance(processor, stateful._Retention) else [])
