@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import base64
-import re
-from array import array
+
+import numpy as np
 
 #: The places of the vocabulary's files, as parameters of every operator that takes tokens.
 VOCABULARY = "byte_bpe_50k.json"
@@ -12,59 +12,42 @@ RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 END_OF_DOCUMENT = 50256
 
-# Where only ASCII and Latin-1 letters occur, this is the vocabulary's own pre-tokeniser; other texts take the library's.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_OTHER = re.compile(f"[^\\x00-\\x1b\\x20-\\x7e{_LETTER}]")
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
-
-
-class _Memo(dict):
-    """Ids of pre-tokens, each worked out once; emptied at ``most`` entries, which bounds a worker's memory."""
-
-    def __init__(self, encode, most: int):
-        self.encode, self.most = encode, most
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self[piece] = array("I", self.encode(piece)).tobytes()
-        return ids
-
 
 class Encoder:
     """``encode(text)``: the ids of a text as little-endian unsigned 32-bit integers.
 
     The ids are those of ``tokenizers`` with ``add_special_tokens=False``: a text that spells out the
-    vocabulary's special token is left to that library, every other text goes through the same
-    vocabulary's ranks with a memo of pre-tokens.
+    vocabulary's special token is left to that library, as is one whose run of white space is too long for the
+    other's pattern (a million or so); every other text goes through the same vocabulary's ranks.
+    ``memo`` is without effect: looking pre-tokens up takes longer than merging them.
     """
 
-    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, memo: int = 1 << 16):
+    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, memo: int = 0):
         import public_tokenizers
         import tiktoken
 
         self.vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
         with open(ranks or public_tokenizers.path(RANKS), "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.get = _Memo(self.bpe.encode_ordinary, memo).__getitem__
+        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={SPECIAL: END_OF_DOCUMENT})
         self.library = None
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if SPECIAL in text:
-            if self.library is None:
-                from tokenizers import Tokenizer
+    def _by_library(self, text: str, ordinary: bool) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.vocabulary)
+        self.library.encode_special_tokens = ordinary
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-                self.library = Tokenizer.from_file(self.vocabulary)
-            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        if _OTHER.search(text):
-            return array("I", self.bpe.encode_ordinary(text)).tobytes()
-        return b"".join(map(self.get, _PIECE.findall(text)))
+    def encode(self, text: str | None) -> bytes:
+        return self._by_library(text, False) if text and SPECIAL in text else self.encode_ordinary(text)
 
     def encode_ordinary(self, text: str | None) -> bytes:
         """As ``encode``, but a special token that a text spells out is ordinary text, so that its id never occurs."""
-        if text and SPECIAL in text:
-            return array("I", self.bpe.encode_ordinary(text)).tobytes()
-        return self.encode(text)
+        if not text:
+            return b""
+        try:
+            return self.bpe.encode_to_numpy(text, disallowed_special=()).tobytes()
+        except ValueError:
+            return self._by_library(text, True)

@@ -80,6 +80,35 @@ def test_tokens_are_the_librarys():
             assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_long_white_space():
+    """Runs that overflow the pattern's stack are encoded all the same, as is a special token beside one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library, encoder, run = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY)), tokens.Encoder(), " " * 2_000_000
+    ids = lambda found: np.frombuffer(found, "<u4").tolist()
+    for t in ("a" + run + "b", "中" + run, tokens.SPECIAL + run + "b"):
+        assert ids(encoder.encode(t)) == library.encode(t, add_special_tokens=False).ids
+    spelled = ids(encoder.encode_ordinary(tokens.SPECIAL + run + "b"))
+    assert tokens.END_OF_DOCUMENT not in spelled and encoder.bpe.decode(spelled) == tokens.SPECIAL + run + "b"
+    assert ids(encoder.encode_ordinary(tokens.SPECIAL + " b")) == encoder.bpe.encode_ordinary(tokens.SPECIAL + " b")
+    assert ids(encoder.encode(tokens.SPECIAL + " b")) == library.encode(tokens.SPECIAL + " b", add_special_tokens=False).ids
+
+
+def test_tokens_cost_no_more_than_the_ranks():
+    """Texts of ever new words take no longer than the plain call that gives a list of ids."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("th on er and re ing st ou ha le ti es".split(), k=rng.randint(2, 7))) for _ in range(300)) for _ in range(500)]
+    encoder, took = tokens.Encoder(), {}
+    for _ in range(3):
+        for name, encode in (("ours", encoder.encode), ("plain", encoder.bpe.encode_ordinary)):
+            began = time.thread_time()
+            for t in texts:
+                encode(t)
+            took[name] = min(took.get(name, 9), time.thread_time() - began)
+    assert took["ours"] <= 1.25 * took["plain"]
+
+
 # 1
 
 
