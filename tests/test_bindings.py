@@ -93,3 +93,19 @@ def test_nodes_know_what_holds_them(spark):
     assert held["g"] == ("Module", 0) and held["FunctionDef"] == ("Module", 0) and held["If"] == ("FunctionDef", 0)
     assert held["a"] == ("FunctionDef", 1) and held["h"] == ("FunctionDef", 1) and held["Lambda"] == ("Lambda", 1) and held["x"] == ("Lambda", 1)
     assert ["x", "y", "z"] in [r["dotted"] for r in rows]
+
+
+def test_pieces_that_read_alike_are_parsed_once():
+    """Files are cut before definitions at their left edge; a cut that isn't between statements is undone."""
+    from lodeweave.sources import python_source, syntax
+
+    memo = syntax.Memo()
+    text = "import a.b\n@d\ndef f():\n    g(1)\nclass C:\n    def m(self): h()\ndef k():\n    pass\n"
+    assert len(syntax.pieces(text)) == 4
+    assert python_source._file(text, memo)["calls"] == [{"caller": "f", "callee": "g", "place": 0}, {"caller": "C.m", "callee": "h", "place": 0}]
+    known = dict(memo.known)
+    assert python_source._file("x = 1\n" + text[text.index("@d") :], memo)["functions"] == ["f", "k"]
+    assert [k for k in memo.known if k not in known] == ["x = 1\n"]
+    inside = 'x = """\ndef f():\n    pass\n"""\n'
+    assert len(syntax.pieces(inside)) == 2 and python_source._file(inside, memo)["functions"] == []
+    assert python_source._file("def (:\n", memo) is None
