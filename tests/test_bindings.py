@@ -109,3 +109,15 @@ def test_pieces_that_read_alike_are_parsed_once():
     inside = 'x = """\ndef f():\n    pass\n"""\n'
     assert len(syntax.pieces(inside)) == 2 and python_source._file(inside, memo)["functions"] == []
     assert python_source._file("def (:\n", memo) is None
+
+
+def test_facts_come_without_a_shuffle(spark):
+    """After the files are dealt out a file's facts need no other row; repeated definitions are numbered through the file, and lines are those of the file."""
+    files = spark.createDataFrame([("a.py", "import x\ndef f(): pass\ndef f(): pass\nclass C:\n    f = [g(y) for y in z if y is None]\n"), ("b.py", "def f(): pass\n")], "path string, content string")
+    facts = lexical_facts(files)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    rows = facts.collect()
+    assert {(r["path"], r["key"], r["start_line"]) for r in rows if r["kind"] == "definition"} == {("a.py", "<module>/f[1]", 2), ("a.py", "<module>/f[2]", 3), ("a.py", "<module>/C[1]", 4), ("b.py", "<module>/f[1]", 1)}
+    assert {(r["key"], r["scope"]) for r in rows if r["kind"] == "scope" and r["tag"] == "opaque"} == {("<module>/C[1]/@ListComp[5:8]", "<module>/C[1]")}
+    assert [r["name"] for r in rows if r["kind"] == "escape"] == ["y"]
