@@ -121,3 +121,16 @@ def test_facts_come_without_a_shuffle(spark):
     assert {(r["path"], r["key"], r["start_line"]) for r in rows if r["kind"] == "definition"} == {("a.py", "<module>/f[1]", 2), ("a.py", "<module>/f[2]", 3), ("a.py", "<module>/C[1]", 4), ("b.py", "<module>/f[1]", 1)}
     assert {(r["key"], r["scope"]) for r in rows if r["kind"] == "scope" and r["tag"] == "opaque"} == {("<module>/C[1]/@ListComp[5:8]", "<module>/C[1]")}
     assert [r["name"] for r in rows if r["kind"] == "escape"] == ["y"]
+
+
+def test_stored_facts_are_not_copied(spark, facts):
+    """Facts that are a table already are read from it, and the session's settings are as before."""
+    import glob
+
+    from lodeweave.operators.store import stored
+
+    own, name = stored(facts, "facts", "kind"), "spark.sql.requireAllClusterKeysForCoPartition"
+    copies, before = f"{spark.conf.get('spark.checkpoint.dir')}/facts-*", spark.conf.get(name)
+    n = len(glob.glob(copies))
+    assert resolve_calls(own).count() == facts.where("kind = 'call'").count()
+    assert len(glob.glob(copies)) == n and spark.conf.get(name) == before
