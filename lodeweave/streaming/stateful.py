@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -50,15 +50,15 @@ def _rows(batches: Iterator[pd.DataFrame]) -> list[dict]:
 
 # sessions
 
-_SESSION = "run long, sequence long, kind string, position long, ts timestamp, trace_complete boolean, duration_ms double, revision int"
+_SESSION = "run long, sequence long, kind string, position long, ts long, trace_complete boolean, duration_ms double, revision int"
 
 
 class _Session(StatefulProcessor):
     """State of a run, read and written once for all its rows of a micro-batch: its next position and number, what was seen so far, calls that are open and counts for each purpose (as JSON); events that came before their turn are appended to a list, which is read when the least of them is due."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cursor = handle.getValueState("cursor", "next long, sequence long, started timestamp, planned boolean, degraded boolean, end_sequence long, end_position long, end_ts timestamp, end_kind string, end_ok boolean, revision int, complete boolean, open string, counts string, least long")
-        self.waiting = handle.getListState("waiting", "position long, ts timestamp, kind string, purpose string, turn long, tool string, ok boolean")
+        self.cursor = handle.getValueState("cursor", "next long, sequence long, started long, planned boolean, degraded boolean, end_sequence long, end_position long, end_ts long, end_kind string, end_ok boolean, revision int, complete boolean, open string, counts string, least long")
+        self.waiting = handle.getListState("waiting", "position long, ts long, kind string, purpose string, turn long, tool string, ok boolean")
         self.open: dict[str, int] = {}
         self.counts: dict[str, list[int]] = {}
 
@@ -83,7 +83,7 @@ class _Session(StatefulProcessor):
         return all(min(starts, finishes) >= expected for starts, finishes, expected in self.counts.values())
 
     def _end(self, run: int, c: dict) -> tuple:
-        ms = None if c["started"] is None else round(max(0.0, (c["end_ts"] - c["started"]) / dt.timedelta(microseconds=1) / 1000), 3)
+        ms = None if c["started"] is None else round(max(0.0, (c["end_ts"] - c["started"]) / 1000), 3)
         return run, c["end_sequence"], S.PUBLIC[c["end_kind"]], c["end_position"], c["end_ts"], c["complete"], ms, c["revision"]
 
     def _take(self, run: int, e: dict, c: dict) -> Iterator[tuple]:
@@ -98,7 +98,7 @@ class _Session(StatefulProcessor):
         if kind == "run_started":
             accepted = c["started"] is None
             c["degraded"] |= not accepted
-            c["started"] = c["started"] or e["ts"]
+            c["started"] = e["ts"] if c["started"] is None else c["started"]
         elif kind == "plan":
             accepted, c["planned"] = not c["planned"], True
         elif kind == "context":
@@ -129,15 +129,12 @@ class _Session(StatefulProcessor):
 
     _NAMES = ("next", "sequence", "started", "planned", "degraded", "end_sequence", "end_position", "end_ts", "end_kind", "end_ok", "revision", "complete", "open", "counts", "least")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        run = key[0]
-        c = dict(zip(self._NAMES, self.cursor.get() if self.cursor.exists() else (0, 0, None, False, False, None, None, None, None, None, 0, None, "{}", "{}", None), strict=True))
+    def _turn(self, run: int, events: Iterator[dict]) -> list[tuple]:
+        c = dict(zip(self._NAMES, self.cursor.get() or (0, 0, None, False, False, None, None, None, None, None, 0, None, "{}", "{}", None), strict=True))
         self.open, self.counts = json.loads(c["open"]), json.loads(c["counts"])
-        c["started"], c["end_ts"] = _none(c["started"]), _none(c["end_ts"])
         fields, out = ("ts", "kind", "purpose", "turn", "tool", "ok"), []
         own: dict[int, dict] = {}
-        for e in _rows(rows):
-            e |= {"position": int(e["position"]), "turn": None if e["turn"] is None else int(e["turn"])}
+        for e in events:
             if e["position"] >= c["next"]:  # else it came before
                 own.setdefault(e["position"], e)
         appended = True
@@ -149,7 +146,7 @@ class _Session(StatefulProcessor):
                 break
             for at, *event in self.waiting.get():
                 if at >= c["next"]:
-                    own.setdefault(int(at), dict(zip(fields, map(_none, event), strict=True)) | {"position": int(at)})
+                    own.setdefault(at, dict(zip(fields, event, strict=True)) | {"position": at})
             self.waiting.clear()
             c["least"], appended = None, False
         early = [(at, *(e[f] for f in fields)) for at, e in own.items()]
@@ -158,19 +155,35 @@ class _Session(StatefulProcessor):
             c["least"] = min(own) if c["least"] is None else min(c["least"], *own)
         c |= {"open": json.dumps(self.open), "counts": json.dumps(self.counts)}
         self.cursor.update(tuple(c[n] for n in self._NAMES))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in _SESSION.split(", ")]).astype({"trace_complete": "object"})
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """Rows as frames, for ``transformWithStateInPandas``."""
+        micros = lambda ts: None if ts is None else (_utc(ts) - _EPOCH) // dt.timedelta(microseconds=1)
+        events = (e | {"position": int(e["position"]), "turn": None if e["turn"] is None else int(e["turn"]), "ts": micros(e["ts"])} for e in _rows(rows))
+        yield pd.DataFrame(self._turn(key[0], events), columns=[f.split()[0] for f in _SESSION.split(", ")]).astype({"trace_complete": "object"})
 
     def close(self) -> None:
         pass
 
 
+class _RowSession(_Session):
+    """The same with plain rows, as ``transformWithState`` gives them: a frame for each run costs more than its events do."""
+
+    _ROW = Row(*(f.split()[0] for f in _SESSION.split(", ")))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        yield from (self._ROW(*x) for x in self._turn(key[0], (r.asDict() for r in rows)))
+
+
 def session_stream(events: DataFrame) -> DataFrame:
     """STR-02: ``operators.sessions.sessions`` on a stream of its events, in whatever order they come; ``revision`` counts how often a run's last event was written anew.
 
     An event whose predecessors haven't come waits in state, so numbers are given once and for good. An event that comes twice counts once. One that comes after
     the run's end makes the trace incomplete: the last event comes out again with the next revision.
     """
-    return events.groupBy("run").transformWithStateInPandas(_Session(), _SESSION, "append", "none")
+    rows = events.withColumn("ts", F.unix_micros("ts")).groupBy("run").transformWithState(_RowSession(), _SESSION, "append", "none")
+    return rows.withColumn("ts", F.timestamp_micros("ts"))
 
 
 def latest(rows: DataFrame) -> DataFrame:

@@ -259,3 +259,47 @@ def test_session_state_is_read_once_for_a_batch():
     (rows,) = session.handleInputRows((7,), iter([batch]), None)
     assert len(rows) == 50
     assert len(calls) <= 4
+
+
+def test_a_run_takes_and_gives_plain_rows():
+    """No frame is made for a run: its state is read once and written once for a micro-batch, and an event that comes early waits for its turn."""
+    from pyspark.sql import Row
+
+    from lodeweave.streaming.stateful import _RowSession
+
+    class State:
+        def __init__(self):
+            self.held, self.calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+        def appendList(self, values):
+            self.held = [*(self.held or []), *values]
+
+        put = update
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        def __init__(self):
+            self.states = {}
+
+        def getValueState(self, name, schema):
+            return self.states.setdefault(name, State())
+
+        getListState = getValueState
+
+    handle, p = Handle(), _RowSession()
+    p.init(handle)
+    event = Row("run", "position", "ts", "kind", "purpose", "turn", "tool", "ok")
+    late = list(p.handleInputRows((7,), iter([event(7, 1, 2_500, "completed", None, 0, None, True)]), None))
+    assert late == [] and handle.states["cursor"].calls == ["get", "update"]
+    told = list(p.handleInputRows((7,), iter([event(7, 0, 0, "run_started", None, 0, None, True)]), None))
+    assert [tuple(x) for x in told] == [(7, 0, "run_started", 0, 0, None, None, 0), (7, 1, "run_completed", 1, 2_500, True, 2.5, 0)]
